@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_lines
 from .pii import pseudonymise
+from .shared import new_folder
+from .token_counts import count_tokens
+from .token_files import id_checksums, read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,6 +24,13 @@ def query(f):
     return f
 
 
+def vocabulary(name: str) -> str:
+    """Where the public tokenizer file ``name`` is; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -73,3 +84,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token counts of whole texts, from their prefix tables."""
+    counts = count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), limit=2048)
+    return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars")
+
+
+@query
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written to ORC and read back: where each document starts, and a checksum of its ids."""
+    path = new_folder(spark, "token-ids")
+    write_tokens(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), end_id=0)
+    return id_checksums(read_tokens(spark, path))
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids and the bytes that they decode to, as digests."""
+    from public_tokenizers import PATTERN
+
+    return encode_decode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), PATTERN, keep="digests")
