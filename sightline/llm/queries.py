@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .byte_bpe import encode_decode
+from .decontaminate import find_overlaps
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_lines
 from .pii import pseudonymise
@@ -35,6 +37,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learnt from labels of the ids that are not held out."""
+    docs, out = documents(spark, sf_dir), quality.held_out(2, 4)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~out), "toxic")
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted", "near_ids", "near_similarities")
+
+
 @query
 def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their personal data pseudonymised."""
@@ -107,3 +117,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
     return encode_decode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), PATTERN, keep="digests")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from labels of the ids that are not held out."""
+    docs, out = documents(spark, sf_dir), quality.held_out(0, 5)
+    weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~out), "quality")
+    return quality.score(docs, weights).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a part of a benchmark item, with the item and the overlap."""
+    return find_overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
