@@ -12,6 +12,7 @@ from .byte_bpe import encode_decode
 from .decontaminate import find_overlaps
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_lines
+from .near_dedup import near_duplicates
 from .pii import pseudonymise
 from .shared import new_folder
 from .token_counts import count_tokens
@@ -96,6 +97,51 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op6_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a similarity of 0.8 or more."""
+    return near_duplicates(documents(spark, sf_dir), width=4)
+
+
+ORACLE_SQL["op6_chosen_path_dedup"] = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), shingled AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s
+  FROM words
+), sets AS MATERIALIZED (
+  SELECT min(doc_id) AS id, list_sort(s) AS s, len(s) AS n FROM shingled GROUP BY list_sort(s), len(s)
+), rows AS MATERIALIZED (
+  SELECT id, n, unnest(s) AS x FROM sets WHERE n > 0
+), ranked AS (
+  SELECT id, n, x, row_number() OVER (PARTITION BY id ORDER BY f, x) AS r
+  FROM (SELECT *, count(*) OVER (PARTITION BY x) AS f FROM rows)
+), prefixes AS MATERIALIZED (
+  SELECT id, n, x FROM ranked WHERE r <= n - (80 * n + 99) // 100 + 1
+), pairs AS MATERIALIZED (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM prefixes a JOIN prefixes b ON a.x = b.x AND a.id < b.id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT p.a, p.b, any_value(x.n) AS na, any_value(y.n) AS nb, len(list_intersect(any_value(x.s), any_value(y.s))) AS k
+    FROM pairs p JOIN sets x ON x.id = p.a JOIN sets y ON y.id = p.b GROUP BY p.a, p.b
+  ) WHERE 100 * k >= 80 * (na + nb - k)
+), reach AS (
+  SELECT id AS a, id AS b FROM sets
+  UNION
+  SELECT r.a, e.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = r.b
+), tops AS (
+  SELECT a AS id, min(b) AS component FROM reach GROUP BY a
+)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles,
+       CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE t.component END AS component_id,
+       CASE WHEN len(d.s) = 0 THEN true ELSE t.component = d.doc_id END AS kept
+FROM shingled d JOIN sets x ON x.s = list_sort(d.s) JOIN tops t ON t.id = x.id
+"""
+
+
 @query
 def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of whole texts, from their prefix tables."""
