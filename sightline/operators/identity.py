@@ -188,7 +188,7 @@ def apply_corrections(person: DataFrame, corrections: DataFrame, spans: DataFram
 
     schema = "run_id bigint, person_id int, tracklet_ids array<bigint>, first_seen double, last_seen double, state string"
     # Persons and log rows of one run meet; both carry the spans along as rows of their own.
-    people = person.select("run_id", "person_id", "tracklet_ids", "first_seen", "last_seen", "state")
+    people = person.select(F.col("run_id").alias("run"), "person_id", "tracklet_ids", "first_seen", "last_seen", "state")
     both = corrections.select("run_id", "seq", "action", "keys").unionByName(
         spans.select("run_id", F.col("tracklet_id").alias("seq"), F.lit("span").alias("action"), F.to_json(F.struct("first_s", "last_s")).alias("keys"))
     )
@@ -200,7 +200,8 @@ def apply_corrections(person: DataFrame, corrections: DataFrame, spans: DataFram
         ends = pd.DataFrame([(int(i), *json.loads(k).values()) for i, k in zip(s["seq"], s["keys"], strict=True)], columns=["tracklet_id", "first_s", "last_s"])
         return run(key, left, right[right["action"] != "span"], ends)
 
-    return people.groupBy("run_id").cogroup(both.groupBy("run_id")).applyInPandas(cogrouped, schema)
+    # The log may be made of the persons: a new name keeps the two sides' columns apart.
+    return people.groupBy("run").cogroup(both.select(F.col("run_id").alias("log_run"), "seq", "action", "keys").groupBy("log_run")).applyInPandas(cogrouped, schema)
 
 
 def number_persons(person: DataFrame) -> DataFrame:
