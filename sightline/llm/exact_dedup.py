@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_folder, new_folder, pin
+from .shared import pin
 
 BLOCK_CHARS = 4096
 SALTS = 64
