@@ -4,7 +4,7 @@ A seed is a mask over neighbouring tokens that looks at some positions and ignor
 so a substituted word at an ignored place does not hide a passage. The hashes of all
 benchmark seeds go to the tasks in blocks of bounded size; each task joins its texts' seeds
 with them. Around a hit, text and item are laid side by side on the hit's diagonal, and
-the best stretch, counting 1 for an equal and -4 for an unequal token, is the overlap.
+the stretch with the most equal tokens, at least 80 % of its length, is the overlap.
 
 With these masks every overlap of at least MIN_MATCH equal tokens, at least 80 % of its length,
 is found for lengths up to 20 (tested exhaustively), and longer ones have such parts.
@@ -59,6 +59,21 @@ class SeedIndex:
             out += (codes[starts + k].astype(self.np.uint64) + self.np.uint64(1)) * self.factor[k]
         return out ^ (out >> self.np.uint64(29))
 
+    def _stretch(self, equal) -> tuple[int, int]:
+        """The stretch with the most equal tokens of those in which they are at least 80 %, the shortest of such."""
+        np = self.np
+        hits, total = np.concatenate([[0], np.cumsum(equal)]), np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
+        # For a place to end at, the best start is the first whose sum is no higher.
+        lowest = np.minimum.accumulate(total)
+        starts = np.searchsorted(-lowest, -total)
+        gain = hits - hits[starts]
+        best = int(gain.max())
+        end = int(np.flatnonzero(gain == best)[0])
+        start = int(starts[end])
+        while start < end and not equal[start]:
+            start += 1
+        return start, end
+
     def overlaps(self, text: str | None) -> list[tuple]:
         """For each item that ``text`` holds a part of: (item id, equal tokens, overlap's length, its
         first token in the text, its first token in the item), the best of its diagonals."""
@@ -88,10 +103,7 @@ class SeedIndex:
             w = self.items[n][1]
             a, b = max(0, -offset), min(len(w), len(codes) - offset)
             equal = codes[offset + a : offset + b] == w[a:b]
-            total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
-            lowest = np.minimum.accumulate(total)
-            end = int(np.argmax(total - lowest))
-            start = int(np.flatnonzero(total[: end + 1] == lowest[end])[-1]) if end else 0
+            start, end = self._stretch(equal)
             matched = int(equal[start:end].sum())
             if matched >= min(MIN_MATCH, len(w)):
                 new = (matched, -(end - start), -(offset + a + start), -(a + start))
