@@ -25,26 +25,23 @@ from . import chunks
 QUERY_BYTES = 400_000
 #: A word of more bytes is contracted with a heap: the query's rounds grow with its length.
 LONG_WORD = 400
-_POS = 1 << 20  # positions in a word are below LONG_WORD
 
-ENCODE_SQL = f"""
+#: A pair is packed in one number: its rank, the position of its left token (both below 2**10
+#: for words up to LONG_WORD bytes) and the left token's bytes. The smallest is the one to merge.
+ENCODE_SQL = """
 WITH RECURSIVE state(word, pos, tok, going) AS (
   SELECT word, pos, tok, true FROM start_rows
   UNION ALL
-  SELECT word, pos,
-         CASE WHEN best % {_POS} = pos THEN (best // {_POS})::INT ELSE tok END,
-         best IS NOT NULL
-  FROM (
-    SELECT word, pos, tok, before, min(pair) OVER (PARTITION BY word) AS best
-    FROM (
-      SELECT n.word, n.pos, n.tok, n.before, m.rank::BIGINT * {_POS} + n.pos AS pair
-      FROM (
-        SELECT word, pos, tok, lead(tok) OVER along AS after, lag(pos) OVER along AS before
-        FROM state WHERE going WINDOW along AS (PARTITION BY word ORDER BY pos)
-      ) n LEFT JOIN merges m ON m.l = n.tok AND m.r = n.after
-    )
-  )
-  WHERE best IS NULL OR before IS NULL OR before <> best % {_POS}
+  (WITH paired AS MATERIALIZED (
+     SELECT n.word, n.pos, n.tok, m.packed + n.pos * 1024 AS pair
+     FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS after FROM state WHERE going) n
+     LEFT JOIN merges m ON m.l = n.tok AND m.r = n.after
+   ), best AS (
+     SELECT word, min(pair) AS best FROM paired GROUP BY word
+   )
+   SELECT p.word, p.pos, CASE WHEN (best >> 10) & 1023 = pos THEN (best >> 20)::INT ELSE tok END, best IS NOT NULL
+   FROM paired p JOIN best b ON p.word = b.word
+   WHERE best IS NULL OR pos <> ((best >> 10) & 1023) + (best & 1023))
 ), ended AS (
   SELECT word, pos, tok FROM state WHERE NOT going
 )
@@ -75,9 +72,9 @@ class WordCoder:
         self.pattern = regex.compile(pattern)
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
-        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        left, right, rank = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
-        self.db.register("pairs_in", pa.table({"l": left, "r": right, "rank": rank}))
+        pairs = [(ranks[t[:i]], ranks[t[i:]], (r << 20) + i) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        left, right, packed = zip(*pairs, strict=True)
+        self.db.register("pairs_in", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "packed": pa.array(packed, pa.int64())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs_in")
         # A byte is the character of its number, so that text aggregation joins bytes.
         self.db.register("tokens_in", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "chars": [t.decode("latin-1") for t in ranks]}))
@@ -94,9 +91,8 @@ class WordCoder:
         pos = (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32)
         rows = self.pa.table({"word": word, "pos": pos, "tok": self.byte_id[np.frombuffer(b"".join(words), np.uint8)]})
         self.db.register("start_rows", rows)
-        ids, chars = self.db.execute(ENCODE_SQL).fetchnumpy(), None
-        ids, chars = ids["ids"], ids["chars"]
-        return [(np.asarray(i, np.int32).tobytes(), c.encode("latin-1")) for i, c in zip(ids, chars, strict=True)]
+        found = self.db.execute(ENCODE_SQL).fetchnumpy()
+        return [(np.asarray(i, np.int32).tobytes(), c.encode("latin-1")) for i, c in zip(found["ids"], found["chars"], strict=True)]
 
     def _heap(self, word: bytes) -> tuple[bytes, bytes]:
         """One very long word: the same contractions, with a heap of pairs."""
@@ -136,11 +132,9 @@ class WordCoder:
 
     def _join(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
         split = [self.pattern.findall(p) for p in pieces]
-        self.words.fill(w for ws in split for w in ws)
-        known = self.words.young
-        out = [(b"".join(known[w][0] for w in ws), b"".join(known[w][1] for w in ws)) for ws in split]
+        found = self.words.values([w for ws in split for w in ws])
         self.words.turn()
-        return out
+        return [(b"".join([x[0] for x in xs]), b"".join([x[1] for x in xs])) for xs in chunks.by_text(found, [len(ws) for ws in split])]
 
     def _encode_pieces(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
         return self._join([" " + p for p in pieces])
@@ -149,13 +143,11 @@ class WordCoder:
         """For each text its ids as 32-bit integers, and the bytes that they decode to."""
         for group in chunks.in_groups(texts):
             split = [chunks.split(texts[i]) for i in group]
-            self.pieces.fill(p for s in split for p in s[1:])
+            found = self.pieces.values([p for s in split for p in s[1:]])
             # A text's first piece has no space before it.
-            firsts = dict(zip(new := list(dict.fromkeys(s[0] for s in split)), self._join(new), strict=True))
-            known = self.pieces.young
-            for s in split:
-                found = [firsts[s[0]], *map(known.__getitem__, s[1:])]
-                yield b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+            firsts = self._join([s[0] for s in split])
+            for first, rest in zip(firsts, chunks.by_text(found, [len(s) - 1 for s in split]), strict=True):
+                yield first[0] + b"".join([x[0] for x in rest]), first[1] + b"".join([x[1] for x in rest])
             self.pieces.turn()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import pairwise
 
 _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 #: A space that follows white space is not a safe place.
@@ -19,25 +20,51 @@ def split(text: str) -> list[str]:
     return _SAFE_SPACE.split(text) if any(u in text for u in _UNSAFE) else text.split(" ")
 
 
+#: The same, for Arrow's regular expressions.
+_UNSAFE_RE2 = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+
+
+def split_all(texts):
+    """The pieces of an Arrow array of texts, one after the other, and how many each text has."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern(texts, " ")
+    pieces, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    odd = np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE_RE2).to_numpy(zero_copy_only=False))
+    if not len(odd):
+        return pieces, sizes
+    ends, parts, at = np.cumsum(sizes), [], 0
+    for i in odd.tolist():
+        own = split(texts[i].as_py())
+        parts += [pieces.slice(at, int(ends[i] - sizes[i]) - at), pa.array(own, pieces.type)]
+        at, sizes[i] = int(ends[i]), len(own)
+    return pa.concat_arrays([*parts, pieces.slice(at)]), sizes
+
+
 class PieceMemory:
     """What pieces encode to, of bounded size: the pieces used since the last turn, and those
     of the turn before. ``encode`` gets distinct unknown pieces and returns a value for each."""
 
-    def __init__(self, encode: Callable[[list[str]], list], cap: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list], cap: int = 400_000):
         self.encode, self.cap, self.young, self.old = encode, cap, {}, {}
 
-    def fill(self, pieces: Iterable[str]) -> None:
-        """Make all ``pieces`` known to ``young``."""
+    def values(self, pieces: list[str]) -> list:
+        """What each of ``pieces`` encodes to."""
         young, old = self.young, self.old
-        missing = [p for p in dict.fromkeys(pieces) if p not in young]
-        new = []
-        for p in missing:
-            if p in old:
-                young[p] = old.pop(p)
-            else:
-                new.append(p)
-        if new:
-            young.update(zip(new, self.encode(new), strict=True))
+        out = list(map(young.get, pieces))
+        if None in out:
+            at = [i for i, v in enumerate(out) if v is None]
+            missing = {pieces[i] for i in at}
+            if old:
+                for p in missing & old.keys():
+                    young[p] = old.pop(p)
+            if new := [p for p in missing if p not in young]:
+                young.update(zip(new, self.encode(new), strict=True))
+            for i in at:
+                out[i] = young[pieces[i]]
+        return out
 
     def turn(self) -> None:
         """Call between documents: forgets what two turns did not use."""
@@ -55,3 +82,36 @@ def in_groups(texts: list, chars: int = 2_000_000) -> Iterable[range]:
             start, total = i + 1, 0
     if start < len(texts):
         yield range(start, len(texts))
+
+
+def gather(values: list[bytes], index, width: int = 4):
+    """The items of ``values[index[0]]``, ``values[index[1]]``, ... as one array of 32-bit integers, and how many each has."""
+    import numpy as np
+
+    size = np.fromiter(map(len, values), np.int64, len(values)) // width
+    start = np.cumsum(size) - size
+    flat, n = np.frombuffer(b"".join(values), np.int32), size[index]
+    behind = np.cumsum(n)
+    where = np.repeat(start[index] - (behind - n), n)
+    where += np.arange(len(where))
+    return flat[where], n
+
+
+def by_text(values: list, sizes: list[int]) -> Iterable[list]:
+    """Consecutive parts of ``values``, as long as ``sizes`` say."""
+    ends = [0]
+    for n in sizes:
+        ends.append(ends[-1] + n)
+    return (values[a:b] for a, b in pairwise(ends))
+
+
+def spans(lengths, total: int = 12_000_000) -> Iterable[range]:
+    """Ranges of positions whose ``lengths`` sum to about ``total``."""
+    import numpy as np
+
+    ends = np.cumsum(np.asarray(lengths, np.int64))
+    start = 0
+    while start < len(ends):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + total)) + 1
+        yield range(start, min(stop, len(ends)))
+        start = stop

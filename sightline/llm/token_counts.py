@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -134,15 +135,15 @@ class PrefixTables:
         need = {w: None for ws in split for w in ws}
         # "'re" cut short is two words, "'" and "r"; no other kind of word has prefixes of another kind.
         parts = {w: [self.word.findall(w[:i]) for i in range(1, len(w) + 1)] for w in need if len(w) > 1 and w[0] == "'" and len(w) < 4}
-        self.words.fill([*need, *(x for p in parts.values() for xs in p for x in xs)])
-        known, out = self.words.young, []
+        need = [*need, *(x for p in parts.values() for xs in p for x in xs)]
+        known, out = dict(zip(need, self.words.values(need), strict=True)), []
         for ws in split:
             table, base = [], 0
             for w in ws:
                 own = [sum(known[x][-1] for x in xs) for xs in parts[w]] if w in parts else known[w]
                 table += [base + c for c in own] if base else own
                 base = table[-1]
-            out.append(self.np.array(table, self.np.int32).tobytes())
+            out.append(array("i", table).tobytes())
         self.words.turn()
         return out
 
@@ -175,8 +176,7 @@ class PrefixTables:
             return [self._with_special(parts) if len(parts) > 1 or parts[:1] and parts[0] in self.special else self._group(parts or [""])[0] for parts in cut]
         split = [self.normal(parts[0]).split(" ") if parts else [""] for parts in cut]
         flat = [p for ps in split for p in ps]
-        self.pieces.fill(flat)
-        own = list(map(self.pieces.young.__getitem__, flat))
+        own = self.pieces.values(flat)
         size = np.fromiter(map(len, own), np.int64, len(own)) >> 2
         counts = np.frombuffer(b"".join(own), np.int32)
         ends = np.cumsum(size)
