@@ -9,6 +9,7 @@ statistics and Bloom filters for lookups.
 from __future__ import annotations
 
 import os
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,38 +17,76 @@ from pyspark.sql import functions as F
 from . import chunks
 from .shared import LAST_ID
 
+#: Marks that end a word.
+_MARKS = ".,;:!?"
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>"
 STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 2_000
 
 
 class LibraryEncoder:
-    """Encodes texts with a tokenizers file, each distinct piece of text once while it is remembered."""
+    """Encodes texts with a tokenizers file, each distinct piece once while it is remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self.np, self.library = np, Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = chunks.PieceMemory(lambda new: self._raw([" " + p for p in new]))
+        self.marks = dict(zip(_MARKS, self._raw(list(_MARKS)), strict=True))
+        self.pieces = chunks.PieceMemory(self._pieces)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [self.np.array(e.ids, self.np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]):
-        """The ids of each text as little-endian 32-bit integers."""
-        for group in chunks.in_groups(texts):
-            # A text with a special string is encoded whole: the library cuts it out first.
-            whole = {i for i in group if any(s in texts[i] for s in self.special)}
-            split = {i: chunks.split(texts[i]) for i in group if i not in whole}
-            self.pieces.fill(p for s in split.values() for p in s[1:])
-            firsts = dict(zip(new := list(dict.fromkeys(s[0] for s in split.values())), self._raw(new), strict=True))
-            known = self.pieces.young
-            for i in group:
-                yield self._raw([texts[i]])[0] if i in whole else firsts[split[i][0]] + b"".join(map(known.__getitem__, split[i][1:]))
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        # The pre-tokenizer cuts between a word of letters and one mark behind it.
+        cut = [p[-1:] in self.marks and p[:-1].isalpha() for p in pieces]
+        words = [p[:-1] if c else p for p, c in zip(pieces, cut, strict=True)]
+        young = self.pieces.young
+        new = [w for w in dict.fromkeys(words) if w not in young]
+        known = dict(zip(new, self._raw([" " + w for w in new]), strict=True))
+        # Words of cut pieces are remembered by themselves too; whole pieces are by the caller.
+        young.update((w, known[w]) for w, c in zip(words, cut, strict=True) if c and w in known)
+        return [young[w] + self.marks[p[-1]] if c else known[w] if w in known else young[w] for p, w, c in zip(pieces, words, cut, strict=True)]
+
+    def encode(self, texts):
+        """For groups of the Arrow array ``texts`` (no nulls): the ids of the group's texts one after the
+        other, and how many each text has."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        length = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        for group in chunks.spans(length):
+            part, whole = texts.slice(group.start, len(group)), np.flatnonzero(special[group.start : group.stop])
+            if len(whole):
+                # A text with a special string is encoded whole: the library cuts it out first.
+                held = [part[int(i)].as_py() for i in whole]
+                part = pc.if_else(pa.array(special[group.start : group.stop]), "", part)
+            pieces, sizes = chunks.split_all(part)
+            coded = pieces.dictionary_encode()
+            index, behind = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes)
+            # A text's first piece has no space before it; that of a whole text is all of it.
+            first = behind - sizes
+            firsts = pieces.take(pa.array(first)).to_pylist()
+            if len(whole):
+                for i, t in zip(whole, held, strict=True):
+                    firsts[int(i)] = t
+            rest = np.ones(len(index), bool)
+            rest[first] = False
+            used = np.unique(index[rest])
+            place = np.zeros(len(coded.dictionary), np.int64)
+            place[used] = np.arange(len(used))
+            values = self.pieces.values(coded.dictionary.take(pa.array(used)).to_pylist()) + self._raw(firsts)
+            index = place[index]
+            index[first] = len(used) + np.arange(len(first))
+            ids, n = chunks.gather(values, index)
             self.pieces.turn()
+            yield ids, np.add.reduceat(n, first)
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -76,17 +115,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         from pyspark import TaskContext
 
         code, start, part = encoder(tokenizer_path), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
-            raw = [r + end for r in code.encode(batch.column(1).to_pylist())]
-            n = np.array([len(r) // 4 for r in raw], np.int64)
-            starts = start + np.cumsum(n) - n
-            start += int(n.sum())
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), ids], names=["doc_id", "part", "start_in_part", "n_tokens", "ids"]
-            )
+            at = 0
+            for ids, n in code.encode(batch.column(1)):
+                # Room for the end id behind each document's own.
+                n = n + 1
+                behind = np.cumsum(n)
+                out = np.full(int(behind[-1]), end_id, np.int32)
+                own = np.ones(len(out), bool)
+                own[behind - 1] = False
+                out[own] = ids
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], behind]).astype(np.int32)), pa.array(out))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(start + behind - n), pa.array(n), lists],
+                    names=["doc_id", "part", "start_in_part", "n_tokens", "ids"],
+                )
+                start += int(behind[-1])
+                at += len(n)
 
     (
         dealt.mapInArrow(run, SCHEMA)
