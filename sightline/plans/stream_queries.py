@@ -66,7 +66,7 @@ def stream_still_alerts(spark, sf_dir):
     """Stillness alerts of a stream of tracklet rows."""
     root = _folder(spark)
     t = B.with_positions(A.tracklets(spark, sf_dir))
-    rows = t.select("tracklet_id", "frame_no", "x", "y", "body", F.timestamp_millis((F.col("frame_no") * 1000 / FPS).cast("bigint")).alias("ts"))
+    rows = t.select("tracklet_id", "frame_no", "x", "y", "body", F.timestamp_millis((F.col("frame_no") * 1000 / FPS).cast("bigint") + 86_400_000).alias("ts"))  # a watermark starts at 1970: no row may be there
     rows.coalesce(1).write.parquet(f"{root}/in")
     stream = live.open_stream(spark, f"{root}/in", rows.schema)
     return live.run_to_end(live.still_alerts(stream, FPS), f"{root}/out", f"{root}/state")
