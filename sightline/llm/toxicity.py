@@ -1,20 +1,21 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, in a block-max inverted index.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, in an inverted index.
 
 Fitting takes a bounded sample of labelled rows. Its words, and word beginnings of 3 to 8
-letters (which stand for all endings of a stem), that toxic rows have more often become the terms;
-each example is a unit TF-IDF vector over them. The index keeps, for each term, the
-examples with it in blocks, and each block's largest weight. A text looks at blocks from the
-largest bound down and stops as soon as no bound reaches its k-th similarity, so the k
-nearest are exact. Their labels vote with weights that fall with the distance; the
+letters (which stand for all endings of a stem), that enough examples have are the terms; each
+weighs its idf, times its association with the label, and none is left out for being weakly associated.
+Each example is a unit vector over them. The index keeps the terms that many examples have as a matrix,
+which texts meet many at a time, and the examples of each other term as a list; all similarities
+are computed, and the largest of each block of examples bound which can be among the k nearest, so these
+are exact. Their labels vote with weights that fall with the distance; the
 vote is calibrated on the examples themselves, each scored without itself.
 
-The index is a few thousand short vectors at any corpus size; texts are scored where they are.
+The index is a few thousand vectors at any corpus size; texts are scored where they are.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -25,10 +26,13 @@ from .quality import sample_labelled
 
 #: Labelled rows that fitting reads at most.
 MAX_EXAMPLES = 8_000
-#: Terms at most, those with the largest chi-square.
-MAX_TERMS = 3_000
-CHI_SQUARE = 35.0
 MIN_EXAMPLES_WITH_TERM = 3
+#: What a term without any association with the label weighs, beside the association of the others (0 to 1).
+LEAST_ASSOCIATION = 0.01
+#: A term that one in so many examples has is in the matrix.
+COMMON = 8
+#: Texts that meet the matrix at once.
+BATCH = 64
 K = 15
 BLOCK = 64
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -51,79 +55,123 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple], block: int = BLOCK):
         self.block, self.n = block, len(vectors)
-        self.blocks = -(-self.n // block)
-        lists: dict[int, list] = {}
-        for i, (terms, weights) in enumerate(vectors):
-            for t, w in zip(terms, weights, strict=True):
-                lists.setdefault(int(t), []).append((i, w))
-        self.post = {}
-        for t, rows in lists.items():
-            ids, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            own, first = np.unique(ids // block, return_index=True)
-            self.post[t] = (own, np.append(first, len(ids)), np.maximum.reduceat(w, first), ids, w)
+        t = np.concatenate([np.zeros(0, np.int32), *(v[0] for v in vectors)]).astype(np.int32)
+        w = np.concatenate([np.zeros(0), *(v[1] for v in vectors)])
+        i = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in vectors])
+        having = np.bincount(t)
+        common = np.flatnonzero((having > 0) & (having * COMMON >= self.n))
+        self.row = np.full(len(having), -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[t] >= 0
+        self.matrix = np.zeros((len(common), self.n))
+        self.matrix[self.row[t[dense]], i[dense]] = w[dense]
+        t, w, i = t[~dense], w[~dense], i[~dense]
+        self.first = np.append(0, np.cumsum(np.bincount(t, minlength=len(having))))
+        order = np.argsort(t, kind="stable")
+        self.ids, self.weights = i[order], w[order]
 
     def nearest(self, terms, weights, k: int = K, without: int = -1) -> list[tuple[int, float]]:
         """(example, similarity) of the k most similar with a similarity over 0; of equal ones the
         smaller number comes first."""
-        mine = [(self.post[t], w) for t, w in zip(terms, weights, strict=True) if t in self.post]
-        if not mine:
-            return []
-        bound = np.zeros(self.blocks)
-        for (own, _, top, _, _), w in mine:
-            bound[own] += w * top
-        best: list[tuple[float, int]] = []  # (-similarity, example)
-        for b in np.lexsort((np.arange(self.blocks), -bound)):
-            if bound[b] <= 0:
-                break
-            if len(best) == k:
-                kth = -best[-1][0]
-                if bound[b] + _EPS < kth or (bound[b] <= kth and best[-1][1] < b * self.block):
-                    if bound[b] + _EPS < kth:
-                        break
+        return self.nearest_of([(terms, weights)], k, [without])[0]
+
+    def nearest_of(self, vectors: list[tuple], k: int = K, without: list[int] | None = None) -> list[list[tuple[int, float]]]:
+        """``nearest`` of many vectors; ``without`` has an example for each that it can't be near to."""
+        out: list[list[tuple[int, float]]] = []
+        for at in range(0, len(vectors), BATCH):
+            part, asked = [], vectors[at : at + BATCH]
+            common = np.zeros((len(asked), len(self.matrix)))
+            for q, (terms, weights) in enumerate(asked):
+                known = np.asarray(terms) < len(self.row)
+                terms, weights = np.asarray(terms, np.int64)[known], np.asarray(weights, float)[known]
+                row = self.row[terms]
+                common[q, row[row >= 0]] = weights[row >= 0]
+                part.append((terms[row < 0], weights[row < 0]))
+            sims = common @ self.matrix
+            for q, (terms, weights) in enumerate(part):
+                if not self.n:
+                    out.append([])
                     continue
-            sims = np.zeros(self.block)
-            for (own, first, _, ids, ws), w in mine:
-                j = int(np.searchsorted(own, b))
-                if j < len(own) and own[j] == b:
-                    s, e = first[j], first[j + 1]
-                    sims[ids[s:e] - b * self.block] += w * ws[s:e]
-            if 0 <= without - b * self.block < self.block:
-                sims[without - b * self.block] = 0
-            sims = np.round(sims, 9)
-            best += [(-float(sims[i]), int(b * self.block + i)) for i in np.flatnonzero(sims > 0)]
-            best = sorted(best)[:k]
-        return [(i, -s) for s, i in best]
+                size = self.first[terms + 1] - self.first[terms]
+                where = np.repeat(self.first[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                s = sims[q] + np.bincount(self.ids[where], np.repeat(weights, size) * self.weights[where], self.n)
+                if without and without[at + q] >= 0:
+                    s[without[at + q]] = 0
+                s = np.round(s, 9)
+                # The k-th largest of the blocks' maxima is not above the k-th similarity.
+                top = np.maximum.reduceat(s, np.arange(0, self.n, self.block))
+                least = np.partition(top, -k)[-k] if len(top) >= k else 0.0
+                may = np.flatnonzero((s >= least) & (s > 0))
+                best = may[np.lexsort((may, -s[may]))][:k]
+                out.append([(int(i), float(s[i])) for i in best])
+        return out
+
+
+class Terms:
+    """The numbers of the terms, and the terms of texts. What a word has is remembered, up to a bound."""
+
+    def __init__(self, terms: list[str]):
+        self.number, self.seen = {t: i for i, t in enumerate(terms)}, {}
+
+    def __getstate__(self):
+        return zlib.compress("\n".join(self.number).encode())
+
+    def __setstate__(self, sent):
+        self.__init__(zlib.decompress(sent).decode().split("\n"))
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, how often each is in the text), by number."""
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+        found, times = [], []
+        for w, n in Counter(words_of(text)).items():
+            own = self.seen.get(w)
+            if own is None:
+                own = [self.number.get(t) for t in (w, *(w[:m] + "*" for m in STEMS if len(w) > m))]
+                own = self.seen[w] = [i for i in own if i is not None]
+            found += own
+            times += [n] * len(own)
+        terms, where = np.unique(np.array(found, np.int32), return_inverse=True)
+        return terms, np.bincount(where, times, len(terms)).astype(np.int32)
+
+
+def packed(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    return zlib.compress(np.concatenate([np.diff(terms, prepend=0), counts]).astype(np.int32).tobytes())
+
+
+def unpacked(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(b), np.int32)
+    return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :]
 
 
 class Neighbours:
-    """The fitted model: terms, idf, examples, and the calibration of the vote."""
-
-    def __init__(self, terms: list[str], idf: list[float], examples: list[tuple[int, int, dict[int, int]]]):
-        self.number, self.idf = {t: i for i, t in enumerate(terms)}, np.array(idf)
-        # Most words share their first letters with no term.
-        self.heads = {t.rstrip("*")[:3] for t in terms}
-        # Examples that share their strongest term are neighbours in the index: its blocks' bounds are tight.
-        made = [(i, y, *self.unit(c)) for i, y, c in examples]
-        made.sort(key=lambda x: (int(x[2][np.argmax(x[3])]) if len(x[2]) else -1, len(x[2]), x[0]))
-        self.ids, self.labels = [x[0] for x in made], np.array([x[1] for x in made], float)
-        self.vectors = [(x[2], x[3]) for x in made]
-        self.index = BlockMaxIndex(self.vectors)
-        self.prior = float(self.labels.mean()) if len(made) else 0.5
+    """The fitted model: terms, their weights, examples, and the calibration of the vote."""
+
+    def __init__(self, terms: list[str], weights: list[float], examples: list[tuple[int, int, bytes]]):
+        """``examples``: (id, label, packed terms and counts)."""
+        self.terms, self.weight = Terms(terms), np.array(weights, float)
+        self.examples = sorted(examples)
+        self.ids, self.labels = [x[0] for x in self.examples], np.array([x[1] for x in self.examples], float)
+        self.prior = float(self.labels.mean()) if self.ids else 0.5
         self.slope, self.shift = 1.0, 0.0
-        self._calibrate()
+        self._calibrate(self._build())
 
-    def unit(self, counts: dict[int, int]):
-        terms = np.array(sorted(counts), np.int64)
-        w = self.idf[terms] * (1 + np.log(np.array([counts[t] for t in terms], float))) if len(terms) else np.zeros(0)
-        return terms, w / np.sqrt(w @ w) if len(w) else w
+    def _build(self) -> list[tuple]:
+        vectors = [self.unit(*unpacked(x[2])) for x in self.examples]
+        self.index = BlockMaxIndex(vectors)
+        return vectors
+
+    # The index is several times as large as the examples; workers build their own.
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def __setstate__(self, sent):
+        self.__dict__.update(sent)
+        self._build()
 
-    def counts(self, text: str | None) -> Counter:
-        get, heads = self.number.get, self.heads
-        words = [w for w in words_of(text) if w[:3] in heads]
-        found = [i for i in map(get, words) if i is not None]
-        for n in STEMS:
-            found += [i for i in map(get, [w[:n] + "*" for w in words if len(w) > n]) if i is not None]
-        return Counter(found)
+    def unit(self, terms: np.ndarray, counts: np.ndarray):
+        w = self.weight[terms] * (1 + np.log(counts))
+        return terms, w / np.sqrt(w @ w) if len(w) else w
 
     def _vote(self, near: list[tuple[int, float]]) -> float:
         """Log odds of the labels of the nearest, each weighing the inverse of its distance, with the
@@ -133,12 +181,12 @@ class Neighbours:
         b = sum(x * (1 - y) for x, y in w) + 1 - self.prior
         return float(np.log((a + 0.02) / (b + 0.02)))
 
-    def _calibrate(self, most: int = 4_000) -> None:
+    def _calibrate(self, vectors: list[tuple], most: int = 4_000) -> None:
         """Fit the logistic of the vote to examples, each scored without itself. At most ``most`` of
         them, evenly spaced, are scored: part of fitting on a bounded sample."""
-        step = max(1, len(self.vectors) // most)
-        use = range(0, len(self.vectors), step)
-        x = np.array([self._vote(self.index.nearest(*self.vectors[i], without=i)) for i in use])
+        step = max(1, len(vectors) // most)
+        use = range(0, len(vectors), step)
+        x = np.array([self._vote(near) for near in self.index.nearest_of([vectors[i] for i in use], without=list(use))])
         y = np.array([self.labels[i] for i in use])
         if len(y) < 10 or y.min() == y.max():
             return
@@ -155,16 +203,19 @@ class Neighbours:
         if a > 0:
             self.slope, self.shift = float(a), float(b)
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        """The calibrated score, and the evidence: (id, similarity) of the nearest examples."""
-        c = self.counts(text)
-        near = self.index.nearest(*self.unit(c)) if c else []
-        p = 1 / (1 + np.exp(-np.clip(self.slope * self._vote(near) + self.shift, -35, 35)))
-        return float(p), [(self.ids[i], s) for i, s in near]
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Of each text the calibrated score, and the evidence: (id, similarity) of the nearest examples."""
+        out = []
+        for at in range(0, len(texts), BATCH):
+            for near in self.index.nearest_of([self.unit(*self.terms.counts(t)) for t in texts[at : at + BATCH]]):
+                p = 1 / (1 + np.exp(-np.clip(self.slope * self._vote(near) + self.shift, -35, 35)))
+                out.append((float(p), [(self.ids[i], s) for i, s in near]))
+        return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Neighbours:
-    """Fit to at most ``max_examples`` labelled rows of ``docs``. Without any, every score is 0.5."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Neighbours:
+    """Fit to at most ``max_examples`` labelled rows of ``docs``, which bound the terms too. Without
+    any, every score is 0.5."""
 
     def terms_of(batches):
         import pyarrow as pa
@@ -184,30 +235,26 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_exampl
         .groupBy("term")
         .agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
         .filter(F.col("a") + F.col("b") >= MIN_EXAMPLES_WITH_TERM)
+        .toArrow()
+        .sort_by("term")
     )
-    a, b = F.col("a"), F.col("b")
-    chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (F.lit(float(max(1, n1)) * max(1, n0)) * (a + b) * F.greatest(n - a - b, F.lit(1.0)))
-    chosen = table.withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARE) & (a * n0 > b * n1)).orderBy(F.desc("chi"), "term").limit(max_terms).collect()
-    terms, idf = [r["term"] for r in chosen], [math.log((1 + n) / (1 + r["a"] + r["b"])) + 1 for r in chosen]
-    probe = Neighbours(terms, idf, [])
+    a, b = (table.column(c).to_numpy() for c in "ab")
+    # The correlation of having the term with the label; it does not grow with the number of labels.
+    phi = np.abs(a * (n0 - b) - b * (n1 - a)) / np.sqrt(max(1, n1) * max(1, n0) * (a + b) * np.maximum(n - a - b, 1))
+    terms, weights = table.column("term").to_pylist(), (np.log((1 + n) / (1 + a + b)) + 1) * (LEAST_ASSOCIATION + phi)
+    sent = docs.sparkSession.sparkContext.broadcast(Terms(terms))
 
     def vectors(batches):
         import pyarrow as pa
 
         for batch in batches:
-            counts = [probe.counts(t) for t in batch.column(1).to_pylist()]
+            counts = [sent.value.counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array([sorted(c) for c in counts], pa.list_(pa.int32())),
-                    pa.array([[c[t] for t in sorted(c)] for c in counts], pa.list_(pa.int32())),
-                ],
-                names=["id", "label", "terms", "counts"],
+                [batch.column(0), batch.column(2), pa.array([packed(*c) for c in counts], pa.binary())], names=["id", "label", "counts"]
             )
 
-    rows = sample.mapInArrow(vectors, "id bigint, label int, terms array<int>, counts array<int>").collect()
-    return Neighbours(terms, idf, [(r["id"], r["label"], dict(zip(r["terms"], r["counts"], strict=True))) for r in rows])
+    rows = sample.mapInArrow(vectors, "id bigint, label int, counts binary").collect()
+    return Neighbours(terms, weights, [(r["id"], r["label"], bytes(r["counts"])) for r in rows])
 
 
 def score(docs: DataFrame, model: Neighbours, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,7 +272,7 @@ def score(docs: DataFrame, model: Neighbours, threshold: float = 0.3, id_col: st
 
         m = sent.value
         for batch in batches:
-            found = [m.score(t) for t in batch.column(1).to_pylist()]
+            found = m.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -249,6 +296,6 @@ def drop_toxic(docs: DataFrame, model: Neighbours, threshold: float = 0.3, text_
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array([sent.value.score(t)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([p < threshold for p, _ in sent.value.score(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -154,3 +154,32 @@ def test_classifiers_without_rows_or_labels(spark):
     w = quality.train(d, none)
     assert {r.score for r in quality.score(d, w).collect()} == {0.5}
     assert quality.score(d.limit(0), w).count() == 0
+
+
+def test_clean_words_are_evidence(spark):
+    toxic, clean = "you vile worthless fool number {}", "tomatoes in my garden ripen on day {}"
+    rows = [(i, (toxic if i < 8 else clean).format(i), int(i < 8)) for i in range(24)] + [(90, "my garden and my tomatoes", None), (91, "a vile fool", None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    m = toxicity.fit(d.select("doc_id", "text"), d.filter("toxic IS NOT NULL").select("doc_id", "toxic"))
+    r = {x.doc_id: x for x in toxicity.score(d, m).collect()}
+    assert all(x.near_ids for x in r.values())
+    assert min(r[90].near_ids) >= 8 and r[90].score < 0.3 <= r[91].score and max(r[91].near_ids[:8]) < 8
+
+
+def test_a_term_of_few_examples_and_of_many_count(spark):
+    """All terms make a similarity, those of the matrix and those of the lists."""
+    rng = np.random.default_rng(6)
+    vectors = []
+    for _ in range(300):
+        t = np.unique(np.concatenate([rng.choice(10, 3), 10 + rng.choice(400, 8)]))
+        w = rng.random(len(t)) + 0.1
+        vectors.append((t, w / np.sqrt(w @ w)))
+    index, dense = toxicity.BlockMaxIndex(vectors, block=16), np.zeros((300, 410))
+    assert 0 < len(index.matrix) < 410 and len(index.ids)
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for q, got in enumerate(index.nearest_of(vectors, 10, list(range(300)))):
+        sims = dense @ dense[q]
+        sims[q] = 0
+        assert np.allclose([s for _, s in got], np.sort(sims)[::-1][: len(got)], atol=1e-8) and len(got) == min(10, (sims > 1e-9).sum())
+        assert all(abs(sims[i] - s) < 1e-8 for i, s in got)
