@@ -288,14 +288,18 @@ def score(docs: DataFrame, model: Neighbours, threshold: float = 0.3, id_col: st
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame, model: Neighbours, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+def drop_toxic(docs: DataFrame, model: Neighbours, threshold: float = 0.3, text_col: str = "text", keep_without_evidence: bool = False) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay.
+
+    With ``keep_without_evidence`` a row stays, whatever it scores, if no example is near to it: so
+    all rows stay if there are no labels.
+    """
     at, sent = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array([p < threshold for p, _ in sent.value.score(batch.column(at).to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([p < threshold or (keep_without_evidence and not near) for p, near in sent.value.score(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
