@@ -183,3 +183,11 @@ def test_a_term_of_few_examples_and_of_many_count(spark):
         sims[q] = 0
         assert np.allclose([s for _, s in got], np.sort(sims)[::-1][: len(got)], atol=1e-8) and len(got) == min(10, (sims > 1e-9).sum())
         assert all(abs(sims[i] - s) < 1e-8 for i, s in got)
+
+
+def test_a_long_secret_is_replaced_to_its_end(spark):
+    value = "".join(random.Random(8).choices("abcdefghijklmnop0123456789", k=5000))
+    for n in (200, 5000):
+        ((text, found, kinds),) = pseudonyms(spark, [f"token={value[:n]} end"])
+        assert found == 1 and kinds == ["secret"] and len(text) == n + 10 and text.endswith(" end")
+        assert value[n - 20 : n] not in text and value[128:160] not in text
