@@ -30,18 +30,23 @@ MIN_EXAMPLES_WITH_TERM = 3
 #: What a term without any association with the label weighs, beside the association of the others (0 to 1).
 LEAST_ASSOCIATION = 0.01
 #: A term that one in so many examples has is in the matrix.
-COMMON = 8
+COMMON = 16
+#: How far a similarity summed in single precision can be from the exact one, for each of a text's terms.
+SLACK = 1.2e-7
 #: Texts that meet the matrix at once.
 BATCH = 64
 K = 15
 BLOCK = 64
 STEMS = (3, 4, 5, 6, 7, 8)
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _ASCII_WORD = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
 _EPS = 1e-9
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
 
 
 def all_terms(text: str | None) -> set[str]:
@@ -51,24 +56,32 @@ def all_terms(text: str | None) -> set[str]:
 
 
 class BlockMaxIndex:
-    """Exact k nearest unit vectors by cosine."""
+    """Exact k nearest unit vectors by cosine.
+
+    All similarities are summed in single precision, from a matrix of the common terms and the lists
+    of the others. The maxima of the blocks bound which examples can be among the nearest; these are
+    computed again in double precision.
+    """
 
     def __init__(self, vectors: list[tuple], block: int = BLOCK):
         self.block, self.n = block, len(vectors)
-        t = np.concatenate([np.zeros(0, np.int32), *(v[0] for v in vectors)]).astype(np.int32)
-        w = np.concatenate([np.zeros(0), *(v[1] for v in vectors)])
-        i = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in vectors])
+        sizes = [len(v[0]) for v in vectors]
+        self.begin = np.append(0, np.cumsum(np.array(sizes, np.int64)))
+        self.terms = t = np.concatenate([np.zeros(0, np.int32), *(v[0] for v in vectors)]).astype(np.int32)
+        self.exact = np.concatenate([np.zeros(0), *(v[1] for v in vectors)])
+        i = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         having = np.bincount(t)
         common = np.flatnonzero((having > 0) & (having * COMMON >= self.n))
-        self.row = np.full(len(having), -1)
+        self.row = np.full(len(having), -1, np.int32)
         self.row[common] = np.arange(len(common))
         dense = self.row[t] >= 0
-        self.matrix = np.zeros((len(common), self.n))
-        self.matrix[self.row[t[dense]], i[dense]] = w[dense]
-        t, w, i = t[~dense], w[~dense], i[~dense]
-        self.first = np.append(0, np.cumsum(np.bincount(t, minlength=len(having))))
-        order = np.argsort(t, kind="stable")
-        self.ids, self.weights = i[order], w[order]
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        self.matrix[self.row[t[dense]], i[dense]] = self.exact[dense]
+        rest = np.flatnonzero(~dense)
+        rest = rest[np.argsort(t[rest], kind="stable")]
+        self.first = np.append(0, np.cumsum(np.bincount(t[rest], minlength=len(having))))
+        self.ids, self.weights = i[rest], self.exact[rest].astype(np.float32)
+        self.asked = np.zeros(len(having))
 
     def nearest(self, terms, weights, k: int = K, without: int = -1) -> list[tuple[int, float]]:
         """(example, similarity) of the k most similar with a similarity over 0; of equal ones the
@@ -77,62 +90,106 @@ class BlockMaxIndex:
 
     def nearest_of(self, vectors: list[tuple], k: int = K, without: list[int] | None = None) -> list[list[tuple[int, float]]]:
         """``nearest`` of many vectors; ``without`` has an example for each that it can't be near to."""
+        if not self.n:
+            return [[] for _ in vectors]
         out: list[list[tuple[int, float]]] = []
         for at in range(0, len(vectors), BATCH):
             part, asked = [], vectors[at : at + BATCH]
-            common = np.zeros((len(asked), len(self.matrix)))
+            common = np.zeros((len(asked), len(self.matrix)), np.float32)
             for q, (terms, weights) in enumerate(asked):
                 known = np.asarray(terms) < len(self.row)
                 terms, weights = np.asarray(terms, np.int64)[known], np.asarray(weights, float)[known]
                 row = self.row[terms]
                 common[q, row[row >= 0]] = weights[row >= 0]
-                part.append((terms[row < 0], weights[row < 0]))
+                part.append((terms, weights, row < 0))
             sims = common @ self.matrix
-            for q, (terms, weights) in enumerate(part):
-                if not self.n:
-                    out.append([])
-                    continue
-                size = self.first[terms + 1] - self.first[terms]
-                where = np.repeat(self.first[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                s = sims[q] + np.bincount(self.ids[where], np.repeat(weights, size) * self.weights[where], self.n)
+            for q, (terms, weights, rare) in enumerate(part):
+                listed = terms[rare]
+                size = self.first[listed + 1] - self.first[listed]
+                where = np.repeat(self.first[listed] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                s = sims[q] + np.bincount(self.ids[where], np.repeat(weights[rare].astype(np.float32), size) * self.weights[where], self.n)
                 if without and without[at + q] >= 0:
                     s[without[at + q]] = 0
-                s = np.round(s, 9)
-                # The k-th largest of the blocks' maxima is not above the k-th similarity.
-                top = np.maximum.reduceat(s, np.arange(0, self.n, self.block))
-                least = np.partition(top, -k)[-k] if len(top) >= k else 0.0
-                may = np.flatnonzero((s >= least) & (s > 0))
-                best = may[np.lexsort((may, -s[may]))][:k]
-                out.append([(int(i), float(s[i])) for i in best])
+                out.append(self._best(s, terms, weights, k))
         return out
 
+    def _best(self, s, terms, weights, k: int) -> list[tuple[int, float]]:
+        """The k best by exact similarity, of those whose rough similarity ``s`` doesn't rule them out."""
+        # The k-th largest of the blocks' maxima is not above the k-th similarity.
+        top, slack = np.maximum.reduceat(s, np.arange(0, self.n, self.block)), 2 * SLACK * (len(terms) + 8)
+        least = np.partition(top, -k)[-k] if len(top) >= k else 0.0
+        may = np.flatnonzero((s >= least - slack) & (s > 0))
+        if len(may) > k:
+            may = may[s[may] >= np.partition(s[may], -k)[-k] - slack]
+        self.asked[terms] = weights
+        exact = np.array([self.asked[self.terms[a:b]] @ self.exact[a:b] for a, b in zip(self.begin[may], self.begin[may + 1], strict=True)])
+        self.asked[terms] = 0
+        exact = np.round(exact, 9)
+        best = np.lexsort((may, -exact))[:k]
+        return [(int(may[i]), float(exact[i])) for i in best if exact[i] > 0]
+
 
 class Terms:
-    """The numbers of the terms, and the terms of texts. What a word has is remembered, up to a bound."""
+    """The numbers of the terms, and the terms of texts.
+
+    Examples that have a word, or a longer stem of it, have its shorter stems too, so what a word
+    stands for is a chain: its longest term and all terms that this begins with. The longest
+    term of a word is remembered, up to a bound.
+    """
 
     def __init__(self, terms: list[str]):
-        self.number, self.seen = {t: i for i, t in enumerate(terms)}, {}
+        self.sent = zlib.compress("\n".join(terms).encode())
+        self.words = {t: i for i, t in enumerate(terms) if t[-1:] != "*"}
+        self.stems = {t[:-1]: i for i, t in enumerate(terms) if t[-1:] == "*"}
+        self.seen, self.times = {}, np.zeros(len(terms), np.int32)
+        size = [len(t) - (t[-1:] == "*") for t in terms]
+        parent = [self.stems.get(t[: min(n - 1, STEMS[-1])], -1) for t, n in zip(terms, size, strict=True)]
+        up = np.array([*parent, -1], np.int32)
+        chain = [np.arange(len(terms), dtype=np.int32)]
+        for _ in STEMS:
+            chain.append(up[chain[-1]])
+        #: A row of terms for each term; the last row, for words without any, is empty.
+        self.chain = np.full((len(terms) + 1, len(chain)), -1, np.int32)
+        self.chain[:-1] = np.stack(chain, axis=1)
 
     def __getstate__(self):
-        return zlib.compress("\n".join(self.number).encode())
+        return self.sent
 
     def __setstate__(self, sent):
-        self.__init__(zlib.decompress(sent).decode().split("\n"))
+        text = zlib.decompress(sent).decode()
+        self.__init__(text.split("\n") if text else [])
+
+    def _longest(self, word: str) -> int:
+        """The longest term that ``word`` is or begins with; -1: none."""
+        best, stems, n = -1, self.stems, len(word)
+        for m in STEMS:
+            if n <= m:
+                break
+            if (i := stems.get(word[:m])) is None:
+                return best
+            best = i
+        return self.words.get(word, best)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, how often each is in the text), by number."""
-        if len(self.seen) > 200_000:
-            self.seen.clear()
-        found, times = [], []
-        for w, n in Counter(words_of(text)).items():
-            own = self.seen.get(w)
-            if own is None:
-                own = [self.number.get(t) for t in (w, *(w[:m] + "*" for m in STEMS if len(w) > m))]
-                own = self.seen[w] = [i for i in own if i is not None]
-            found += own
-            times += [n] * len(own)
-        terms, where = np.unique(np.array(found, np.int32), return_inverse=True)
-        return terms, np.bincount(where, times, len(terms)).astype(np.int32)
+        seen, words = self.seen, words_of(text)
+        if len(seen) > 100_000:
+            seen.clear()
+        found = list(map(seen.get, words))
+        if None in found:
+            for i, n in enumerate(found):
+                if n is None:
+                    found[i] = seen[words[i]] = self._longest(words[i])
+        rows, often = np.unique(np.array(found, np.int64), return_counts=True)
+        all_terms = self.chain[rows]
+        has = all_terms >= 0
+        flat = all_terms[has]
+        np.add.at(self.times, flat, np.repeat(often.astype(np.int32), has.sum(axis=1)))
+        flat.sort()
+        terms = flat[np.append(True, flat[1:] != flat[:-1])] if len(flat) else flat
+        counts = self.times[terms]
+        self.times[terms] = 0
+        return terms, counts
 
 
 def packed(terms: np.ndarray, counts: np.ndarray) -> bytes:
