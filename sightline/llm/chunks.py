@@ -84,13 +84,12 @@ def in_groups(texts: list, chars: int = 2_000_000) -> Iterable[range]:
         yield range(start, len(texts))
 
 
-def gather(values: list[bytes], index, width: int = 4):
-    """The items of ``values[index[0]]``, ``values[index[1]]``, ... as one array of 32-bit integers, and how many each has."""
+def spread(flat, sizes, index):
+    """Of values that lie one after the other in ``flat``, as many items each as ``sizes`` say: the items of
+    those at ``index[0]``, ``index[1]``, ... as one array, and how many each has."""
     import numpy as np
 
-    size = np.fromiter(map(len, values), np.int64, len(values)) // width
-    start = np.cumsum(size) - size
-    flat, n = np.frombuffer(b"".join(values), np.int32), size[index]
+    start, n = np.cumsum(sizes) - sizes, sizes[index]
     behind = np.cumsum(n)
     where = np.repeat(start[index] - (behind - n), n)
     where += np.arange(len(where))

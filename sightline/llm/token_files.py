@@ -9,7 +9,6 @@ statistics and Bloom filters for lookups.
 from __future__ import annotations
 
 import os
-from array import array
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,38 +16,97 @@ from pyspark.sql import functions as F
 from . import chunks
 from .shared import LAST_ID
 
-#: Marks that end a word.
-_MARKS = ".,;:!?"
+#: A word of Latin letters with one mark behind it: the pre-tokenizer cuts before the mark.
+_MARKED, _MARKS = r"^[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]$", ".,;:!?"
+_WHITE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+#: Pieces that the library encodes in one text.
+AT_ONCE = 2_000
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>"
 STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 2_000
 
 
 class LibraryEncoder:
-    """Encodes texts with a tokenizers file, each distinct piece once while it is remembered."""
+    """Encodes texts with a tokenizers file, each distinct piece of a group of texts once.
+
+    Nothing is remembered from one group to the next, so memory is that of a group.
+    """
 
     def __init__(self, path: str):
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.marks = dict(zip(_MARKS, self._raw(list(_MARKS)), strict=True))
-        self.pieces = chunks.PieceMemory(self._pieces)
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        # The pre-tokenizer cuts between a word of letters and one mark behind it.
-        cut = [p[-1:] in self.marks and p[:-1].isalpha() for p in pieces]
-        words = [p[:-1] if c else p for p, c in zip(pieces, cut, strict=True)]
-        young = self.pieces.young
-        new = [w for w in dict.fromkeys(words) if w not in young]
-        known = dict(zip(new, self._raw([" " + w for w in new]), strict=True))
-        # Words of cut pieces are remembered by themselves too; whole pieces are by the caller.
-        young.update((w, known[w]) for w, c in zip(words, cut, strict=True) if c and w in known)
-        return [young[w] + self.marks[p[-1]] if c else known[w] if w in known else young[w] for p, w, c in zip(pieces, words, cut, strict=True)]
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
+        marks = self._each(list(_MARKS))
+        self.mark = dict(zip(_MARKS, marks[0].tolist(), strict=True))
+
+    def _each(self, texts: list[str]):
+        """(ids of the texts one after the other, how many each has)."""
+        import numpy as np
+
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for own in ids for i in own), np.int32, int(n.sum())), n
+
+    def _spaced(self, pieces):
+        """The same for an Arrow array of pieces, each behind a space. Only a piece's first token
+        holds a space, so many pieces are one text for the library."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = pc.or_(pc.equal(pieces, ""), pc.match_substring_regex(pieces, _WHITE)).to_numpy(zero_copy_only=False)
+        for s in self.special:
+            odd |= pc.match_substring(pieces, s.strip()).to_numpy(zero_copy_only=False)
+        plain = pieces.filter(pa.array(~odd)).to_pylist()
+        parts = [plain[i : i + AT_ONCE] for i in range(0, len(plain), AT_ONCE)]
+        flat, sizes = [], []
+        for i in range(0, len(parts), 16):
+            some = parts[i : i + 16]
+            for part, e in zip(some, self.library.encode_batch_fast([" " + " ".join(p) for p in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int32)
+                starts = np.flatnonzero(self.spaced[ids])
+                if len(starts) != len(part):
+                    ids, n = self._each([" " + p for p in part])
+                else:
+                    n = np.diff(np.append(starts, len(ids)))
+                flat.append(ids)
+                sizes.append(n)
+        whole, n = self._each([" " + p for p in pieces.filter(pa.array(odd)).to_pylist()])
+        flat, sizes = np.concatenate([*flat, whole]), np.concatenate([*sizes, n]).astype(np.int64)
+        # In the order of the pieces again.
+        place = np.empty(len(odd), np.int64)
+        place[~odd] = np.arange(len(plain))
+        place[odd] = len(plain) + np.arange(int(odd.sum()))
+        return chunks.spread(flat, sizes, place)
+
+    def _distinct(self, pieces):
+        """The ids of distinct pieces, each behind a space; a mark behind a word is a token of its own."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        marked = pc.match_substring_regex(pieces, _MARKED)
+        cores = pc.if_else(marked, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+        marked = marked.to_numpy(zero_copy_only=False)
+        ids, n = self._spaced(cores.dictionary)
+        core = cores.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        last = pc.utf8_slice_codeunits(pieces.filter(pa.array(marked)), -1).to_pylist()
+        # The marks stand behind the cores' ids as values of one id each.
+        flat = np.concatenate([ids, np.array([self.mark[m] for m in _MARKS], np.int32)])
+        sizes = np.concatenate([n, np.ones(len(_MARKS), np.int64)])
+        index = np.empty(len(core) + int(marked.sum()), np.int64)
+        at = np.arange(len(core)) + np.cumsum(marked) - marked
+        index[at] = core
+        index[at[marked] + 1] = len(n) + np.array([_MARKS.index(m) for m in last], np.int64)
+        out, each = chunks.spread(flat, sizes, index)
+        return out, np.add.reduceat(each, at) if len(at) else each
 
     def encode(self, texts):
         """For groups of the Arrow array ``texts`` (no nulls): the ids of the group's texts one after the
@@ -68,34 +126,21 @@ class LibraryEncoder:
                 held = [part[int(i)].as_py() for i in whole]
                 part = pc.if_else(pa.array(special[group.start : group.stop]), "", part)
             pieces, sizes = chunks.split_all(part)
-            coded = pieces.dictionary_encode()
-            index, behind = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes)
+            behind = np.cumsum(sizes)
             # A text's first piece has no space before it; that of a whole text is all of it.
             first = behind - sizes
             firsts = pieces.take(pa.array(first)).to_pylist()
             if len(whole):
                 for i, t in zip(whole, held, strict=True):
                     firsts[int(i)] = t
-            rest = np.ones(len(index), bool)
-            rest[first] = False
-            used = np.unique(index[rest])
-            place = np.zeros(len(coded.dictionary), np.int64)
-            place[used] = np.arange(len(used))
-            values = self.pieces.values(coded.dictionary.take(pa.array(used)).to_pylist()) + self._raw(firsts)
-            index = place[index]
-            index[first] = len(used) + np.arange(len(first))
-            ids, n = chunks.gather(values, index)
-            self.pieces.turn()
-            yield ids, np.add.reduceat(n, first)
-
-
-_encoders: dict[str, LibraryEncoder] = {}
-
-
-def encoder(path: str) -> LibraryEncoder:
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+            coded = pieces.dictionary_encode()
+            index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            del pieces
+            ids, n = self._distinct(coded.dictionary)
+            own, m = self._each(firsts)
+            index[first] = len(n) + np.arange(len(first))
+            out, each = chunks.spread(np.concatenate([ids, own]), np.concatenate([n, m]), index)
+            yield out, np.add.reduceat(each, first)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -114,7 +159,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        code, start, part = encoder(tokenizer_path), 0, TaskContext.get().partitionId()
+        code, start, part = LibraryEncoder(tokenizer_path), 0, TaskContext.get().partitionId()
         for batch in batches:
             at = 0
             for ids, n in code.encode(batch.column(1)):
