@@ -14,8 +14,8 @@ from .exact_dedup import exact_dedup
 from .line_dedup import drop_lines
 from .near_dedup import near_duplicates
 from .pii import pseudonymise
-from .shared import new_folder
-from .token_counts import count_tokens
+from .shared import new_folder, pin
+from .token_counts import longest_within, prefix_tables
 from .token_files import id_checksums, read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,9 +144,9 @@ FROM shingled d JOIN sets x ON x.s = list_sort(d.s) JOIN tops t ON t.id = x.id
 
 @query
 def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact token counts of whole texts, from their prefix tables."""
-    counts = count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), limit=2048)
-    return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars")
+    """Exact token counts of whole texts, and where a budget of 2048 tokens cuts them, from stored prefix tables."""
+    tables = pin(prefix_tables(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")), "prefix-tables")
+    return longest_within(tables, 2048).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "cut_chars")
 
 
 @query

@@ -90,3 +90,34 @@ def test_orc_of_few_rows(spark, texts):
     rows = spark.createDataFrame([(None if i == 2 else 5, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     token_files.write_tokens(rows, path, P.path("byte_bpe_50k.json"))
     assert sorted(r.start for r in token_files.read_tokens(spark, path).collect()) == [2 * i for i in range(len(texts))]
+
+
+def test_stored_prefix_tables(spark):
+    path = P.path("word_bpe_49k.json")
+    texts = [*ODD, "international " * 40, "x" * 64, "y" * 63, ("pneumonoultramicroscopic " * 30).strip(), "<|endoftext|>", "a<|startoftext|>" * 9]
+    rows = docs(spark, texts).unionByName(docs(spark, texts[-3:]))
+    whole = {}
+    for r in token_counts.count_tokens(rows, path, store=True).collect():
+        whole.setdefault(r.doc_id, []).append(list(r.prefix_counts))
+    tables = token_counts.prefix_tables(rows, path)
+    lib, text_of = Tokenizer.from_file(path), {}
+    for r in rows.collect():
+        text_of.setdefault(r.doc_id, []).append(r.text or "")
+    for budget in (0, 1, 7, 20):
+        for r in token_counts.longest_within(tables, budget).collect():
+            assert r.cut_chars in [max(i for i, c in enumerate(w) if c <= budget) for w in whole[r.doc_id]]
+            assert r.n_tokens in [len(lib.encode(t, add_special_tokens=False).ids) for t in text_of[r.doc_id]]
+    for chars in (0, 1, 63, 64, 65, 200, 10_000):
+        for r in token_counts.count_of_prefix(tables, chars).collect():
+            assert r.prefix_tokens in [w[min(chars, len(w) - 1)] for w in whole[r.doc_id]]
+    assert tables.count() == len(texts) + 3
+    none = token_counts.prefix_tables(docs(spark, []), path)
+    assert none.count() == 0 and token_counts.longest_within(none, 5).count() == 0
+
+
+def test_prefixes_with_special_strings(spark):
+    path = P.path("word_bpe_49k.json")
+    lib, tables = Tokenizer.from_file(path), token_counts.PrefixTables(path)
+    for text in ("hi <|endoftext|> you", "<|startoftext|>", "a<|endoftext|>", "<|endoftext|><|endoftext|> b"):
+        counts = next(tables.tables([text]))
+        assert [int(c) for c in counts] == [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
