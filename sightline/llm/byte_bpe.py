@@ -1,19 +1,22 @@
 """Byte-level BPE by recursive queries over token-position rows.
 
-Each task splits its texts into words with the vocabulary's pattern. Words that the task's
-worker has not met go to an in-process DuckDB as one row for each byte. A recursive query
-joins neighbouring tokens with the merge table and contracts each word's leftmost pair of
-smallest rank, until no word has a pair left; an ordered aggregation collects the ids, and
-another joins the ids with the vocabulary and puts their bytes together again. A text's
-ids and bytes are those of its words in order.
+Each task splits its texts into words with the vocabulary's pattern. Words that the task has not
+met go to an in-process DuckDB as one row for each byte. A recursive query joins neighbouring
+tokens with the merge table and contracts each word's leftmost pair of smallest rank, until no
+word has a pair left; an ordered aggregation collects the ids, and another joins the ids with
+the vocabulary and puts their bytes together again. A text's ids and bytes are those of its words in order.
+
+A query goes as many rounds as its rows allow (ROUND_ROWS); words that are not done then go on in the
+next one, so that a word of any length takes the same way in bounded memory.
 
 Documents don't leave their partition: there is no shuffle, and a lost executor costs its
-own partitions only.
+own partitions only. What a task holds ends with it.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -21,33 +24,36 @@ from pyspark.sql import DataFrame
 
 from . import chunks
 
-#: Rows of words in one recursive query, in bytes: bounds the memory of a task.
-QUERY_BYTES = 400_000
-#: A word of more bytes is contracted with a heap: the query's rounds grow with its length.
-LONG_WORD = 400
+#: Rows that begin one recursive query, in bytes of words, and rows that all its rounds make.
+QUERY_BYTES, ROUND_ROWS = 400_000, 6_000_000
+#: Characters of the texts that are encoded together, and words that a task remembers.
+GROUP_CHARS, WORDS = 4_000_000, 300_000
 
-#: A pair is packed in one number: its rank, the position of its left token (both below 2**10
-#: for words up to LONG_WORD bytes) and the left token's bytes. The smallest is the one to merge.
+#: A pair is packed in one number: its rank, the position of its left token (32 bits) and the left
+#: token's bytes (10 bits). The smallest is the one to merge.
 ENCODE_SQL = """
-WITH RECURSIVE state(word, pos, tok, going) AS (
-  SELECT word, pos, tok, true FROM start_rows
+CREATE OR REPLACE TEMP TABLE ended AS
+WITH RECURSIVE state(word, pos, tok, going, round) AS (
+  SELECT word, pos, tok, true, 0 FROM start_rows
   UNION ALL
   (WITH paired AS MATERIALIZED (
-     SELECT n.word, n.pos, n.tok, m.packed + n.pos * 1024 AS pair
-     FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS after FROM state WHERE going) n
+     SELECT n.word, n.pos, n.tok, n.round, m.packed + (n.pos::BIGINT << 10) AS pair
+     FROM (SELECT word, pos, tok, round, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS after FROM state WHERE going AND round < $rounds) n
      LEFT JOIN merges m ON m.l = n.tok AND m.r = n.after
    ), best AS (
      SELECT word, min(pair) AS best FROM paired GROUP BY word
    )
-   SELECT p.word, p.pos, CASE WHEN (best >> 10) & 1023 = pos THEN (best >> 20)::INT ELSE tok END, best IS NOT NULL
+   SELECT p.word, p.pos, CASE WHEN (best >> 10) & 4294967295 = pos THEN (best >> 42)::INT ELSE tok END, best IS NOT NULL, round + 1
    FROM paired p JOIN best b ON p.word = b.word
-   WHERE best IS NULL OR pos <> ((best >> 10) & 1023) + (best & 1023))
-), ended AS (
-  SELECT word, pos, tok FROM state WHERE NOT going
+   WHERE best IS NULL OR pos <> ((best >> 10) & 4294967295) + (best & 1023))
 )
+SELECT word, pos, tok, going FROM state WHERE NOT going OR round = $rounds
+"""
+DECODE_SQL = """
 SELECT e.word, list(e.tok ORDER BY e.pos) AS ids, string_agg(v.chars, '' ORDER BY e.pos) AS chars
 FROM ended e JOIN vocabulary v ON v.tok = e.tok
-GROUP BY e.word ORDER BY e.word
+WHERE NOT e.going
+GROUP BY e.word
 """
 
 
@@ -57,8 +63,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@functools.lru_cache(maxsize=1)
+def _tables(path: str):
+    """The merge table (a pair for each way to cut a token in two), the vocabulary, and the token of each byte."""
+    import pyarrow as pa
+
+    ranks = read_ranks(path)
+    pairs = [(ranks[t[:i]], ranks[t[i:]], (r << 42) + i) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    left, right, packed = zip(*pairs, strict=True)
+    merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "packed": pa.array(packed, pa.int64())})
+    # A byte is the character of its number, so that text aggregation joins bytes.
+    vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "chars": [t.decode("latin-1") for t in ranks]})
+    return merges, vocabulary, [ranks[bytes([i])] for i in range(256)], max(ranks.values())
+
+
 class WordCoder:
-    """Encodes and decodes words; one for each Python worker."""
+    """Encodes and decodes texts; one for each task."""
 
     def __init__(self, vocabulary_path: str, pattern: str):
         import duckdb
@@ -67,99 +87,95 @@ class WordCoder:
         import regex
 
         self.np, self.pa = np, pa
-        self.ranks = ranks = read_ranks(vocabulary_path)
-        self.bytes_of = {r: t for t, r in ranks.items()}
-        self.pattern = regex.compile(pattern)
-        self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
-        pairs = [(ranks[t[:i]], ranks[t[i:]], (r << 20) + i) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        left, right, packed = zip(*pairs, strict=True)
-        self.db.register("pairs_in", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "packed": pa.array(packed, pa.int64())}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs_in")
-        # A byte is the character of its number, so that text aggregation joins bytes.
-        self.db.register("tokens_in", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "chars": [t.decode("latin-1") for t in ranks]}))
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens_in")
-        self.words = chunks.PieceMemory(self._encode_words)
-        self.pieces = chunks.PieceMemory(self._encode_pieces)
-        self.heads: dict[str, tuple] = {}
-
-    def _query(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        merges, vocabulary, byte_id, self.largest = _tables(vocabulary_path)
+        self.pattern, self.byte_id = regex.compile(pattern), np.array(byte_id, np.int32)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
+            self.db.register("rows_in", rows)
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
+            self.db.unregister("rows_in")
+        self._forget()
+
+    def close(self) -> None:
+        self.db.close()
+        self._forget()
+
+    def _forget(self) -> None:
+        """No words known: their ids one after the other and how many each has, and the same for their bytes."""
         np = self.np
-        sizes = np.array([len(w) for w in words])
+        self.number: dict[str, int] = {}
+        self.ids, self.n_ids = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.chars, self.n_chars = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+
+    def _query(self, words: list[bytes]):
+        """(ids of the words one after the other, how many each has, the bytes they decode to, how many)."""
+        np, pa = self.np, self.pa
+        sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        pos = (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32)
-        rows = self.pa.table({"word": word, "pos": pos, "tok": self.byte_id[np.frombuffer(b"".join(words), np.uint8)]})
-        self.db.register("start_rows", rows)
-        found = self.db.execute(ENCODE_SQL).fetchnumpy()
-        return [(np.asarray(i, np.int32).tobytes(), c.encode("latin-1")) for i, c in zip(found["ids"], found["chars"], strict=True)]
-
-    def _heap(self, word: bytes) -> tuple[bytes, bytes]:
-        """One very long word: the same contractions, with a heap of pairs."""
-        import heapq
-
-        ranks, n = self.ranks, len(word)
-        piece = [word[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, piece[i] + piece[i + 1]) for i in range(n - 1) if (r := ranks.get(piece[i] + piece[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            if piece[i] is None or (j := after[i]) >= n or piece[i] + piece[j] != both:
-                continue
-            piece[i], piece[j], after[i] = both, None, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < n and (r := ranks.get(x := piece[a] + piece[after[a]])) is not None:
-                    heapq.heappush(heap, (r, a, x))
-        ids = [ranks[p] for p in piece if p is not None]
-        return self.np.array(ids, self.np.int32).tobytes(), b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def _encode_words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        raw = [w.encode() for w in words]
-        out: list = [self._heap(w) if len(w) > LONG_WORD else None for w in raw]
-        short = [i for i, w in enumerate(raw) if len(w) <= LONG_WORD]
-        group, size = [], 0
-        for k, i in enumerate(short):
-            group.append(i)
-            size += len(raw[i])
-            if size >= QUERY_BYTES or k == len(short) - 1:
-                for j, x in zip(group, self._query([raw[j] for j in group]), strict=True):
-                    out[j] = x
+        rows = pa.table(
+            {
+                "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
+                "pos": (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32),
+                "tok": self.byte_id[np.frombuffer(b"".join(words), np.uint8)],
+            }
+        )
+        order, ids, n_ids, chars = [], [], [], []
+        while rows.num_rows:
+            self.db.register("start_rows", rows)
+            self.db.execute(ENCODE_SQL, {"rounds": max(8, ROUND_ROWS // rows.num_rows)})
+            done = self.db.sql(DECODE_SQL).to_arrow_table()
+            order.append(done["word"].to_numpy())
+            for lists in done["ids"].chunks:
+                ids.append(lists.flatten().to_numpy(zero_copy_only=False))
+                n_ids.append(lists.value_lengths().to_numpy(zero_copy_only=False))
+            chars += done["chars"].to_pylist()
+            rows = self.db.sql("SELECT word, pos, tok FROM ended WHERE going").to_arrow_table()
+        place = np.argsort(np.concatenate(order))
+        n_chars, decoded = np.fromiter(map(len, chars), np.int64, len(chars)), np.frombuffer("".join(chars).encode("latin-1"), np.uint8)
+        return *chunks.spread(np.concatenate(ids).astype(np.int32), np.concatenate(n_ids).astype(np.int64), place), *chunks.spread(decoded, n_chars, place)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new distinct words."""
+        np, found, group, size = self.np, [], [], 0
+        for i, w in enumerate(words):
+            raw = w.encode()
+            group.append(raw)
+            size += len(raw)
+            if size >= QUERY_BYTES or i == len(words) - 1:
+                found.append(self._query(group))
                 group, size = [], 0
-        return out
-
-    def _join(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
-        split = [self.pattern.findall(p) for p in pieces]
-        found = self.words.values([w for ws in split for w in ws])
-        self.words.turn()
-        return [(b"".join([x[0] for x in xs]), b"".join([x[1] for x in xs])) for xs in chunks.by_text(found, [len(ws) for ws in split])]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
-        return self._join([" " + p for p in pieces])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text its ids as 32-bit integers, and the bytes that they decode to."""
-        for group in chunks.in_groups(texts):
-            split = [chunks.split(texts[i]) for i in group]
-            found = self.pieces.values([p for s in split for p in s[1:]])
+        if found:
+            old = (self.ids, self.n_ids, self.chars, self.n_chars)
+            self.ids, self.n_ids, self.chars, self.n_chars = (np.concatenate([a, *parts]) for a, parts in zip(old, zip(*found, strict=True), strict=True))
+
+    def encode(self, texts: list[str]) -> Iterator[tuple]:
+        """For each text its ids, and the bytes that they decode to, as arrays."""
+        np, pa = self.np, self.pa
+        for group in chunks.in_groups(texts, GROUP_CHARS):
+            if len(self.number) > WORDS:
+                self._forget()
+            pieces, sizes = chunks.split_all(pa.array([texts[i] for i in group], pa.string()))
+            first = np.cumsum(sizes) - sizes
             # A text's first piece has no space before it.
-            firsts = self._join([s[0] for s in split])
-            for first, rest in zip(firsts, chunks.by_text(found, [len(s) - 1 for s in split]), strict=True):
-                yield first[0] + b"".join([x[0] for x in rest]), first[1] + b"".join([x[1] for x in rest])
-            self.pieces.turn()
-
-
-_coders: dict[tuple, WordCoder] = {}
-
-
-def coder(vocabulary_path: str, pattern: str) -> WordCoder:
-    """This worker's coder."""
-    key = (vocabulary_path, pattern)
-    if key not in _coders:
-        _coders[key] = WordCoder(*key)
-    return _coders[key]
+            firsts = pieces.take(pa.array(first)).to_pylist()
+            coded = pieces.dictionary_encode()
+            index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            known = coded.dictionary.to_pylist()
+            index[first] = len(known) + np.arange(len(firsts))
+            split = [self.pattern.findall(" " + p) for p in known] + [self.pattern.findall(p) for p in firsts]
+            number, at = self.number, len(self.number)
+            words = np.fromiter((number.setdefault(w, len(number)) for ws in split for w in ws), np.int64)
+            self._learn(list(number)[at:])
+            each = np.fromiter(map(len, split), np.int64, len(split))
+            words, n = chunks.spread(words, each, index)
+            # Words of each text: its pieces' together.
+            behind = np.append(0, np.cumsum(n))[np.append(first, len(n))]
+            ids, n_ids = chunks.spread(self.ids, self.n_ids, words)
+            ends = np.append(0, np.cumsum(n_ids))[behind]
+            back, n_back = chunks.spread(self.chars, self.n_chars, words)
+            back_ends = np.append(0, np.cumsum(n_back))[behind]
+            for a, b, c, d in zip(ends[:-1], ends[1:], back_ends[:-1], back_ends[1:], strict=True):
+                yield ids[a:b], back[c:d]
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: str = "ids") -> DataFrame:
@@ -178,21 +194,19 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: s
         import numpy as np
         import pyarrow as pa
 
-        words = coder(vocabulary_path, pattern)
-        decimal = np.array([b"%d" % i for i in range(max(words.bytes_of) + 1)], object)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, n, a, b = batch.column(0), [], [], []
-            for raw, back in words.encode(texts):
-                n.append(len(raw) // 4)
-                if digests:
-                    a.append(hashlib.sha256(b" ".join(decimal[np.frombuffer(raw, np.int32)].tolist())).hexdigest())
-                    b.append(hashlib.sha256(back).hexdigest())
-                else:
-                    a.append(np.frombuffer(raw, np.int32))
-                    b.append(back)
-            types = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
-            names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, types[0]), pa.array(b, types[1])], names=names)
+        words = WordCoder(vocabulary_path, pattern)
+        decimal = np.array([b"%d" % i for i in range(words.largest + 1)], object)
+        names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+        types = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
+        try:
+            for batch in batches:
+                n, a, b = [], [], []
+                for ids, back in words.encode([t or "" for t in batch.column(1).to_pylist()]):
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(b" ".join(decimal[ids].tolist())).hexdigest() if digests else ids)
+                    b.append(hashlib.sha256(back).hexdigest() if digests else back.tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, types[0]), pa.array(b, types[1])], names=names)
+        finally:
+            words.close()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

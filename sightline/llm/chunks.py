@@ -1,11 +1,10 @@
-"""Splitting texts where no tokenizer of the byte-level kind joins the two sides, and a bounded
-memory of what such pieces encode to. Runs inside tasks."""
+"""Splitting texts where no tokenizer of the byte-level kind joins the two sides, and putting what the
+pieces encode to together again. Runs inside tasks."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
-from itertools import pairwise
+from collections.abc import Iterable
 
 _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 #: A space that follows white space is not a safe place.
@@ -43,35 +42,6 @@ def split_all(texts):
     return pa.concat_arrays([*parts, pieces.slice(at)]), sizes
 
 
-class PieceMemory:
-    """What pieces encode to, of bounded size: the pieces used since the last turn, and those
-    of the turn before. ``encode`` gets distinct unknown pieces and returns a value for each."""
-
-    def __init__(self, encode: Callable[[list[str]], list], cap: int = 400_000):
-        self.encode, self.cap, self.young, self.old = encode, cap, {}, {}
-
-    def values(self, pieces: list[str]) -> list:
-        """What each of ``pieces`` encodes to."""
-        young, old = self.young, self.old
-        out = list(map(young.get, pieces))
-        if None in out:
-            at = [i for i, v in enumerate(out) if v is None]
-            missing = {pieces[i] for i in at}
-            if old:
-                for p in missing & old.keys():
-                    young[p] = old.pop(p)
-            if new := [p for p in missing if p not in young]:
-                young.update(zip(new, self.encode(new), strict=True))
-            for i in at:
-                out[i] = young[pieces[i]]
-        return out
-
-    def turn(self) -> None:
-        """Call between documents: forgets what two turns did not use."""
-        if len(self.young) > self.cap:
-            self.old, self.young = self.young, {}
-
-
 def in_groups(texts: list, chars: int = 2_000_000) -> Iterable[range]:
     """Ranges of positions in ``texts`` whose texts have about ``chars`` characters together."""
     start, total = 0, 0
@@ -96,14 +66,6 @@ def spread(flat, sizes, index):
     return flat[where], n
 
 
-def by_text(values: list, sizes: list[int]) -> Iterable[list]:
-    """Consecutive parts of ``values``, as long as ``sizes`` say."""
-    ends = [0]
-    for n in sizes:
-        ends.append(ends[-1] + n)
-    return (values[a:b] for a, b in pairwise(ends))
-
-
 def spans(lengths, total: int = 12_000_000) -> Iterable[range]:
     """Ranges of positions whose ``lengths`` sum to about ``total``."""
     import numpy as np
