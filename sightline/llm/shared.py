@@ -35,4 +35,35 @@ def pin(df: DataFrame, name: str = "step") -> DataFrame:
     executor costs one read of a file."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._pinned_at = path
+    return out
+
+
+def buckets_of(spark: SparkSession) -> int:
+    """How many buckets a table of this run has: as many as a shuffle has partitions, which follow the cluster's setting."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def pin_bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed and sorted by ``keys``: joins and groups on them read it
+    without an exchange. Deal ``df`` by the keys first, or each task writes a file for each bucket."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    table = "sightline_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.bucketBy(buckets_of(spark), *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._pinned_at, out._pinned_as = path, table
+    return out
+
+
+def unpin(*tables: DataFrame | None) -> None:
+    """Delete pinned tables that nothing will read again; their readers' results must be written."""
+    for df in tables:
+        path = getattr(df, "_pinned_at", None)
+        if path:
+            spark = df.sparkSession
+            if getattr(df, "_pinned_as", None):
+                spark.sql(f"DROP TABLE IF EXISTS {df._pinned_as}")
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            df._pinned_at = None
