@@ -26,7 +26,7 @@ from . import chunks
 #: Prefixes in a block of a stored table.
 BLOCK = 64
 #: Characters of the texts that are tabled together, and table cells of words side by side: bounds memory.
-GROUP_CHARS, CELLS = 5_000_000, 1_000_000
+GROUP_CHARS, CELLS = 2_000_000, 1_000_000
 #: Remembered pairs of tokens.
 PAIRS = 1_000_000
 _END = 256
