@@ -22,13 +22,28 @@ def heatmap_totals(cells: DataFrame) -> DataFrame:
     return cells.groupBy("run_id").agg(F.round(F.max("seconds"), 3).alias("max_s"), F.round(F.sum("seconds"), 3).alias("total_s"))
 
 
-def scene_heatmap(tracklets: DataFrame, fps: float, grid: int = GRID) -> DataFrame:
-    """Seconds of presence for each run, scene segment and cell of the segment's own extent (at least 1 wide)."""
-    p = tracklets.select("run_id", "scene_segment", G.foot_x().alias("x"), F.col("y1").alias("y"))
-    extent = p.groupBy("run_id", "scene_segment").agg(F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"))
+def scene_heatmap(tracklets: DataFrame, fps: float, grid_w: int = GRID) -> DataFrame:
+    """Seconds of presence for each run, scene segment and cell: centre x and y, width and height of the cell, and
+    the segment's bounds.
+
+    Reads ``scene_x`` and ``scene_y``; rows without them have no place. Each segment's own extent, at least 1 wide
+    and high, has ``grid_w`` columns and as many rows as make the cells about square.
+    """
+    p = tracklets.filter("scene_x IS NOT NULL AND scene_y IS NOT NULL").select("run_id", "scene_segment", F.col("scene_x").alias("x"), F.col("scene_y").alias("y"))
+    extent = p.groupBy("run_id", "scene_segment").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
+    span_x, span_y = F.greatest(F.col("max_x") - F.col("min_x"), F.lit(1.0)), F.greatest(F.col("max_y") - F.col("min_y"), F.lit(1.0))
+    # bround: halves to the even number.
+    extent = extent.withColumn("rows", F.greatest(F.lit(1), F.bround(F.lit(float(grid_w)) * span_y / span_x).cast("int")))
+    extent = extent.withColumn("width", span_x / grid_w).withColumn("height", span_y / F.col("rows"))
     j = p.join(extent, ["run_id", "scene_segment"])
-    cell = lambda v, lo, hi: F.least(F.lit(grid - 1), F.floor((F.col(v) - F.col(lo)) / F.greatest(F.col(hi) - F.col(lo), F.lit(1.0)) * grid).cast("int"))
-    return j.groupBy("run_id", "scene_segment", cell("x", "lx", "hx").alias("gx"), cell("y", "ly", "hy").alias("gy")).agg((F.count(F.lit(1)) / F.lit(fps)).alias("seconds"))
+    cell = lambda v, low, size, n: F.least(n - 1, F.floor((F.col(v) - F.col(low)) / F.col(size)).cast("int"))
+    placed = j.withColumn("gx", cell("x", "min_x", "width", F.lit(grid_w))).withColumn("gy", cell("y", "min_y", "height", F.col("rows")))
+    cells = placed.groupBy("run_id", "scene_segment", "gx", "gy", "min_x", "min_y", "max_x", "max_y", "width", "height").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda low, g, size: F.round(F.col(low) + (F.col(g) + 0.5) * F.col(size), 4)
+    return cells.select(
+        "run_id", "scene_segment", at("min_x", "gx", "width").alias("x"), at("min_y", "gy", "height").alias("y"), F.round("width", 4).alias("width"), F.round("height", 4).alias("height"),
+        F.round(F.col("n") / F.lit(fps), 3).alias("seconds"), *(F.round(c, 4).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")),
+    )
 
 
 def downsample(tracklets: DataFrame, keys: list[str], max_points: int) -> DataFrame:

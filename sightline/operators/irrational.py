@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .islands import replay, spans, sustained_since
+from .islands import spans, sustained_since
 
 KEYS = ["run_id", "tracklet_id", "segment_run"]
 
@@ -100,53 +99,72 @@ def counterflow(k: DataFrame, fps: float, cfg: Irrational = Irrational(), around
     return s.filter(duration >= cfg.counterflow_time_s).select(*KEYS, "frame_no", "angle", "flow", "coherence", "near", duration.alias("duration_s"))
 
 
+def _turns(x, y, body, excursion: float) -> list[int]:
+    """The row numbers at which a path turns back, in one direction after the other.
+
+    A leg runs from the place of the last turn's far end to the first row that has come back from the leg's
+    own far end by ``excursion`` body heights. Legs are searched in blocks of growing size.
+    """
+    import numpy as np
+
+    found, origin, far, reach, at, size = [], 0, 0, 0.0, 1, 64
+    while at < len(x):
+        rows = slice(at, at + size)
+        out = np.hypot(x[rows] - x[origin], y[rows] - y[origin]) / body[rows]
+        before = np.maximum.accumulate(np.append(reach, out))
+        further = out > before[:-1]
+        ends = np.maximum.accumulate(np.where(further, np.arange(at, at + len(out)), far))
+        back = np.hypot(x[rows] - x[ends], y[rows] - y[ends]) / body[rows]
+        hits = np.flatnonzero(~further & (back >= excursion))
+        if len(hits):
+            origin, far = int(ends[hits[0]]), at + int(hits[0])
+            reach, at, size = float(back[hits[0]]), far + 1, 64
+            found.append(far)
+        else:
+            reach, far, at, size = float(before[-1]), int(ends[-1]), at + len(out), min(2 * size, 4096)
+    return found
+
+
 def oscillation(k: DataFrame, fps: float, cfg: Irrational = Irrational()) -> DataFrame:
-    """Rows with enough reversals between two areas in the window: reversals."""
-
-    def step(s, row):
-        t, here, body = row.frame_no / fps, (row.x, row.y), max(row.body, 1.0)
-        if s["pivot"] is None:
-            s["pivot"] = s["far"] = here
-            return [None]
-        away = math.dist(here, s["pivot"]) / body
-        if away > s["reach"]:
-            s["far"], s["reach"] = here, away
-        elif math.dist(here, s["far"]) / body >= cfg.oscillation_excursion_bh:
-            s["turns"].append(t)
-            s["pivot"], s["far"] = s["far"], here
-            s["reach"] = math.dist(here, s["pivot"]) / body
-        while s["turns"] and t - s["turns"][0] > cfg.oscillation_window_s:
-            s["turns"].popleft()
-        return [len(s["turns"]) if len(s["turns"]) >= cfg.oscillation_reversals else None]
-
-    start = lambda: {"pivot": None, "far": None, "reach": 0.0, "turns": deque()}
-    schema = "run_id bigint, tracklet_id bigint, segment_run bigint, frame_no int, reversals int"
-    return replay(k, KEYS, "frame_no", start, step, schema, ["frame_no", "x", "y", "body"]).filter("reversals IS NOT NULL")
+    """Rows with enough reversals between two areas in the window: reversals.
+
+    A track's turns follow one another, so they are found track by track; how many lie in the window before
+    each row is a count over a range of frames.
+    """
+
+    def turns(pdf):
+        pdf = pdf.sort_values("frame_no")
+        rows = _turns(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["body"].clip(lower=1.0).to_numpy(float), cfg.oscillation_excursion_bh)
+        turned = pdf[[*KEYS, "frame_no"]].reset_index(drop=True)
+        turned["turned"] = 0
+        turned.loc[rows, "turned"] = 1
+        return turned
+
+    rows = k.select(*KEYS, "frame_no", "x", "y", "body").groupBy(*KEYS).applyInPandas(turns, "run_id bigint, tracklet_id bigint, segment_run bigint, frame_no int, turned int")
+    window = Window.partitionBy(*KEYS).orderBy("frame_no").rangeBetween(-math.floor(cfg.oscillation_window_s * fps + 1e-9), 0)
+    return rows.select(*KEYS, "frame_no", F.sum("turned").over(window).cast("int").alias("reversals")).filter(F.col("reversals") >= cfg.oscillation_reversals)
 
 
 def freeze_bolt(k: DataFrame, fps: float, cfg: Irrational = Irrational()) -> DataFrame:
-    """Rows held behind a freeze and a bolt soon after it: freeze_s, bolt_speed."""
+    """Rows held behind a freeze and a bolt soon after it: freeze_s, bolt_speed.
 
-    def step(s, row):
-        t = row.frame_no / fps
-        if row.speed < cfg.freeze_speed:
-            s["since"] = t if s["since"] is None else s["since"]
-            s["last"] = t
-        else:
-            if s["since"] is not None and s["last"] - s["since"] >= cfg.freeze_time_s:
-                s["frozen"] = (s["last"], s["last"] - s["since"])
-            s["since"] = None
-        if s["frozen"]:
-            gap = t - s["frozen"][0]
-            if gap > cfg.bolt_within_s:
-                s["frozen"] = None
-            elif row.speed > cfg.bolt_speed:
-                s["until"], s["detail"], s["frozen"] = t + cfg.bolt_hold_s, [s["frozen"][1], row.speed], None
-        return s["detail"] if s["until"] is not None and t <= s["until"] else [None, None]
-
-    start = lambda: {"since": None, "last": None, "frozen": None, "until": None, "detail": None}
-    schema = "run_id bigint, tracklet_id bigint, segment_run bigint, frame_no int, freeze_s double, bolt_speed double"
-    return replay(k, KEYS, "frame_no", start, step, schema, ["frame_no", "speed"]).filter("freeze_s IS NOT NULL")
+    A freeze is an island of still rows; the first fast row soon enough behind its end is its bolt, and the rows
+    for some time from a bolt on are held by it.
+    """
+    order = Window.partitionBy(*KEYS).orderBy("frame_no")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    seconds = lambda frames: frames / F.lit(fps)
+    still = F.coalesce(F.col("speed") < cfg.freeze_speed, F.lit(False))
+    rows = k.select(*KEYS, "frame_no", "speed", still.alias("still")).withColumn("island", F.sum(F.when(F.col("still"), 0).otherwise(1)).over(so_far))
+    begin = F.min(F.when(F.col("still"), F.col("frame_no"))).over(Window.partitionBy(*KEYS, "island"))
+    rows = rows.withColumn("long", F.when(F.col("still") & (seconds(F.col("frame_no") - begin) >= cfg.freeze_time_s), F.struct(F.col("frame_no").alias("end"), seconds(F.col("frame_no") - begin).alias("freeze_s"))))
+    rows = rows.withColumn("freeze", F.last("long", ignorenulls=True).over(so_far))
+    fast = ~F.col("still") & (F.col("speed") > cfg.bolt_speed) & (seconds(F.col("frame_no") - F.col("freeze.end")) <= cfg.bolt_within_s)
+    first = F.min(F.when(fast, F.col("frame_no"))).over(Window.partitionBy(*KEYS, "freeze.end"))
+    bolt = F.when(fast & (F.col("frame_no") == first), F.struct(F.col("frame_no").alias("at"), F.col("freeze.freeze_s").alias("freeze_s"), F.col("speed").alias("bolt_speed")))
+    rows = rows.withColumn("bolt", bolt).withColumn("bolt", F.last("bolt", ignorenulls=True).over(so_far))
+    held = rows.filter(seconds(F.col("frame_no")) <= seconds(F.col("bolt.at")) + F.lit(cfg.bolt_hold_s))
+    return held.select(*KEYS, "frame_no", "bolt.freeze_s", "bolt.bolt_speed")
 
 
 #: The order of the signals in a summary, and their names there.
@@ -172,11 +190,16 @@ def ensemble(k: DataFrame, fps: float, cfg: Irrational = Irrational(), still: Da
     return out
 
 
-def irrational_events(rows: DataFrame, fps: float, cfg: Irrational = Irrational()) -> DataFrame:
-    """One event for each span of fired rows of an ensemble; confidence grows with score and track quality."""
+def irrational_events(rows: DataFrame, fps: float, cfg: Irrational = Irrational(), persons: DataFrame | None = None) -> DataFrame:
+    """One event for each span of fired rows of an ensemble; confidence grows with score and track quality.
+
+    ``persons``: run_id, tracklet_id, person_id (see person_of_tracklet); events of these tracklets carry the person.
+    """
     quality = rows.groupBy("run_id", "tracklet_id").agg(F.count(F.lit(1)).alias("rows"), (F.max("frame_no") - F.min("frame_no") + 1).alias("frames"))
-    # Without identities a track's stability counts 0.7.
-    quality = quality.select("run_id", "tracklet_id", ((F.least(F.lit(1.0), F.col("frames") / F.lit(fps) / 10) + F.col("rows") / F.col("frames") + 0.7) / 3).alias("quality"))
+    quality = quality.join(persons, ["run_id", "tracklet_id"], "left") if persons is not None else quality.withColumn("person_id", F.lit(None).cast("bigint"))
+    # A track without a person counts 0.7 for stability.
+    stable = F.when(F.col("person_id").isNotNull(), 1.0).otherwise(0.7)
+    quality = quality.select("run_id", "tracklet_id", "person_id", ((F.least(F.lit(1.0), F.col("frames") / F.lit(fps) / 10) + F.col("rows") / F.col("frames") + stable) / 3).alias("quality"))
     state = rows.withColumn("state", F.when(F.col("fired"), "fired").otherwise("ok"))
     s = spans(state, "state", ["run_id", "tracklet_id"], "frame_no", [F.max("score").alias("top"), *(F.max(n).alias(n) for n, _ in SUMMARY)])
     margin = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("top") - cfg.score) / cfg.score))
@@ -185,5 +208,5 @@ def irrational_events(rows: DataFrame, fps: float, cfg: Irrational = Irrational(
     return s.join(quality, ["run_id", "tracklet_id"]).select(
         "run_id", F.format_string("irrationell-%06d", seq).alias("event_id"), F.lit("IRRATIONELL").alias("category"), "tracklet_id", "frame_start", "frame_end",
         (F.col("frame_start") / F.lit(fps)).alias("t_start"), ((F.col("frame_end") + 1) / F.lit(fps)).alias("t_end"),
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.3 + 0.7 * margin * F.col("quality"))), 6).alias("confidence"), summary.alias("summary"),
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.3 + 0.7 * margin * F.col("quality"))), 6).alias("confidence"), summary.alias("summary"), "person_id",
     )

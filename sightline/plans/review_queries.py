@@ -109,15 +109,15 @@ def replaced_category(spark, sf_dir):
 
 # --- matching ------------------------------------------------------------------------------
 
-SIDES_SQL = """
-ai AS (SELECT user_id % 8 AS run_id, event_id AS a_id, epoch(ts) AS ta FROM events WHERE event_type = 'click' AND event_id % 3 = 0),
-op AS (SELECT user_id % 8 AS run_id, event_id AS b_id, epoch(ts) AS tb FROM events WHERE event_type = 'purchase')"""
+SIDES_SQL = f"""
+ai AS (SELECT user_id // {A.RUN_USERS} AS run_id, event_id AS a_id, epoch(ts) AS ta FROM events WHERE event_type = 'click'),
+op AS (SELECT user_id // {A.RUN_USERS} AS run_id, event_id AS b_id, epoch(ts) AS tb FROM events WHERE event_type = 'purchase')"""
 TOL = 60.0
 
 
 def sides(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").withColumn("run_id", F.col("user_id") % 8).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    a = e.filter("event_type = 'click' AND event_id % 3 = 0").select("run_id", F.col("event_id").alias("a_id"), F.col("t").alias("ta"))
+    e = A.table(spark, sf_dir, "events").withColumn("run_id", A.run_of("user_id")).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    a = e.filter("event_type = 'click'").select("run_id", F.col("event_id").alias("a_id"), F.col("t").alias("ta"))
     return a, e.filter("event_type = 'purchase'").select("run_id", F.col("event_id").alias("b_id"), F.col("t").alias("tb"))
 
 
@@ -142,8 +142,8 @@ def comparison_counts(spark, sf_dir):
 def ground_truth_score(spark, sf_dir):
     """Reference entries found or missed by each side, matched independently."""
     a, b = sides(spark, sf_dir)
-    truth = A.table(spark, sf_dir, "events").filter("event_type = 'view' AND event_id % 5 = 0")
-    truth = truth.select((F.col("user_id") % 8).alias("run_id"), F.col("event_id").alias("a_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ta"))
+    truth = A.table(spark, sf_dir, "events").filter("event_type = 'view'")
+    truth = truth.select(A.run_of("user_id").alias("run_id"), F.col("event_id").alias("a_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ta"))
     out = None
     for side, rows in ("machine", a.select("run_id", F.col("a_id").alias("b_id"), F.col("ta").alias("tb"))), ("human", b):
         r = M.match_report(truth, rows, ["run_id"], TOL).groupBy("run_id").agg(
@@ -165,29 +165,30 @@ def run_compare(spark, sf_dir):
     return M.match_report(a, b, ["run_id", "category"], 10.0).groupBy("run_id", "category", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH a AS (SELECT p_partkey % 500 AS key, any_value(p_size)::VARCHAR AS value FROM (SELECT p_partkey, p_size FROM part WHERE p_partkey < 500) GROUP BY 1),
-b AS (SELECT p_partkey % 500 AS key, any_value(CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END)::VARCHAR AS value FROM part WHERE p_partkey BETWEEN 20 AND 499 GROUP BY 1)
+@query("""WITH a AS (SELECT p_partkey AS key, (p_partkey % 50)::VARCHAR AS value FROM part), b AS (SELECT p_partkey + 20 AS key, CASE WHEN (p_partkey + 20) % 7 = 0 THEN 'other' ELSE ((p_partkey + 20) % 50)::VARCHAR END AS value FROM part)
 SELECT coalesce(a.key, b.key) AS key, a.value AS value_a, b.value AS value_b FROM a FULL OUTER JOIN b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value""")
 def config_diff(spark, sf_dir):
-    p = A.table(spark, sf_dir, "part").filter("p_partkey < 500")
-    a = p.select(F.col("p_partkey").alias("key"), F.col("p_size").cast("string").alias("value"))
-    b = p.filter("p_partkey >= 20").select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).cast("string").alias("value"))
+    """Two made-up configurations: the first keys stand in one of them only, the last in the other, and some values differ."""
+    p = A.table(spark, sf_dir, "part")
+    key = F.col("p_partkey") + 20
+    a = p.select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % 50).cast("string").alias("value"))
+    b = p.select(key.alias("key"), F.when(key % 7 == 0, "other").otherwise((key % 50).cast("string")).alias("value"))
     return M.config_diff(a, b)
 
 
-@query(f"""WITH {A.TRACKLETS_SQL}, asks AS (SELECT DISTINCT run_id, tracklet_id AS ask_id, (tracklet_id % 90) / 2.0 + 0.25 * (tracklet_id % 3) AS t FROM tracklets), f AS (SELECT DISTINCT run_id, frame_no, frame_no / {FPS} AS t FROM tracklets WHERE frame_no % 3 = 0)
+@query(f"""WITH {A.TRACKLETS_SQL}, asks AS (SELECT DISTINCT run_id, tracklet_id AS ask_id, (tracklet_id % 90) / 2.0 + 0.25 * (tracklet_id % 3) AS t FROM tracklets), f AS (SELECT DISTINCT run_id, frame_no, frame_no / {FPS} AS t FROM tracklets)
 SELECT a.run_id, a.ask_id, a.t::DOUBLE AS t, (SELECT frame_no FROM f WHERE f.run_id = a.run_id ORDER BY abs(f.t - a.t), f.t LIMIT 1) AS frame_no FROM asks a""")
 def nearest_frame(spark, sf_dir):
     t = A.tracklets(spark, sf_dir)
     asked = t.select("run_id", F.col("tracklet_id").alias("ask_id")).distinct().withColumn("t", (F.col("ask_id") % 90) / 2.0 + F.lit(0.25) * (F.col("ask_id") % 3))
-    frames = t.filter("frame_no % 3 = 0").select("run_id", "frame_no").distinct().withColumn("t", F.col("frame_no") / FPS)
+    frames = t.select("run_id", "frame_no").distinct().withColumn("t", F.col("frame_no") / FPS)
     return M.nearest_frame(frames, asked, ["run_id"])
 
 
-@query(f"""{DANGER_SQL}, asks AS (SELECT DISTINCT run_id, tracklet_id, frame_no / {FPS} AS t FROM tracklets WHERE frame_no % 10 = 0)
+@query(f"""{DANGER_SQL}, asks AS (SELECT DISTINCT run_id, tracklet_id, frame_no / {FPS} AS t FROM tracklets)
 SELECT a.run_id, a.tracklet_id, a.t, arg_min(b.category, b.t_start) AS status FROM asks a JOIN behavior b ON a.run_id = b.run_id AND a.tracklet_id = b.tracklet_id AND a.t BETWEEN b.t_start AND b.t_end GROUP BY a.run_id, a.tracklet_id, a.t""")
 def active_status(spark, sf_dir):
-    asks = A.tracklets(spark, sf_dir).filter("frame_no % 10 = 0").select("run_id", "tracklet_id", (F.col("frame_no") / FPS).alias("t")).distinct()
+    asks = A.tracklets(spark, sf_dir).select("run_id", "tracklet_id", (F.col("frame_no") / FPS).alias("t")).distinct()
     e = behavior(spark, sf_dir, BEH, DANGER).select("run_id", "tracklet_id", "category", "t_start", "t_end")
     j = asks.join(e, ["run_id", "tracklet_id"]).filter(F.col("t").between(F.col("t_start"), F.col("t_end")))
     return j.groupBy("run_id", "tracklet_id", "t").agg(F.min_by("category", "t_start").alias("status"))
@@ -225,19 +226,20 @@ det AS (
 )"""
 
 
-@query(f"WITH {A.TRACKLETS_SQL}, {DET_SQL} SELECT run_id, tracklet_id, embedding_method, list_transform(centroid, lambda v: round(v, 6)) AS centroid, n FROM centroids")
+@query(f"WITH {A.TRACKLETS_SQL}, {DET_SQL} SELECT run_id, tracklet_id, embedding_method, unnest(range(len(centroid)))::INT AS i, unnest(centroid) AS value, n FROM centroids")
 def centroids(spark, sf_dir):
+    """A row for each dimension of each centroid."""
     c = P.centroids(A.tracklets(spark, sf_dir), A.detections(spark, sf_dir))
-    return c.withColumn("centroid", F.transform("centroid", lambda v: F.round(v, 6)))
+    return c.select("run_id", "tracklet_id", "embedding_method", F.posexplode("centroid").alias("i", "value"), "n")
 
 
 def fragments(spark, sf_dir):
-    """Every fourth tracklet of each video, in its own time: parts of users that do not overlap all."""
-    t = A.tracklets(spark, sf_dir).filter("tracklet_id % 3 = 0")
+    """The tracklets of each video, each fourth of them later than the one before, so that not all overlap."""
+    t = A.tracklets(spark, sf_dir)
     return t.withColumn("frame_no", (F.col("frame_no") + (F.col("tracklet_id") % 4) * 60).cast("int"))
 
 
-FRAG_SQL = A.TRACKLETS_SQL.replace("tracklets AS (", "tracklets0 AS (") + ", tracklets AS (SELECT * REPLACE ((frame_no + (tracklet_id % 4) * 60)::INT AS frame_no) FROM tracklets0 WHERE tracklet_id % 3 = 0)"
+FRAG_SQL = A.TRACKLETS_SQL.replace("tracklets AS (", "tracklets0 AS (") + ", tracklets AS (SELECT * REPLACE ((frame_no + (tracklet_id % 4) * 60)::INT AS frame_no) FROM tracklets0)"
 
 
 @query(f"""WITH {FRAG_SQL}, {DET_SQL}, prof AS (
@@ -372,7 +374,7 @@ def export_events(spark, sf_dir):
     return e.select("run_id", "event_id", "category", F.format_string("%.1f", "t_start").alias("t_start"), F.format_string("%.1f", "t_end").alias("t_end"), F.coalesce(F.lit(None).cast("string"), F.lit("")).alias("person_id"))
 
 
-@query(f"WITH {A.TRACKLETS_SQL} SELECT run_id, tracklet_id, frame_no, left(sha256('42:p1_detect:' || frame_no), 16) AS seed_hex FROM tracklets WHERE frame_no < 10")
+@query(f"WITH {A.TRACKLETS_SQL} SELECT run_id, tracklet_id, frame_no, left(sha256('42:p1_detect:' || frame_no), 16) AS seed_hex FROM tracklets")
 def frame_seeds(spark, sf_dir):
-    t = A.tracklets(spark, sf_dir).filter("frame_no < 10")
+    t = A.tracklets(spark, sf_dir)
     return t.select("run_id", "tracklet_id", "frame_no", F.substring(F.sha2(F.concat(F.lit("42:p1_detect:"), F.col("frame_no")), 256), 1, 16).alias("seed_hex"))

@@ -352,14 +352,6 @@ def heatmap_totals(spark, sf_dir):
     return M.heatmap_totals(heatmap_raw(spark, sf_dir))
 
 
-@query(f"""WITH {A.TRACKLETS_SQL}, p AS (SELECT run_id, scene_segment, (x0 + x1) / 2 AS x, y1 AS y FROM tracklets),
-e AS (SELECT run_id, scene_segment, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p GROUP BY run_id, scene_segment)
-SELECT run_id, scene_segment, least(11, floor((x - lx) / greatest(hx - lx, 1.0) * 12))::INT AS gx, least(11, floor((y - ly) / greatest(hy - ly, 1.0) * 12))::INT AS gy, count(*) / {FPS} AS seconds
-FROM p JOIN e USING (run_id, scene_segment) GROUP BY 1, 2, 3, 4""")
-def heatmap_scene(spark, sf_dir):
-    return M.scene_heatmap(A.tracklets(spark, sf_dir), FPS, 12)
-
-
 @query(f"""WITH {A.TRACKLETS_SQL}, r AS (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY frame_no, tracklet_id) - 1 AS r, ceil(count(*) OVER (PARTITION BY run_id) / 100.0)::BIGINT AS n FROM tracklets
 ) SELECT run_id, tracklet_id, frame_no, x0, y1 FROM r WHERE r % n = 0""")
@@ -502,3 +494,15 @@ def packet_jumps(spark, sf_dir):
 def tracklets_range(spark, sf_dir):
     t = A.tracklets(spark, sf_dir).filter(F.col("frame_no").between(10, 20))
     return t.groupBy("run_id", "frame_no").agg(F.array_sort(F.collect_list("tracklet_id")).alias("tracklet_ids"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {A.TRACKLETS_SQL}, p AS (SELECT run_id, scene_segment, round({_FX}, 4) AS x, round({_FY}, 4) AS y FROM tracklets),
+e AS (SELECT run_id, scene_segment, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, greatest(max(x) - min(x), 1.0) AS span_x, greatest(max(y) - min(y), 1.0) AS span_y FROM p GROUP BY run_id, scene_segment),
+g AS (SELECT *, greatest(1, round_even(12.0::DOUBLE * span_y / span_x, 0)::INT) AS n FROM e), h AS (SELECT *, span_x / 12 AS w, span_y / n AS h FROM g),
+c AS (SELECT run_id, scene_segment, least(11, floor((x - min_x) / w)::INT) AS gx, least(n - 1, floor((y - min_y) / h)::INT) AS gy, any_value(min_x) AS min_x, any_value(min_y) AS min_y, any_value(max_x) AS max_x, any_value(max_y) AS max_y, any_value(w) AS w, any_value(h) AS h, count(*) AS k
+  FROM p JOIN h USING (run_id, scene_segment) GROUP BY 1, 2, 3, 4)
+SELECT run_id, scene_segment, round(min_x + (gx + 0.5) * w, 4) AS x, round(min_y + (gy + 0.5) * h, 4) AS y, round(w, 4) AS width, round(h, 4) AS height, round(k / {FPS}, 3) AS seconds,
+  round(min_x, 4) AS min_x, round(min_y, 4) AS min_y, round(max_x, 4) AS max_x, round(max_y, 4) AS max_y FROM c""")
+def heatmap_scene(spark, sf_dir):
+    t = A.tracklets(spark, sf_dir)
+    return M.scene_heatmap(scene_project(spark, sf_dir).join(t.select("run_id", "tracklet_id", "frame_no", "scene_segment"), ["run_id", "tracklet_id", "frame_no"]), FPS, 12)

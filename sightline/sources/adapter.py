@@ -1,16 +1,17 @@
 """Detection, tracklet, hazard and review tables made of the sample tables by fixed arithmetic.
 
 Each user of ``events`` is a tracklet: its events in time order are the frames, its value and the
-number in its properties the position. Users fall into RUNS videos.
+number in its properties the position. RUN_USERS neighbouring users are one video, so a video stays as large as it
+is while the table grows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FPS = 2.0
-RUNS = 8
+RUN_USERS = 16
 BOX_W, BOX_H = 30.0, 80.0
 SEGMENT_FRAMES = 40
 
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def run_of(user: str) -> Column:
+    """The video of a user."""
+    return F.expr(f"{user} div {RUN_USERS}")
+
+
 def tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, tracklet_id, frame_no, det_id, cls, conf, x0, y0, x1, y1, scene_segment."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
@@ -26,7 +32,7 @@ def tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("double")
     rows = e.select(
-        (F.col("user_id") % RUNS).alias("run_id"),
+        run_of("user_id").alias("run_id"),
         F.col("user_id").alias("tracklet_id"),
         (F.row_number().over(order) - 1).alias("frame_no"),
         F.col("event_id").alias("det_id"),
@@ -44,7 +50,7 @@ def tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRACKLETS_SQL = f"""
 trk AS (
-  SELECT user_id % {RUNS} AS run_id, user_id AS tracklet_id,
+  SELECT user_id // {RUN_USERS} AS run_id, user_id AS tracklet_id,
          (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS frame_no,
          event_id AS det_id, event_type AS cls, (event_id % 100) / 100.0::DOUBLE AS conf,
          value * ((user_id % 4) * 0.5::DOUBLE) AS fx,
