@@ -50,3 +50,8 @@ def held_hazards(frames: DataFrame, fps: float, min_area: float = MIN_AREA, hold
 def mean_danger(frames: DataFrame) -> DataFrame:
     """Each stream's mean danger point: over the frames that have one."""
     return frames.filter("present").groupBy("stream_id").agg(F.round(F.avg("x"), 6).alias("danger_x"), F.round(F.avg("y"), 6).alias("danger_y"))
+
+
+def danger_by_segment(frames: DataFrame) -> DataFrame:
+    """Each stream's mean danger point in each scene segment; frames without one count for nothing."""
+    return frames.filter("present").groupBy("stream_id", "scene_segment").agg(F.avg("x").alias("danger_x"), F.avg("y").alias("danger_y"), F.count(F.lit(1)).alias("frames"))

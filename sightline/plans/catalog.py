@@ -1,6 +1,6 @@
 """All queries over the sample tables, by name."""
 
-from . import review_queries, stream_queries, trajectory_queries  # noqa: F401
+from . import live_queries, review_queries, stream_queries, trajectory_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

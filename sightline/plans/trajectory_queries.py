@@ -269,7 +269,7 @@ def freeze_bolt_frames(spark, sf_dir):
     return rounded(I.freeze_bolt(kinematics(spark, sf_dir), FPS, IRR), "freeze_s", "bolt_speed")
 
 
-@query(f"""{ALL_SQL}, {status_sql(B.Behavior(), None)},
+IRRATIONAL_CTES = f"""{ALL_SQL}, {status_sql(B.Behavior(), None)},
 scored AS (
   SELECT k.run_id, k.tracklet_id, k.segment_run, k.frame_no, c.angle IS NOT NULL AS counterflow, e.span_s IS NOT NULL AS erratic, s.speed IS NOT NULL AS sprint, o.reversals IS NOT NULL AS oscillation, f.freeze_s IS NOT NULL AS freeze_bolt
   FROM kin k LEFT JOIN counterflow c USING (run_id, tracklet_id, segment_run, frame_no) LEFT JOIN erratic e USING (run_id, tracklet_id, segment_run, frame_no)
@@ -293,20 +293,37 @@ scored AS (
   SELECT *, coalesce(lead(frame_start) OVER (PARTITION BY run_id, tracklet_id ORDER BY island) - 1, last_row)::INT AS frame_end FROM fruns
 ), quality AS (
   SELECT run_id, tracklet_id, (least(1.0, (max(frame_no) - min(frame_no) + 1) / {FPS} / 10) + count(*) / (max(frame_no) - min(frame_no) + 1) + 0.7) / 3 AS quality FROM kin GROUP BY run_id, tracklet_id
-)
-SELECT f.run_id, printf('irrationell-%06d', row_number() OVER (PARTITION BY f.run_id ORDER BY f.tracklet_id, frame_start) - 1) AS event_id, 'IRRATIONELL' AS category, f.tracklet_id, frame_start, frame_end,
-       frame_start / {FPS} AS t_start, (frame_end + 1) / {FPS} AS t_end, round(least(1.0, 0.3 + 0.7 * greatest(0.0, least(1.0, (top - {IRR.score}) / {IRR.score})) * quality), 6) AS confidence,
-       concat_ws(' + ', CASE WHEN counterflow THEN 'counter-flow' END, CASE WHEN erratic THEN 'erratic' END, CASE WHEN sprint THEN 'panic-sprint' END, CASE WHEN oscillation THEN 'oscillation' END, CASE WHEN freeze_bolt THEN 'freeze-and-bolt' END) AS summary
-FROM fended f JOIN quality q ON q.run_id = f.run_id AND q.tracklet_id = f.tracklet_id WHERE fired""")
+)"""
+
+def irrational_sql(person: str = "", stable: str = "0.7") -> str:
+    """The events; ``person``: a column more, ``stable``: what stability counts."""
+    return f"""SELECT f.run_id, printf('irrationell-%06d', row_number() OVER (PARTITION BY f.run_id ORDER BY f.tracklet_id, frame_start) - 1) AS event_id, 'IRRATIONELL' AS category, f.tracklet_id, frame_start, frame_end,
+       frame_start / {FPS} AS t_start, (frame_end + 1) / {FPS} AS t_end, round(least(1.0, 0.3 + 0.7 * greatest(0.0, least(1.0, (top - {IRR.score}) / {IRR.score})) * (quality + ({stable} - 0.7) / 3)), 6) AS confidence,
+       concat_ws(' + ', CASE WHEN counterflow THEN 'counter-flow' END, CASE WHEN erratic THEN 'erratic' END, CASE WHEN sprint THEN 'panic-sprint' END, CASE WHEN oscillation THEN 'oscillation' END, CASE WHEN freeze_bolt THEN 'freeze-and-bolt' END) AS summary{person}
+FROM fended f JOIN quality q ON q.run_id = f.run_id AND q.tracklet_id = f.tracklet_id WHERE fired"""
+
+
+IRRATIONAL_SQL = f"{IRRATIONAL_CTES}, irr AS ({irrational_sql()})"
+
+
+@query(f"{IRRATIONAL_SQL} SELECT * FROM irr")
 def irrational_events(spark, sf_dir):
     still = behavior(spark, sf_dir).filter("category = 'STILLA'")
-    return I.irrational_events(I.ensemble(kinematics(spark, sf_dir), FPS, IRR, still), FPS, IRR)
+    return I.irrational_events(I.ensemble(kinematics(spark, sf_dir), FPS, IRR, still), FPS, IRR).drop("person_id")
+
+
+@query(f"""{IRRATIONAL_CTES}, irr AS ({irrational_sql(", CASE WHEN f.tracklet_id % 4 <> 0 THEN f.tracklet_id // 3 END AS person_id", "CASE WHEN f.tracklet_id % 4 <> 0 THEN 1.0 ELSE 0.7 END")}) SELECT * FROM irr""")
+def irrational_persons(spark, sf_dir):
+    """The same with persons for most tracklets, which count as stable then."""
+    k = kinematics(spark, sf_dir)
+    persons = k.select("run_id", "tracklet_id").distinct().select("run_id", "tracklet_id", F.when(F.col("tracklet_id") % 4 != 0, F.expr("tracklet_id div 3")).alias("person_id"))
+    return I.irrational_events(I.ensemble(k, FPS, IRR, behavior(spark, sf_dir).filter("category = 'STILLA'")), FPS, IRR, persons)
 
 
 HAZ = f"WITH RECURSIVE {A.TRACKLETS_SQL}, {A.HAZARD_SQL}"
 
 
-@query(f"""{HAZ}, chg AS (
+HAZARD_EVENTS_SQL = f"""{HAZ}, chg AS (
   SELECT *, CASE WHEN present <> lag(present) OVER (PARTITION BY stream_id, kind ORDER BY frame_no) THEN 1 ELSE 0 END AS c FROM hazards
 ), num AS (
   SELECT *, sum(c) OVER (PARTITION BY stream_id, kind ORDER BY frame_no) AS island FROM chg
@@ -317,7 +334,10 @@ HAZ = f"WITH RECURSIVE {A.TRACKLETS_SQL}, {A.HAZARD_SQL}"
 )
 SELECT stream_id, printf('hazard-%06d', row_number() OVER (PARTITION BY stream_id ORDER BY frame_start, kind) - 1) AS event_id, 'HAZARD' AS category, kind, frame_start, frame_end, frame_start / {FPS} AS t_start, (frame_end + 1) / {FPS} AS t_end,
        round(least(1.0, m * 20 + (frame_end - frame_start + 1) / {FPS} / 4), 6) AS confidence, round(m, 7) AS area_mean, round(p, 7) AS area_peak
-FROM ended WHERE present""")
+FROM ended WHERE present"""
+
+
+@query(HAZARD_EVENTS_SQL)
 def hazard_events(spark, sf_dir):
     return H.hazard_events(A.hazard_frames(spark, sf_dir), FPS)
 

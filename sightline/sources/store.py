@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PASSES = ("p1_detect", "p2_track", "p3_identity", "p5_events")
@@ -26,8 +27,8 @@ class PassStore:
         """Rows of a table; an absent table has none."""
         try:
             df = self.spark.read.schema(schema + ", run_id string, pass string").parquet(self.path(table))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             df = self.spark.createDataFrame([], schema + ", run_id string, pass string")
         if run_id is not None:
@@ -67,3 +68,29 @@ def resume_refusals(runs: DataFrame, run_id: str, provenance: dict) -> DataFrame
     """The provenance fields of a run that differ from the current ones; resuming needs none."""
     now = [F.struct(F.lit(k).alias("field"), F.col(k).cast("string").alias("stored"), F.lit(v).cast("string").alias("current")) for k, v in provenance.items()]
     return runs.filter(F.col("run_id") == run_id).select(F.inline(F.array(*now))).filter(~F.col("stored").eqNullSafe(F.col("current")))
+
+
+def pass_states(log: DataFrame) -> DataFrame:
+    """The state of each run's passes after a log of steps (run_id, pass, seq, step, frame_no, message).
+
+    start: running, at the frame that an earlier start reached; progress: partial; complete and error end a pass.
+    Steps before a pass's first start count for nothing. Gives status, last_frame (-1 without progress) and error.
+    """
+    w = Window.partitionBy("run_id", "pass").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    started = log.withColumn("__on", F.max((F.col("step") == "start").cast("int")).over(w)).filter("__on = 1")
+    status = F.create_map(*(F.lit(x) for pair in (("start", "running"), ("progress", "partial"), ("complete", "complete"), ("error", "error")) for x in pair))[F.col("step")]
+    latest = F.max_by(F.struct(status.alias("status"), F.when(F.col("step") == "error", F.col("message")).alias("error")), "seq")
+    frame = F.coalesce(F.max_by("frame_no", F.when(F.col("step") == "progress", F.col("seq"))), F.lit(-1))
+    return started.groupBy("run_id", "pass").agg(latest.alias("s"), frame.alias("last_frame")).select("run_id", "pass", "s.status", "last_frame", "s.error")
+
+
+def run_list(manifests: DataFrame, schema: str) -> DataFrame:
+    """Runs from texts of JSON (``manifest``), numbered from the newest; texts that can't be read are left out."""
+    read = manifests.select(F.from_json("manifest", schema, {"mode": "PERMISSIVE"}).alias("m")).select("m.*")
+    return read.filter("run_id IS NOT NULL AND created_at IS NOT NULL")
+
+
+def pass_stats(runs: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Numbers of passes (``stats``: a map of pass to a map of name to number), null where a pass or name is absent."""
+    get = {name: F.try_element_at(F.try_element_at("stats", F.lit(path.split(".")[0])), F.lit(path.split(".")[1])) for name, path in wanted.items()}
+    return runs.select("run_id", *(c.alias(name) for name, c in get.items()))
