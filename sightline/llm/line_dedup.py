@@ -75,18 +75,18 @@ def _cuts(docs: DataFrame, batches: int) -> list[int]:
 
 
 def drop_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_KEY_CHARS, batches: int = BATCHES, fanout: int = FANOUT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_KEY_CHARS, batches: int = BATCHES, fanout: int = FANOUT, counts: bool = True
 ) -> DataFrame:
     """``docs`` with the text less its repeated lines, plus n_lines and n_dropped.
 
     A null or empty text has one empty line and comes back as an empty text. A key of at least
     ``min_chars`` code points in two or more documents stays only in the smallest id that has
     it, with all its repeats there. Rows that share an id are one document. A null id orders
-    behind all others; rows with null ids are one document. Other columns pass through;
-    none may be named n_lines or n_dropped (these are replaced).
+    behind all others; rows with null ids are one document. Other columns pass through; columns
+    named n_lines or n_dropped are replaced. Without ``counts`` no column is added or replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop("n_lines", "n_dropped") if counts else docs
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("bigint").alias("doc_id"), text.alias("text"))
     lines = (
@@ -132,6 +132,5 @@ def drop_lines(
     )
     return found.select(
         *(F.when(F.size("__gone") == 0, text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.size("__lines").cast("bigint").alias("n_lines"),
-        F.size("__gone").cast("bigint").alias("n_dropped"),
+        *((F.size("__lines").cast("bigint").alias("n_lines"), F.size("__gone").cast("bigint").alias("n_dropped")) if counts else ()),
     )
