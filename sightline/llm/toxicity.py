@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -63,12 +64,19 @@ class BlockMaxIndex:
     computed again in double precision.
     """
 
-    def __init__(self, vectors: list[tuple], block: int = BLOCK):
-        self.block, self.n = block, len(vectors)
-        sizes = [len(v[0]) for v in vectors]
+    def __init__(self, vectors: Iterable[tuple], block: int = BLOCK):
+        # Joined some hundred at a time: thousands of small arrays at once would leave the memory in pieces.
+        sizes, terms, exact = [], [np.zeros(0, np.int32)], [np.zeros(0)]
+        vectors = iter(vectors)
+        while part := list(islice(vectors, 256)):
+            sizes += [len(v[0]) for v in part]
+            terms.append(np.concatenate([v[0] for v in part]).astype(np.int32))
+            exact.append(np.concatenate([v[1] for v in part]))
+        self.block, self.n = block, len(sizes)
         self.begin = np.append(0, np.cumsum(np.array(sizes, np.int64)))
-        self.terms = t = np.concatenate([np.zeros(0, np.int32), *(v[0] for v in vectors)]).astype(np.int32)
-        self.exact = np.concatenate([np.zeros(0), *(v[1] for v in vectors)])
+        self.terms = t = np.concatenate(terms)
+        self.exact = np.concatenate(exact)
+        del terms, exact
         i = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         having = np.bincount(t)
         common = np.flatnonzero((having > 0) & (having * COMMON >= self.n))
@@ -83,6 +91,9 @@ class BlockMaxIndex:
         self.ids, self.weights = i[rest], self.exact[rest].astype(np.float32)
         self.asked = np.zeros(len(having))
 
+    def vector(self, i: int) -> tuple:
+        return self.terms[self.begin[i] : self.begin[i + 1]], self.exact[self.begin[i] : self.begin[i + 1]]
+
     def nearest(self, terms, weights, k: int = K, without: int = -1) -> list[tuple[int, float]]:
         """(example, similarity) of the k most similar with a similarity over 0; of equal ones the
         smaller number comes first."""
@@ -211,20 +222,20 @@ class Neighbours:
         self.ids, self.labels = [x[0] for x in self.examples], np.array([x[1] for x in self.examples], float)
         self.prior = float(self.labels.mean()) if self.ids else 0.5
         self.slope, self.shift = 1.0, 0.0
-        self._calibrate(self._build())
-
-    def _build(self) -> list[tuple]:
-        vectors = [self.unit(*unpacked(x[2])) for x in self.examples]
-        self.index = BlockMaxIndex(vectors)
-        return vectors
+        self._index = None
+        self._calibrate()
+        self._index = None
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        """Built where it is first used: it is several times as large as the examples, and the driver needs it for
+        the calibration alone."""
+        if self._index is None:
+            self._index = BlockMaxIndex(self.unit(*unpacked(x[2])) for x in self.examples)
+        return self._index
 
-    # The index is several times as large as the examples; workers build their own.
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "index"}
-
-    def __setstate__(self, sent):
-        self.__dict__.update(sent)
-        self._build()
+        return self.__dict__ | {"_index": None}
 
     def unit(self, terms: np.ndarray, counts: np.ndarray):
         w = self.weight[terms] * (1 + np.log(counts))
@@ -238,12 +249,12 @@ class Neighbours:
         b = sum(x * (1 - y) for x, y in w) + 1 - self.prior
         return float(np.log((a + 0.02) / (b + 0.02)))
 
-    def _calibrate(self, vectors: list[tuple], most: int = 4_000) -> None:
+    def _calibrate(self, most: int = 4_000) -> None:
         """Fit the logistic of the vote to examples, each scored without itself. At most ``most`` of
         them, evenly spaced, are scored: part of fitting on a bounded sample."""
-        step = max(1, len(vectors) // most)
-        use = range(0, len(vectors), step)
-        x = np.array([self._vote(near) for near in self.index.nearest_of([vectors[i] for i in use], without=list(use))])
+        step = max(1, len(self.examples) // most)
+        use = range(0, len(self.examples), step)
+        x = np.array([self._vote(near) for near in self.index.nearest_of([self.index.vector(i) for i in use], without=list(use))])
         y = np.array([self.labels[i] for i in use])
         if len(y) < 10 or y.min() == y.max():
             return
