@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from . import chunks
 
 #: Rows that begin one recursive query, in bytes of words, and rows that all its rounds make.
-QUERY_BYTES, ROUND_ROWS = 400_000, 6_000_000
+QUERY_BYTES, ROUND_ROWS = 200_000, 2_500_000
 #: Characters of the texts that are encoded together, and words that a task remembers.
-GROUP_CHARS, WORDS = 4_000_000, 300_000
+GROUP_CHARS, WORDS = 1_500_000, 200_000
 
 #: A pair is packed in one number: its rank, the position of its left token (32 bits) and the left
 #: token's bytes (10 bits). The smallest is the one to merge.
@@ -89,7 +89,7 @@ class WordCoder:
         self.np, self.pa = np, pa
         merges, vocabulary, byte_id, self.largest = _tables(vocabulary_path)
         self.pattern, self.byte_id = regex.compile(pattern), np.array(byte_id, np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "180MB"})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("rows_in", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
