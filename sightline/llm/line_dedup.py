@@ -22,8 +22,8 @@ from .shared import LAST_ID, new_folder, pin
 #: Stripped at both ends of a line: space and U+0009 to U+000D.
 STRIP = " \t\n\u000b\f\r"
 MIN_KEY_CHARS = 10
-BATCHES = 3
-FANOUT = 4
+BATCHES = 4
+FANOUT = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
