@@ -27,7 +27,7 @@ from . import chunks
 #: Rows that begin one recursive query, in bytes of words, and rows that all its rounds make.
 QUERY_BYTES, ROUND_ROWS = 200_000, 2_500_000
 #: Characters of the texts that are encoded together, and words that a task remembers.
-GROUP_CHARS, WORDS = 1_500_000, 200_000
+GROUP_CHARS, WORDS = 1_500_000, 300_000
 
 #: A pair is packed in one number: its rank, the position of its left token (32 bits) and the left
 #: token's bytes (10 bits). The smallest is the one to merge.
