@@ -6,7 +6,7 @@ a value gets the same pseudonym wherever it is written and two values never shar
 * numbers (cards, phones, social security numbers, IPv4 addresses): the domain is cut into two
   residues (a mod M, b mod N); the rounds add keyed digests of one to the other. Card numbers
   permute all digits but the last, which is the Luhn digit of the others; the separators stay.
-* dates: days are numbered from 1900-01-01 in spans of 270 x 270, and a date keeps its span.
+* dates: the days of the 400 years from 1900-01-01 are 189 x 773, the two residues.
 * mail addresses, account numbers (IBAN) and secrets: the characters are the residues; each
   moves within its class (digit, lower case, upper case, or hexadecimal digit).
 
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 DEFAULT_KEY = "sightline"
-DAY_HALF = 270
+#: The days of 400 years.
+DAYS = (189, 773)
 
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 _SECRET = r"\b(?i:password|passwd|pwd|token|secret|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_-]{8,}"
@@ -31,6 +32,11 @@ _DATE = r"(?<![0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![0-9]|[./
 _SSN = r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9]|-[0-9])"
 _CARD = r"(?<![0-9])\d(?:[ -]?\d){12,18}(?![0-9])"
 _PHONE = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?![0-9])|(?<![0-9])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![0-9])|(?<![0-9.-])\d{3}[ .-]\d{3}[.-]\d{4}(?![0-9])"
+#: How a card is written inside a longer row of digits: unbroken, or in the groups of a card.
+_CARD_SHAPE = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})$"
+#: The country codes of one digit and of two; all others have three.
+_CODE_1 = r"^\+[17]"
+_CODE_2 = r"^\+(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: Earlier kinds win where two could start at one place.
 PATTERN = "|".join((_MAIL, _SECRET, _AWS, _IBAN, _IP, _DATE, _SSN, _CARD, _PHONE))
 #: A text without any of these can hold no match.
@@ -163,14 +169,46 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def _core(m: Column) -> Column:
+    """What of a match is a value, as a struct (pre, core, post).
+
+    A row of digits or an account number that fails its check can hold a valid one: of all
+    windows that begin and end at separators, the longest valid card or account, then the first.
+    """
+
+    def in_group(i):
+        return F.rlike(F.substr(m, i, F.lit(1)), F.lit("[A-Z0-9]"))
+
+    def valid(t):
+        d, account = F.regexp_replace(t, "[^0-9]", ""), F.replace(t, F.lit(" "), F.lit(""))
+        card = F.rlike(t, F.lit(_CARD_SHAPE)) & F.rlike(d, F.lit("[1-9]")) & (luhn_sum(d) % 10 == 0)
+        return card | (F.rlike(t, F.lit(r"^[A-Z]{2}\d{2}")) & F.length(account).between(15, 34) & (_mod97(account) == 1))
+
+    places = F.sequence(F.lit(1), F.length(m))
+    starts = F.filter(places, lambda i: in_group(i) & ((i == 1) | ~in_group(i - 1)))
+    ends = F.filter(places, lambda i: in_group(i) & ~in_group(i + 1))
+    windows = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(ends, lambda e: e > s + 11), lambda e: F.struct((e - s + 1).alias("n"), (-s).alias("s")))))
+    best = F.array_max(F.filter(windows, lambda w: valid(F.substr(m, -w["s"], w["n"]))))
+    whole = F.struct(F.lit("").alias("pre"), m.alias("core"), F.lit("").alias("post"))
+    part = F.transform(
+        F.array(best),
+        lambda w: F.when(
+            w.isNotNull(),
+            F.struct(F.substr(m, F.lit(1), -w["s"] - 1).alias("pre"), F.substr(m, -w["s"], w["n"]).alias("core"), F.substr(m, w["n"] - w["s"], F.length(m)).alias("post")),
+        ).otherwise(whole),
+    )[0]
+    return F.when(F.rlike(m, F.lit(f"^(?:{_IBAN}|{_CARD})$")) & kind_of(m).isNull(), part).otherwise(whole)
+
+
 def _pseudonym(kind: Column, m: Column, key: str) -> Column:
     d = F.regexp_replace(m, "[^0-9]", "")
     # Card: all but the check digit.
     body = F.transform(F.array(permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, F.lit("card"))), lambda x: x)
     card = F.transform(body, lambda x: _fill(m, F.concat(x, ((F.lit(10) - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string"))))[0]
-    # Phone: the country's digits stay.
-    code = F.when(F.startswith(m, F.lit("+1")), 1).when(F.startswith(m, F.lit("+")), 2).otherwise(0)
-    phone = _fill(m, F.concat(F.substr(d, F.lit(1), code), permute_digits(F.substr(d, code + 1, F.length(d)), key, F.concat(F.lit("phone"), F.substr(d, F.lit(1), code)))))
+    # Phone: the country's digits stay; a number without them is one of +1.
+    code = F.when(F.rlike(m, F.lit(_CODE_1)), 1).when(F.rlike(m, F.lit(_CODE_2)), 2).when(F.startswith(m, F.lit("+")), 3).otherwise(0)
+    country = F.when(code == 0, "1").otherwise(F.substr(d, F.lit(1), code))
+    phone = _fill(m, F.concat(F.substr(d, F.lit(1), code), permute_digits(F.substr(d, code + 1, F.length(d)), key, F.concat(F.lit("phone"), country))))
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("int"))
     address = F.transform(
         F.array(feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536), F.lit(65536), key, F.lit("ip"))),
@@ -185,12 +223,10 @@ def _pseudonym(kind: Column, m: Column, key: str) -> Column:
         ),
     )[0]
     day = F.datediff(_date_of(m), F.lit("1900-01-01").cast("date"))
-    span = (day / (DAY_HALF * DAY_HALF)).cast("int")
-    inside = day % (DAY_HALF * DAY_HALF)
     style = F.when(F.rlike(m, F.lit(r"^\d{4}-")), "yyyy-MM-dd").when(F.contains(m, F.lit("/")), "dd/MM/yyyy").otherwise("dd.MM.yyyy")
     date = F.transform(
-        F.array(feistel((inside / DAY_HALF).cast("int"), inside % DAY_HALF, F.lit(DAY_HALF), F.lit(DAY_HALF), key, F.concat(F.lit("date"), span))),
-        lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (span * DAY_HALF * DAY_HALF + s["a"] * DAY_HALF + s["b"]).cast("int")),
+        F.array(feistel((day / DAYS[1]).cast("int"), day % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, F.lit("date"))),
+        lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["a"] * DAYS[1] + s["b"]).cast("int")),
     )
     date = F.transform(date, lambda x: F.when(style == "yyyy-MM-dd", F.date_format(x, "yyyy-MM-dd")).when(style == "dd/MM/yyyy", F.date_format(x, "dd/MM/yyyy")).otherwise(F.date_format(x, "dd.MM.yyyy")))[0]
     local, domain = F.regexp_extract(m, "^([^@]*)@", 1), F.regexp_extract(m, "@(.*)$", 1)
@@ -219,7 +255,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY
 
     A null text stays null with n_private 0; a text without valid values comes back unchanged.
     Values that fail their kind's check (Luhn, IBAN remainder, octets, calendar) stay as they
-    are. Spaces inside an account number are dropped; letters of a mail address come out in lower
+    are, but for a valid card or account number inside a longer row of groups. Spaces inside an account number are dropped; letters of a mail address come out in lower
     case. All other columns pass through; none may be named n_private or private_kinds (these are
     replaced). Rows are independent: repeated rows give repeated results.
     """
@@ -227,8 +263,9 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY
     may = F.rlike(F.col(text_col), F.lit(HINT))
     raw = F.when(may, F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = docs.withColumn("__raw", raw)
-    found = found.withColumn("__kinds", F.transform("__raw", kind_of))
-    found = found.withColumn("__new", F.zip_with("__raw", "__kinds", lambda m, k: F.coalesce(_pseudonym(k, m, key), m)))
+    found = found.withColumn("__parts", F.transform("__raw", _core))
+    found = found.withColumn("__kinds", F.transform("__parts", lambda p: kind_of(p["core"])))
+    found = found.withColumn("__new", F.zip_with("__parts", "__kinds", lambda p, k: F.concat(p["pre"], F.coalesce(_pseudonym(k, p["core"], key), p["core"]), p["post"])))
     # The pieces between the matches, and the matches, by turns.
     gaps = F.split(F.col(text_col), PATTERN, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, F.concat("__new", F.array(F.lit(""))), lambda g, x: F.array(g, x))), "")

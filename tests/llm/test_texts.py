@@ -191,3 +191,45 @@ def test_a_long_secret_is_replaced_to_its_end(spark):
         ((text, found, kinds),) = pseudonyms(spark, [f"token={value[:n]} end"])
         assert found == 1 and kinds == ["secret"] and len(text) == n + 10 and text.endswith(" end")
         assert value[n - 20 : n] not in text and value[128:160] not in text
+
+
+def test_valid_numbers_inside_longer_rows_are_replaced(spark):
+    card, account = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [f"{card} 12/27", "4111111111111111 123", f"order 12 {card}", f"ID12 {card}", f"{account} EUR", card, account, "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6"]
+    got = pseudonyms(spark, texts)
+    assert [k for _, _, k in got] == [["card"]] * 4 + [["iban"], ["card"], ["iban"], []]
+    new, moved = got[5][0], got[6][0]
+    assert luhn(new.replace(" ", "")) and new != card
+    assert [t for t, _, _ in got[:5]] == [f"{new} 12/27", new.replace(" ", "") + " 123", f"order 12 {new}", f"ID12 {new}", f"{moved} EUR"]
+    assert got[7][:2] == (texts[7], 0)
+
+
+def plain_feistel(a, b, m, n, key, tweak):
+    import hashlib
+
+    for r in range(1, pii.ROUNDS + 1):
+        add = int(hashlib.sha256(f"{key}|{tweak}|{r}|{b if r % 2 else a}".encode()).hexdigest()[:15], 16)
+        a, b = ((a + add) % m, b) if r % 2 else (a, (b + add) % n)
+    return a, b
+
+
+def test_dates_stay_in_their_years_and_follow_the_plain_network(spark):
+    from datetime import date, timedelta
+
+    first, days = date(1900, 1, 1), [0, 1, 59, 36525, 73049, 145000, 146096]
+    made = [plain_feistel(d // 773, d % 773, 189, 773, "k", "date") for d in days]
+    got = pseudonyms(spark, [f"on {first + timedelta(d)}" for d in days])
+    assert [t for t, _, _ in got] == [f"on {first + timedelta(a * 773 + b)}" for a, b in made]
+    spread = spark.range(189 * 773).select(pii.feistel((F.col("id") / 773).cast("int"), F.col("id") % 773, F.lit(189), F.lit(773), "k", F.lit("date")).alias("p"))
+    assert spread.select("p.a", "p.b").distinct().count() == 189 * 773 == (date(2299, 12, 31) - first).days + 1
+
+
+def test_phones_are_linked_with_and_without_their_country(spark):
+    got = [t for t, _, _ in pseudonyms(spark, ["+1 (988) 555-2485", "(988) 555-2485", "988-555-2485", "+353 1 234 5678", "+49 30 123456"])]
+    assert got[0] == "+1 " + got[1] and re.sub(r"\D", "", got[1]) == got[2].replace("-", "") != "9885552485"
+    assert got[3].startswith("+353 ") and got[4].startswith("+49 ")
+
+
+def test_repeated_rows_get_repeated_pseudonyms(spark):
+    one, two, three = pseudonyms(spark, ["ssn 123-45-6789", "ssn 123-45-6789", "ssn 123-45-6788"])
+    assert one == two != three
