@@ -57,14 +57,16 @@ def pair_gates(profile: DataFrame, centroid: DataFrame, diag: float, sim: float
     return j.select("run_id", F.col("tracklet_id_a").alias("a"), F.col("tracklet_id_b").alias("b"), "sim", "gap_s", "dist", "dist_limit", rule.alias("rule"))
 
 
-def persons(profile: DataFrame, centroid: DataFrame, diag: float, sim: float = SIM, gap_max: float = GAP_MAX_S, dist: float = DIST, confirm_s: float = CONFIRM_S, band: float = BAND, scenes: bool = False) -> DataFrame:
-    """Greedy merging of tracklets into persons, one run (video) in a task: runs are spread.
+def _associated(profile: DataFrame, centroid: DataFrame, schema: str, rows_of, diag: float, sim: float, gap_max: float, dist: float, band: float, scenes: bool) -> DataFrame:
+    """Greedy merging of tracklets, one run (video) in a task: runs are spread.
 
     In each round the most similar mergeable pair of clusters becomes one (smaller gap, then smaller
     ids first): its centroids are averaged by their counts, its frames united. Clusters that share
     a frame never merge. A blocked pair with a similarity of at least sim - band is an
-    uncertain one, counted once. Similarities are kept in a matrix, so that a merge costs one row.
+    uncertain one, noted once. Similarities are kept in a matrix, so that a merge costs one row.
+    ``rows_of(run_id, people, merged, blocked)`` makes the rows of ``schema``.
     """
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def merge(key, pdf):
         import numpy as np
@@ -94,22 +96,29 @@ def persons(profile: DataFrame, centroid: DataFrame, diag: float, sim: float = S
 
         ids = sorted(clusters)
         like = {(a, b): likeness(clusters[a], clusters[b]) for i, a in enumerate(ids) for b in ids[i + 1 :]}
-        unsure, rule = set(), {}
+        merged, blocked = [], {}
 
         def gate(a, b):
             s = like[a, b]
-            if s is None:
+            if s is None or s < sim - band:
                 return None
             ca, cb = clusters[a], clusters[b]
-            found = None if ca["frames"] & cb["frames"] or s < sim else bridge(ca, cb)
-            ok = found is not None and 0 <= found[0] <= gap_max and (found[2] or not scenes) and found[1] <= dist * diag * (1 + found[0])
-            if not ok and s >= sim - band:
-                unsure.add((a, b))
-            return (-s, found[0], a, b) if ok else None
+            if ca["frames"] & cb["frames"]:
+                blocked.setdefault((a, b), ("blocked:temporal_overlap", a, b, s, 0.0, 0.0, 0.0))
+                return None
+            gap, far, near = bridge(ca, cb)
+            limit = dist * diag * (1 + gap)
+            tests = {"appearance": s >= sim, "gap": 0 <= gap <= gap_max, "scene_segment": near or not scenes, "spatial": far <= limit}
+            stops = [name for name, passed in tests.items() if not passed]
+            if stops:
+                blocked.setdefault((a, b), (f"blocked:{stops[0]}", a, b, s, gap, far, limit))
+                return None
+            return (-s, gap, a, b, far, limit)
 
         rule = {p: g for p in like if (g := gate(*p))}
         while rule:
-            _, _, a, b = min(rule.values())
+            s, gap, a, b, far, limit = min(rule.values())
+            merged.append(("merged", a, b, -s, gap, far, limit))
             ca, cb = clusters[a], clusters.pop(b)
             for m, v in cb["vec"].items():
                 na, nb = ca["n"].get(m, 0), cb["n"][m]
@@ -128,14 +137,42 @@ def persons(profile: DataFrame, centroid: DataFrame, diag: float, sim: float = S
                     like[p] = likeness(clusters[p[0]], clusters[p[1]])
                     if g := gate(*p):
                         rule[p] = g
-        rows = sorted((min(x[0] for x in c["parts"]), min(c["ids"]), max(x[1] for x in c["parts"]), sorted(c["ids"])) for c in clusters.values())
-        made = [(key[0], i + 1, ids, first, last, "confirmed" if last - first >= confirm_s else "transient", len(unsure)) for i, (first, _, last, ids) in enumerate(rows)]
-        return pd.DataFrame(made, columns=["run_id", "person_id", "tracklet_ids", "first_seen", "last_seen", "state", "uncertain"])
+        people = sorted((min(x[0] for x in c["parts"]), min(c["ids"]), max(x[1] for x in c["parts"]), sorted(c["ids"])) for c in clusters.values())
+        return pd.DataFrame(rows_of(key[0], people, merged, list(blocked.values())), columns=names)
 
     c = centroid.groupBy("run_id", "tracklet_id").agg(F.array_sort(F.collect_list(F.struct("embedding_method", "centroid", "n"))).alias("v"))
     c = c.select("run_id", "tracklet_id", F.col("v.embedding_method").alias("methods"), F.col("v.centroid").alias("vectors"), F.col("v.n").alias("counts"))
     j = profile.join(c, ["run_id", "tracklet_id"], "left")
-    return j.groupBy("run_id").applyInPandas(merge, "run_id bigint, person_id int, tracklet_ids array<bigint>, first_seen double, last_seen double, state string, uncertain int")
+    return j.groupBy("run_id").applyInPandas(merge, schema)
+
+
+def persons(profile: DataFrame, centroid: DataFrame, diag: float, sim: float = SIM, gap_max: float = GAP_MAX_S, dist: float = DIST, confirm_s: float = CONFIRM_S, band: float = BAND, scenes: bool = False) -> DataFrame:
+    """The persons of each run, numbered from 1 by first sight, then by their smallest tracklet; ``uncertain`` counts
+    the run's uncertain pairs. One who is seen for ``confirm_s`` is confirmed."""
+
+    def rows_of(run_id, people, merged, blocked):
+        return [(run_id, i + 1, ids, first, last, "confirmed" if last - first >= confirm_s else "transient", len(blocked)) for i, (first, _, last, ids) in enumerate(people)]
+
+    schema = "run_id bigint, person_id int, tracklet_ids array<bigint>, first_seen double, last_seen double, state string, uncertain int"
+    return _associated(profile, centroid, schema, rows_of, diag, sim, gap_max, dist, band, scenes)
+
+
+def association_audit(profile: DataFrame, centroid: DataFrame, diag: float, sim: float = SIM, gap_max: float = GAP_MAX_S, dist: float = DIST, band: float = BAND, scenes: bool = False) -> DataFrame:
+    """Why clusters were merged or kept apart, one row for each merge and each uncertain pair, under the person that
+    holds the first cluster. ``place`` orders a person's rows: merges first, falling similarity, ids."""
+
+    def rows_of(run_id, people, merged, blocked):
+        person = {t: i + 1 for i, p in enumerate(people) for t in p[3]}
+        rows, places = sorted(merged + blocked, key=lambda r: (r[0] != "merged", -r[3], r[1], r[2])), {}
+        out = []
+        for r in rows:
+            who = person[r[1]]
+            places[who] = places.get(who, 0) + 1
+            out.append((run_id, who, places[who], *r))
+        return out
+
+    schema = "run_id bigint, person_id int, place int, rule string, a bigint, b bigint, sim double, gap_s double, dist double, dist_limit double"
+    return _associated(profile, centroid, schema, rows_of, diag, sim, gap_max, dist, band, scenes)
 
 
 def person_of_tracklet(person: DataFrame) -> DataFrame:

@@ -40,9 +40,11 @@ def greedy_match(candidates: DataFrame, keys: list[str]) -> DataFrame:
 def match_report(a: DataFrame, b: DataFrame, keys: list[str], tol: float) -> DataFrame:
     """Rows of ``a`` (keys, a_id, ta) and ``b`` (keys, b_id, tb) as bucket both, a_only or b_only."""
     pairs = greedy_match(band_join(a, b, keys, "ta", "tb", tol).withColumn("delta", F.abs(F.col("tb") - F.col("ta"))), keys)
+    no_a, no_b = F.lit(None).cast(a.schema["a_id"].dataType).alias("a_id"), F.lit(None).cast(b.schema["b_id"].dataType).alias("b_id")
+    no_delta = F.lit(None).cast("double").alias("delta")
     both = pairs.select(*keys, F.lit("both").alias("bucket"), "a_id", "b_id", "delta")
-    a_only = a.join(pairs, [*keys, "a_id"], "left_anti").select(*keys, F.lit("a_only").alias("bucket"), "a_id", F.lit(None).cast("bigint").alias("b_id"), F.lit(None).cast("double").alias("delta"))
-    b_only = b.join(pairs, [*keys, "b_id"], "left_anti").select(*keys, F.lit("b_only").alias("bucket"), F.lit(None).cast("bigint").alias("a_id"), "b_id", F.lit(None).cast("double").alias("delta"))
+    a_only = a.join(pairs, [*keys, "a_id"], "left_anti").select(*keys, F.lit("a_only").alias("bucket"), "a_id", no_b, no_delta)
+    b_only = b.join(pairs, [*keys, "b_id"], "left_anti").select(*keys, F.lit("b_only").alias("bucket"), no_a, "b_id", no_delta)
     return both.unionByName(a_only).unionByName(b_only)
 
 

@@ -13,7 +13,7 @@ from ..operators import notes as N
 from ..sources import adapter as A
 from ..sources import store as S
 from .registry import query
-from .trajectory_queries import BEH, BEHAVIOR_SQL, DANGER, DANGER_SQL, FPS, behavior, rounded
+from .trajectory_queries import BEH, BEHAVIOR_SQL, DANGER, DANGER_SQL, FPS, WITH, behavior, rounded, status_sql
 
 LOG = f"WITH RECURSIVE {A.VERDICTS_SQL}"
 LIVE = """
@@ -127,18 +127,51 @@ def match_candidates(spark, sf_dir):
     return j.select("run_id", "a_id", "b_id", F.round(F.abs(F.col("tb") - F.col("ta")), 6).alias("delta"))
 
 
-@query(None)
+def report_sql(keys: str, tol: float) -> str:
+    """CTEs that match ``a`` (keys, a_id, ta) and ``b`` (keys, b_id, tb): ``report`` with the buckets.
+
+    In each round the candidates win that are first for both of their ends; what touches them goes.
+    """
+    return f"""
+cand AS (SELECT {keys}, a_id, b_id, tb, abs(tb - ta) AS delta FROM a JOIN b USING ({keys}) WHERE abs(tb - ta) <= {tol}),
+ranked AS (SELECT {keys}, a_id, b_id, delta, row_number() OVER (PARTITION BY {keys} ORDER BY delta, a_id, tb, b_id) AS place, false AS won FROM cand),
+rounds AS (
+  SELECT * FROM ranked
+  UNION ALL
+  SELECT {keys}, a_id, b_id, delta, place, won FROM (
+    SELECT *, bool_or(won) OVER (PARTITION BY {keys}, a_id) AS a_won, bool_or(won) OVER (PARTITION BY {keys}, b_id) AS b_won FROM (
+      SELECT {keys}, a_id, b_id, delta, place, place = min(place) OVER (PARTITION BY {keys}, a_id) AND place = min(place) OVER (PARTITION BY {keys}, b_id) AS won FROM rounds WHERE NOT won
+    )
+  ) WHERE won OR NOT (a_won OR b_won)
+), paired AS (
+  SELECT {keys}, a_id, b_id, delta FROM rounds WHERE won
+), report AS (
+  SELECT {keys}, 'both' AS bucket, a_id, b_id, delta FROM paired
+  UNION ALL SELECT {keys}, 'a_only', a_id, NULL, NULL FROM a ANTI JOIN paired USING ({keys}, a_id)
+  UNION ALL SELECT {keys}, 'b_only', NULL, b_id, NULL FROM b ANTI JOIN paired USING ({keys}, b_id)
+)"""
+
+
+SIDES_REPORT = f"WITH RECURSIVE {SIDES_SQL}, a AS (FROM ai), b AS (FROM op), {report_sql('run_id', TOL)}"
+
+
+@query(f"{SIDES_REPORT} SELECT run_id, bucket, a_id, b_id, round(delta, 6) AS delta FROM report")
 def comparison(spark, sf_dir):
     """Machine events against human notes: both, a_only, b_only."""
     return rounded(M.match_report(*sides(spark, sf_dir), ["run_id"], TOL), "delta")
 
 
-@query(None)
+@query(f"{SIDES_REPORT} SELECT run_id, bucket, count(*) AS n FROM report GROUP BY run_id, bucket")
 def comparison_counts(spark, sf_dir):
     return M.match_report(*sides(spark, sf_dir), ["run_id"], TOL).groupBy("run_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {SIDES_SQL}, a AS (
+  SELECT side, user_id // {A.RUN_USERS} AS run_id, event_id AS a_id, epoch(ts) AS ta FROM events, (VALUES ('machine'), ('human')) AS s(side) WHERE event_type = 'view'
+), b AS (
+  SELECT 'machine' AS side, run_id, a_id AS b_id, ta AS tb FROM ai UNION ALL SELECT 'human', run_id, b_id, tb FROM op
+), {report_sql('side, run_id', TOL)}
+SELECT side, run_id, count(*) FILTER (bucket = 'both') AS found, count(*) FILTER (bucket = 'a_only') AS missed, count(*) FILTER (bucket = 'b_only') AS unmatched FROM report GROUP BY side, run_id""")
 def ground_truth_score(spark, sf_dir):
     """Reference entries found or missed by each side, matched independently."""
     a, b = sides(spark, sf_dir)
@@ -154,14 +187,17 @@ def ground_truth_score(spark, sf_dir):
     return out
 
 
-@query(None)
+OTHER = B.Behavior(still_speed=0.2, toward_speed=0.04, toward_time_s=0.5)
+
+
+@query(f"""WITH RECURSIVE a AS ({DANGER_SQL} SELECT run_id, category, event_id AS a_id, t_start AS ta FROM behavior),
+b AS ({WITH}, {status_sql(OTHER, DANGER)} SELECT run_id, category, event_id AS b_id, t_start AS tb FROM behavior), {report_sql('run_id, category', 10.0)}
+SELECT run_id, category, bucket, count(*) AS n FROM report GROUP BY run_id, category, bucket""")
 def run_compare(spark, sf_dir):
     """Events of one analysis against those of another with other thresholds, by category and start."""
-    one, two = behavior(spark, sf_dir, BEH, DANGER), behavior(spark, sf_dir, B.Behavior(still_speed=0.2, toward_speed=0.04, toward_time_s=0.5), DANGER)
     # One run in the reports is one video: a tracklet's events meet only those of its run.
-    number = lambda d: F.xxhash64(d["run_id"], d["event_id"])
-    a = one.select("run_id", "category", number(one).alias("a_id"), F.col("t_start").alias("ta"))
-    b = two.select("run_id", "category", number(two).alias("b_id"), F.col("t_start").alias("tb"))
+    a = behavior(spark, sf_dir, BEH, DANGER).select("run_id", "category", F.col("event_id").alias("a_id"), F.col("t_start").alias("ta"))
+    b = behavior(spark, sf_dir, OTHER, DANGER).select("run_id", "category", F.col("event_id").alias("b_id"), F.col("t_start").alias("tb"))
     return M.match_report(a, b, ["run_id", "category"], 10.0).groupBy("run_id", "category", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -270,6 +306,12 @@ def persons(spark, sf_dir):
     return people(spark, sf_dir)
 
 
+@query(None)
+def association_audit(spark, sf_dir):
+    t = fragments(spark, sf_dir)
+    return rounded(P.association_audit(P.profiles(t, FPS), P.centroids(t, A.detections(spark, sf_dir)), DIAG, SIM), "sim", "dist", "dist_limit")
+
+
 @query(None)
 def person_counts(spark, sf_dir):
     p = people(spark, sf_dir)

@@ -11,6 +11,7 @@ from ..operators import behavior as B
 from ..sources import adapter as A
 from ..streaming import live
 from .registry import query
+from .trajectory_queries import WITH, status_sql
 
 FPS = A.FPS
 
@@ -26,23 +27,31 @@ def _events(spark, sf_dir):
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+@query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS from_ts, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
-    """Hourly windows of a stream, summed by type: the watermark closes all but the last hours, which a final row closes."""
+    """Hourly windows of a stream by type: the watermark closes all but the last hours, which a final row closes;
+    rows that come behind the watermark are in no window."""
     root = _folder(spark)
     out = live.windowed_counts(_with_end(spark, sf_dir), "1 hour", "10 minutes", ["event_type"])
-    done = live.run_to_end(out, f"{root}/out", f"{root}/state")
-    return done.filter("event_type <> 'end'").groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+    done = live.run_to_end(out, f"{root}/out", f"{root}/state").filter("event_type <> 'end'")
+    return done.select("event_type", F.date_format("from_ts", "yyyy-MM-dd HH:mm:ss").alias("from_ts"), "n", F.round("total", 4).alias("total"))
 
 
 def _with_end(spark, sf_dir):
-    """The events in two files, the second with one row far behind all others, so that every window closes."""
+    """The events, in a first batch; then one row far behind all others, so that every window closes, and
+    rows that are late by then: those of all days but the last, under other names."""
     root = _folder(spark)
     e = A.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "user_id", "event_type", "value")
-    e.coalesce(1).write.parquet(f"{root}/1")
-    end = e.agg(F.lit(-1).cast("bigint").alias("event_id"), (F.max("ts") + F.expr("interval 10 days")).alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
-    end.coalesce(1).write.parquet(f"{root}/2")
-    return live.open_stream(spark, f"{root}/*", e.schema, files_per_batch=1)
+    e.write.parquet(f"{root}/1")
+    first = len(spark.read.schema(e.schema).parquet(f"{root}/1").inputFiles())
+    newest = e.agg(F.max("ts").alias("newest"))
+    row = lambda n, name: (F.lit(n).cast("bigint").alias("event_id"), "ts", F.lit(n).cast("bigint").alias("user_id"), F.lit(name).alias("event_type"), F.lit(0.0).alias("value"))
+    end = newest.withColumn("ts", F.col("newest") + F.expr("interval 10 days")).select(*row(-1, "end"))
+    # One row is broadcast.
+    late = e.join(F.broadcast(newest), F.col("ts") < F.col("newest") - F.expr("interval 1 day")).select(*row(-2, "late"))
+    end.write.parquet(f"{root}/2")
+    late.write.parquet(f"{root}/3")
+    return live.open_stream(spark, f"{root}/*", e.schema, files_per_batch=first)
 
 
 @query("""WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -51,7 +60,7 @@ SELECT user_id, count(*) AS sessions, max(n) AS longest FROM g GROUP BY user_id"
 def stream_sessions(spark, sf_dir):
     root = _folder(spark)
     done = live.run_to_end(live.sessions(_with_end(spark, sf_dir), "2 hours", "10 minutes", "user_id"), f"{root}/out", f"{root}/state")
-    return done.filter("user_id >= 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+    return done.filter("user_id <> -1").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id FROM (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id) GROUP BY user_id")
@@ -61,12 +70,14 @@ def stream_conflation(spark, sf_dir):
     return live.conflated(e.select("user_id", "event_id", "order"), "user_id", "order").select("user_id", "event_id")
 
 
-@query(None)
+@query(f"""{WITH.replace(f'(frame_no // {A.SEGMENT_FRAMES})::INT AS scene_segment', '0 AS scene_segment')}, {status_sql(B.Behavior(), None)}
+SELECT tracklet_id, min(frame_no) AS frame_no, min((frame_no - s0) / {FPS}) AS still_s FROM since WHERE is_still AND (frame_no - s0) / {FPS} >= {B.Behavior().still_time_s} GROUP BY run_id, tracklet_id, segment_run, si""")
 def stream_still_alerts(spark, sf_dir):
     """Stillness alerts of a stream of tracklet rows."""
     root = _folder(spark)
     t = B.with_positions(A.tracklets(spark, sf_dir))
     rows = t.select("tracklet_id", "frame_no", "x", "y", "body", F.timestamp_millis((F.col("frame_no") * 1000 / FPS).cast("bigint") + 86_400_000).alias("ts"))  # a watermark starts at 1970: no row may be there
-    rows.coalesce(1).write.parquet(f"{root}/in")
-    stream = live.open_stream(spark, f"{root}/in", rows.schema)
+    rows.write.parquet(f"{root}/in")
+    # All files are one batch: a tracklet that is longer than others makes none of their rows late.
+    stream = live.open_stream(spark, f"{root}/in", rows.schema, len(spark.read.schema(rows.schema).parquet(f"{root}/in").inputFiles()))
     return live.run_to_end(live.still_alerts(stream, FPS), f"{root}/out", f"{root}/state")

@@ -475,9 +475,18 @@ def tile_grid(spark, sf_dir):
     return O.tile_grid(p, 3)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {A.TRACKLETS_SQL}, rounds AS (
+  SELECT run_id, frame_no, det_id AS box_id, conf AS score, x0, y0, x1, y1, row_number() OVER (PARTITION BY run_id, frame_no ORDER BY conf DESC, det_id) AS place, false AS won FROM tracklets
+  UNION ALL
+  SELECT run_id, frame_no, box_id, score, x0, y0, x1, y1, place, won FROM (
+    SELECT *, greatest(least(x1, top.x1) - greatest(x0, top.x0), 0) * greatest(least(y1, top.y1) - greatest(y0, top.y0), 0) AS shared, (top.x1 - top.x0) * (top.y1 - top.y0) + (x1 - x0) * (y1 - y0) AS areas FROM (
+      SELECT * EXCLUDE (won), place = min(place) OVER w AS won, first_value({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) OVER w AS top FROM rounds WHERE NOT won WINDOW w AS (PARTITION BY run_id, frame_no ORDER BY place)
+    )
+  ) WHERE won OR shared / greatest(areas - shared, 1e-9) <= 0.5
+) SELECT run_id, frame_no, box_id, score FROM rounds WHERE won""")
 def nms(spark, sf_dir):
-    t = A.tracklets(spark, sf_dir)
+    """The boxes of each frame that no better box covers; in SQL the best box left of each frame wins a round."""
+    t =A.tracklets(spark, sf_dir)
     boxes = t.select("run_id", "frame_no", F.col("det_id").alias("box_id"), F.col("conf").alias("score"), "x0", "y0", "x1", "y1")
     return O.suppress(boxes, ["run_id", "frame_no"]).select("run_id", "frame_no", "box_id", "score")
 

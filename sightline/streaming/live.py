@@ -59,8 +59,10 @@ def still_alerts(rows: DataFrame, fps: float, cfg: Behavior = Behavior()) -> Dat
         frames, xs, ys, bodies, since, told = state.get if state.exists else ([], [], [], [], -1, False)
         frames, xs, ys, bodies = list(frames), list(xs), list(ys), list(bodies)
         out = []
-        for pdf in batches:
-            for r in pdf.sort_values("frame_no").itertuples():
+        # A batch's rows of one tracklet may come in several parts.
+        parts = list(batches)
+        if parts:
+            for r in pd.concat(parts).sort_values("frame_no").itertuples():
                 frames.append(int(r.frame_no)), xs.append(r.x), ys.append(r.y), bodies.append(max(r.body, 1.0))
                 while (frames[-1] - frames[0]) / fps > cfg.window_s:
                     del frames[0], xs[0], ys[0], bodies[0]
