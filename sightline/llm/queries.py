@@ -13,6 +13,7 @@ from .decontaminate import find_overlaps
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_lines
 from .near_dedup import near_duplicates
+from .ngram_join import jaccard_join
 from .pii import pseudonymise
 from .shared import new_folder, pin
 from .token_counts import longest_within, prefix_tables
@@ -179,6 +180,21 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query
+def op11_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return jaccard_join(documents(spark, sf_dir), width=5, percent=80)
+
+
+_OP6 = ORACLE_SQL["op6_chosen_path_dedup"]
+ORACLE_SQL["op11_count_vector_join"] = (
+    _OP6[: _OP6.rindex("SELECT d.doc_id")].replace("len(w) < 4", "len(w) < 5").replace("len(w) - 2", "len(w) - 3").replace("i:i+3", "i:i+4")
+    + """SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE t.component END AS component_id
+FROM shingled d JOIN sets x ON x.s = list_sort(d.s) JOIN tops t ON t.id = x.id
+"""
+)
+
+
 @query
 def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item."""
