@@ -1,10 +1,10 @@
 """Byte-level BPE by recursive queries over token-position rows.
 
 Each task splits its texts into words with the vocabulary's pattern. Words that the task has not
-met go to an in-process DuckDB as one row for each byte. A recursive query joins neighbouring
-tokens with the merge table and contracts each word's leftmost pair of smallest rank, until no
-word has a pair left; an ordered aggregation collects the ids, and another joins the ids with
-the vocabulary and puts their bytes together again. A text's ids and bytes are those of its words in order.
+met go to an in-process DuckDB as lists of bytes. A recursive query lays them out as token-position rows, joins
+neighbouring tokens with the merge table and contracts each word's leftmost pair of smallest rank, with
+its further places at once, until no word has a pair left; an ordered aggregation joins the ids
+with the vocabulary and puts their bytes together again. A text's ids and bytes are those of its words in order.
 
 A query goes as many rounds as its rows allow (ROUND_ROWS); words that are not done then go on in the
 next one, so that a word of any length takes the same way in bounded memory.
@@ -25,35 +25,54 @@ from pyspark.sql import DataFrame
 from . import chunks
 
 #: Rows that begin one recursive query, in bytes of words, and rows that all its rounds make.
-QUERY_BYTES, ROUND_ROWS = 200_000, 2_500_000
+QUERY_BYTES, ROUND_ROWS = 300_000, 2_500_000
 #: Characters of the texts that are encoded together, and words that a task remembers.
-GROUP_CHARS, WORDS = 1_500_000, 300_000
+GROUP_CHARS, WORDS = 1_500_000, 500_000
 
-#: A pair is packed in one number: its rank, the position of its left token (32 bits) and the left
-#: token's bytes (10 bits). The smallest is the one to merge.
+#: A word is a list of tokens. Each round lays the lists of unfinished words out as rows of position, token and next
+#: token, joins these with the merge table, and contracts each word's leftmost pair of smallest rank. In a list of
+#: more than LONG tokens the places further right that the same rank would take next go with it (of a run of equal tokens
+#: every second one begins a pair), and the list is put together again from its rows.
+LONG = 64
 ENCODE_SQL = """
 CREATE OR REPLACE TEMP TABLE ended AS
-WITH RECURSIVE state(word, pos, tok, going, round) AS (
-  SELECT word, pos, tok, true, 0 FROM start_rows
+WITH RECURSIVE state(word, toks, going, round) AS (
+  SELECT word, toks, true, 0 FROM start_words
   UNION ALL
-  (WITH paired AS MATERIALIZED (
-     SELECT n.word, n.pos, n.tok, n.round, m.packed + (n.pos::BIGINT << 10) AS pair
-     FROM (SELECT word, pos, tok, round, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS after FROM state WHERE going AND round < $rounds) n
-     LEFT JOIN merges m ON m.l = n.tok AND m.r = n.after
-   ), best AS (
-     SELECT word, min(pair) AS best FROM paired GROUP BY word
+  (WITH open_words AS MATERIALIZED (
+     SELECT word, toks, round FROM state WHERE going AND round < $rounds
+   ), best AS MATERIALIZED (
+     SELECT t.word, min((m.rank::BIGINT << 32) + t.i) AS place
+     FROM (SELECT word, unnest(toks) AS l, unnest(toks[2:]) AS r, generate_subscripts(toks, 1) AS i FROM open_words) t
+     JOIN merges m ON m.l = t.l AND m.r = t.r GROUP BY t.word
+   ), long AS MATERIALIZED (
+     SELECT w.word, w.toks, b.place >> 32 AS rank FROM best b JOIN open_words w ON w.word = b.word WHERE len(w.toks) > $long
+   ), places AS MATERIALIZED (
+     SELECT word, rank, i
+     FROM (SELECT word, rank, i, twins, row_number() OVER (PARTITION BY word, run ORDER BY i) AS nth
+           FROM (SELECT t.word, t.rank, t.i, t.l = t.r AS twins, t.i - row_number() OVER (PARTITION BY t.word ORDER BY t.i) AS run
+                 FROM (SELECT word, rank, unnest(toks) AS l, unnest(toks[2:]) AS r, generate_subscripts(toks, 1) AS i FROM long) t
+                 JOIN merges m ON m.l = t.l AND m.r = t.r AND m.rank = t.rank))
+     WHERE NOT twins OR nth % 2 = 1
+   ), rebuilt AS (
+     SELECT t.word, list(coalesce(h.rank::INT, t.tok) ORDER BY t.i) AS toks
+     FROM (SELECT word, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM long) t
+     LEFT JOIN places h ON h.word = t.word AND h.i = t.i
+     WHERE NOT EXISTS (SELECT 1 FROM places g WHERE g.word = t.word AND g.i + 1 = t.i)
+     GROUP BY t.word
    )
-   SELECT p.word, p.pos, CASE WHEN (best >> 10) & 4294967295 = pos THEN (best >> 42)::INT ELSE tok END, best IS NOT NULL, round + 1
-   FROM paired p JOIN best b ON p.word = b.word
-   WHERE best IS NULL OR pos <> ((best >> 10) & 4294967295) + (best & 1023))
+   SELECT w.word, CASE WHEN b.place IS NULL THEN w.toks ELSE coalesce(r.toks, w.toks[:(b.place & 4294967295) - 1] || [(b.place >> 32)::INT] || w.toks[(b.place & 4294967295) + 2:]) END, b.place IS NOT NULL, w.round + 1
+   FROM open_words w LEFT JOIN best b ON b.word = w.word LEFT JOIN rebuilt r ON r.word = w.word)
 )
-SELECT word, pos, tok, going FROM state WHERE NOT going OR round = $rounds
+SELECT word, toks, going FROM state WHERE NOT going OR round = $rounds
 """
 DECODE_SQL = """
-SELECT e.word, list(e.tok ORDER BY e.pos) AS ids, string_agg(v.chars, '' ORDER BY e.pos) AS chars
-FROM ended e JOIN vocabulary v ON v.tok = e.tok
-WHERE NOT e.going
-GROUP BY e.word
+SELECT w.word, w.toks AS ids, d.chars
+FROM ended w
+JOIN (SELECT e.word, string_agg(v.chars, '' ORDER BY e.pos) AS chars
+      FROM (SELECT word, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM ended WHERE NOT going) e
+      JOIN vocabulary v ON v.tok = e.tok GROUP BY e.word) d ON d.word = w.word
+WHERE NOT w.going
 """
 
 
@@ -69,9 +88,8 @@ def _tables(path: str):
     import pyarrow as pa
 
     ranks = read_ranks(path)
-    pairs = [(ranks[t[:i]], ranks[t[i:]], (r << 42) + i) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    left, right, packed = zip(*pairs, strict=True)
-    merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "packed": pa.array(packed, pa.int64())})
+    pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    merges = pa.table({c: pa.array(x, pa.int32()) for c, x in zip(("l", "r", "rank"), zip(*pairs, strict=True), strict=True)})
     # A byte is the character of its number, so that text aggregation joins bytes.
     vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "chars": [t.decode("latin-1") for t in ranks]})
     return merges, vocabulary, [ranks[bytes([i])] for i in range(256)], max(ranks.values())
@@ -89,7 +107,7 @@ class WordCoder:
         self.np, self.pa = np, pa
         merges, vocabulary, byte_id, self.largest = _tables(vocabulary_path)
         self.pattern, self.byte_id = regex.compile(pattern), np.array(byte_id, np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "180MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "180MB", "temp_directory": ""})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("rows_in", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
@@ -109,27 +127,24 @@ class WordCoder:
 
     def _query(self, words: list[bytes]):
         """(ids of the words one after the other, how many each has, the bytes they decode to, how many)."""
+        import pyarrow.compute as pc
+
         np, pa = self.np, self.pa
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
-        rows = pa.table(
-            {
-                "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
-                "pos": (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32),
-                "tok": self.byte_id[np.frombuffer(b"".join(words), np.uint8)],
-            }
-        )
+        tokens = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), self.byte_id[np.frombuffer(b"".join(words), np.uint8)])
+        rows = pa.table({"word": np.arange(len(words), dtype=np.int32), "toks": tokens})
         order, ids, n_ids, chars = [], [], [], []
         while rows.num_rows:
-            self.db.register("start_rows", rows)
-            self.db.execute(ENCODE_SQL, {"rounds": max(8, ROUND_ROWS // rows.num_rows)})
+            self.db.register("start_words", rows)
+            self.db.execute(ENCODE_SQL, {"long": LONG, "rounds": max(8, ROUND_ROWS // pc.sum(pc.list_value_length(rows["toks"])).as_py())})
             done = self.db.sql(DECODE_SQL).to_arrow_table()
             order.append(done["word"].to_numpy())
             for lists in done["ids"].chunks:
                 ids.append(lists.flatten().to_numpy(zero_copy_only=False))
                 n_ids.append(lists.value_lengths().to_numpy(zero_copy_only=False))
             chars += done["chars"].to_pylist()
-            rows = self.db.sql("SELECT word, pos, tok FROM ended WHERE going").to_arrow_table()
+            rows = self.db.sql("SELECT word, toks FROM ended WHERE going").to_arrow_table()
         place = np.argsort(np.concatenate(order))
         n_chars, decoded = np.fromiter(map(len, chars), np.int64, len(chars)), np.frombuffer("".join(chars).encode("latin-1"), np.uint8)
         return *chunks.spread(np.concatenate(ids).astype(np.int32), np.concatenate(n_ids).astype(np.int64), place), *chunks.spread(decoded, n_chars, place)

@@ -121,3 +121,17 @@ def test_prefixes_with_special_strings(spark):
     for text in ("hi <|endoftext|> you", "<|startoftext|>", "a<|endoftext|>", "<|endoftext|><|endoftext|> b"):
         counts = next(tables.tables([text]))
         assert [int(c) for c in counts] == [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+
+
+def test_very_long_words_take_few_rounds():
+    """A hundred thousand letters in a word: all places of the smallest pair go in a round, equal to the library."""
+    import random
+
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(8)
+    texts = ["a" * 100_000, "ab" * 20_000 + "a" * 301, "".join(r.choices("etaoin", k=2_000)), *("a" * n for n in range(60, 75)), "".join(r.choices("abAB \n'1é🙂ß", k=3_000))]
+    words = byte_bpe.WordCoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for text, (ids, back) in zip(texts, words.encode(texts), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text) and back.tobytes() == text.encode()
+    words.close()
