@@ -27,7 +27,7 @@ from .shared import pin, unpin
 SAMPLE_ROWS, MOST_CELLS = 4_096, 256
 #: Rows of a block, and searches that meet it in one task, at most (in the mean; they are dealt by hash).
 BLOCK_ROWS, BLOCK_SEARCHES = 16_384, 4_096
-LEAF_ROWS = 128
+LEAF_ROWS = 512
 #: Whole numbers up to here are exact in double precision.
 _EXACT = 1 << 53
 
@@ -43,9 +43,10 @@ def _matrix(lists, width: int):
     return out
 
 
-def dots(rows, v):
-    """Exact inner products of whole-number vectors, as 64-bit integers; beyond these they are clipped."""
-    if len(rows) and np.abs(rows).max() * np.abs(v).max(initial=0) * rows.shape[1] >= _EXACT:
+def dots(rows, v, most: float):
+    """Exact inner products of whole-number vectors, as 64-bit integers; beyond these they are clipped. ``most``: a bound of
+    the sums of their absolute products."""
+    if most >= _EXACT:
         exact = [sum(int(a) * int(b) for a, b in zip(r, v, strict=True)) for r in rows]
         return np.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in exact], np.int64)
     return (rows @ v).astype(np.int64)
@@ -281,9 +282,9 @@ def _visit(index: Index, searches: DataFrame, k: int, kth: DataFrame | None, fir
 class Block:
     """A bounded share of the rows with its own tree."""
 
-    def __init__(self, table, space: Space):
+    def __init__(self, table, space: Space, leaf: int = LEAF_ROWS):
         v = _matrix(table.column("v").combine_chunks(), space.width)
-        self.tree, self.square, self.slack = VantageTree(v, space.augment(v)), space.square, space.slack
+        self.tree, self.square, self.slack = VantageTree(v, space.augment(v), leaf), space.square, space.slack
         order = self.tree.order
         self.v = v[order]
         self.ids, self.labels = np.array(table.column("id"))[order], np.array(table.column("label"))[order]
@@ -300,17 +301,19 @@ class Block:
             if len(kept) == k and bound > edge(-int(kept[-1, 0])) + self.slack:
                 break
             self.opened += b - a
-            score = dots(self.v[a:b], v)
-            fits = (self.labels[a:b] == label) == same
-            fits &= self.ids[a:b] != own
-            if low is not None:
-                fits &= score >= low
+            # No inner product is larger than the largest norm squared.
+            score = dots(self.v[a:b], v, self.square)
+            floor = low if len(kept) < k else -int(kept[-1, 0])
+            fits = ((self.labels[a:b] == label) == same) & (self.ids[a:b] != own)
+            if floor is not None:
+                fits &= score >= floor
             if high is not None:
                 fits &= score <= high
             at = np.flatnonzero(fits)
-            new = np.stack([-score[at], self.ids[a:b][at], self.labels[a:b][at]], axis=1)
-            both_kept = np.concatenate([kept, new])
-            kept = both_kept[np.lexsort((both_kept[:, 2], both_kept[:, 1], both_kept[:, 0]))[:k]]
+            if len(at):
+                new = np.stack([-score[at], self.ids[a:b][at], self.labels[a:b][at]], axis=1)
+                both_kept = np.concatenate([kept, new])
+                kept = both_kept[np.lexsort((both_kept[:, 2], both_kept[:, 1], both_kept[:, 0]))[:k]]
         return [(int(i), -int(s)) for s, i, _ in kept]
 
 

@@ -63,8 +63,8 @@ def test_odd_rows(spark, monkeypatch):
 
 def test_large_numbers_are_exact():
     big = np.array([[3.0 * 2**40, 1.0], [2.0**40, 5.0]])
-    assert N.dots(big, np.array([2.0**10, 1.0])).tolist() == [3 * 2**50 + 1, 2**50 + 5]
-    assert N.dots(big, np.array([2.0**50, 1.0])).tolist() == [2**63 - 1] * 2
+    assert N.dots(big, np.array([2.0**10, 1.0]), 2.0**53).tolist() == [3 * 2**50 + 1, 2**50 + 5]
+    assert N.dots(big, np.array([2.0**50, 1.0]), 2.0**93).tolist() == [2**63 - 1] * 2
 
 
 def test_empty_tables(spark):
@@ -82,7 +82,7 @@ def test_walk_opens_few_leaves():
     v = np.floor(256 * (np.repeat(centres, 200, axis=0) + r.normal(0, 0.1, (8000, 8))))
     space = N.Space(float((v**2).sum(1).max()), 8)
     rows = pa.table({"id": np.arange(8000), "label": np.arange(8000) % 3, "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
-    block = N.Block(rows, space)
+    block = N.Block(rows, space, leaf=128)
     score = v @ v[17]
     low, high = int(score.max() * 0.3), int(score.max() * 0.9)
     want = sorted((-int(s), i) for i, s in enumerate(score) if low <= s <= high and i % 3 != 17 % 3)[:10]
