@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import behavior as B
+from ..operators import hazard as H
 from ..sources import adapter as A
-from ..streaming import live
+from ..streaming import live, persons
 from .registry import query
-from .trajectory_queries import WITH, status_sql
+from .trajectory_queries import HAZ, WITH, status_sql
 
 FPS = A.FPS
 
@@ -81,3 +82,98 @@ def stream_still_alerts(spark, sf_dir):
     # All files are one batch: a tracklet that is longer than others makes none of their rows late.
     stream = live.open_stream(spark, f"{root}/in", rows.schema, len(spark.read.schema(rows.schema).parquet(f"{root}/in").inputFiles()))
     return live.run_to_end(live.still_alerts(stream, FPS), f"{root}/out", f"{root}/state")
+
+
+def _as_stream(spark, rows, marker: dict, delay: str = "10 days"):
+    """``rows`` (with ``ts``) as a stream of one batch, and one more of a single row that is ``delay`` behind the newest, so
+    that the watermark passes all others and timers come due. ``marker``: what that row has beside its time."""
+    root = _folder(spark)
+    rows.write.parquet(f"{root}/1")
+    rows = spark.read.schema(rows.schema).parquet(f"{root}/1")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    marker = marker | {"ts_ms": 2**52}
+    end = rows.agg((F.max("ts") + F.expr(f"interval {delay}")).alias("ts"))
+    end.select(*[F.col(c) if c == "ts" else F.lit(marker.get(c)).cast(kinds[c]).alias(c) for c in rows.columns]).write.parquet(f"{root}/2")
+    return live.open_stream(spark, f"{root}/*", rows.schema, len(rows.inputFiles())), root
+
+
+def _ms(frame="frame_no"):
+    """Milliseconds of a frame; a watermark starts at 1970, so no row may be there."""
+    return (F.col(frame) * 1000 / FPS).cast("bigint") + 86_400_000
+
+
+#: Frames after which the sample's tracks break off, and the diagonal of its picture.
+TRACK_FRAMES, DIAGONAL = 20, 156.2
+
+
+def looks(spark, sf_dir):
+    """Detections of tracks that break off, each with its person's appearance."""
+    e = A.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("look"))
+    n = e.count()
+    t = B.with_positions(A.tracklets(spark, sf_dir)).withColumn("vec_id", F.col("tracklet_id") % n)
+    track = F.col("tracklet_id") * 1000 + F.expr(f"frame_no div {TRACK_FRAMES}")
+    # Every ninth detection is too small for an appearance.
+    return t.join(e, "vec_id", "left").select(
+        "run_id", "frame_no", track.cast("bigint").alias("track_id"), F.when(F.col("det_id") % 9 > 0, F.col("look")).alias("look"), "x", "y", F.lit(DIAGONAL).alias("diagonal"),
+        _ms().alias("ts_ms"), F.timestamp_millis(_ms()).alias("ts"),
+    )
+
+
+@query(None)
+def stream_persons(spark, sf_dir):
+    """Person numbers given while the detections come: a gallery of appearances in each run's state."""
+    stream, root = _as_stream(spark, looks(spark, sf_dir), {"run_id": -1, "frame_no": 0, "track_id": 0, "x": 0.0, "y": 0.0, "diagonal": 1.0})
+    return live.run_to_end(persons.online_persons(stream, "1 hour"), f"{root}-out", f"{root}-state")
+
+
+@query(None)
+def stream_tracks(spark, sf_dir):
+    """Starts and ends of the tracks of those persons: hand-over, scene cuts, silence."""
+    seen = looks(spark, sf_dir).drop("look", "diagonal").join(stream_persons(spark, sf_dir).drop("counts"), ["run_id", "frame_no", "track_id"])
+    seen = seen.select("run_id", "frame_no", F.lit(1).alias("kind"), "track_id", "person", "x", "y", "ts_ms", "ts")
+    cuts = seen.filter(F.col("frame_no") % A.SEGMENT_FRAMES == 0).select("run_id", "frame_no", "ts_ms", "ts").distinct()
+    cuts = cuts.select("run_id", "frame_no", F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("track_id"), F.lit(0).alias("person"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "ts_ms", "ts")
+    stream, root = _as_stream(spark, seen.unionByName(cuts), {"run_id": -1, "frame_no": 0, "kind": 0, "track_id": -1, "person": 0, "x": 0.0, "y": 0.0})
+    return live.run_to_end(persons.live_tracks(stream, 1.5, "1 hour"), f"{root}-out", f"{root}-state")
+
+
+HELD_SQL = f"""{HAZ}, ordered AS MATERIALIZED (
+  SELECT *, frame_no / {FPS} AS t, row_number() OVER (PARTITION BY stream_id, kind ORDER BY frame_no) AS i FROM hazards
+), held AS (
+  SELECT stream_id, kind, 0::BIGINT AS i, NULL::DOUBLE AS t, NULL::DOUBLE AS seen, NULL::DOUBLE AS away, NULL::DOUBLE AS since FROM ordered WHERE i = 1
+  UNION ALL
+  SELECT o.stream_id, o.kind, o.i, o.t, CASE WHEN o.area >= {H.MIN_AREA} THEN coalesce(h.seen, o.t) END, CASE WHEN o.area < {H.MIN_AREA} THEN coalesce(h.away, o.t) END,
+         CASE WHEN o.area >= {H.MIN_AREA} THEN CASE WHEN o.t - coalesce(h.seen, o.t) >= {H.HOLD_S} THEN coalesce(h.seen, o.t) ELSE h.since END WHEN h.since IS NOT NULL AND o.t - h.since < {4 * H.HOLD_S} THEN h.since END
+  FROM held h JOIN ordered o ON o.stream_id = h.stream_id AND o.kind = h.kind AND o.i = h.i + 1
+), turns AS (
+  SELECT *, lag(since) OVER w AS before, lead(i) OVER w IS NULL AS last FROM held WINDOW w AS (PARTITION BY stream_id, kind ORDER BY i)
+)
+SELECT stream_id || '/' || kind AS signal, 'onset' AS event, (since * 1000)::BIGINT AS since_ms, (t * 1000)::BIGINT AS at_ms FROM turns WHERE since IS NOT NULL AND before IS DISTINCT FROM since
+UNION ALL
+SELECT stream_id || '/' || kind, 'end', (before * 1000)::BIGINT, (t * 1000)::BIGINT FROM turns WHERE since IS NULL AND before IS NOT NULL
+UNION ALL
+SELECT stream_id || '/' || kind, 'end', (since * 1000)::BIGINT, (greatest(away, since + {4 * H.HOLD_S}) * 1000)::BIGINT FROM turns WHERE last AND since IS NOT NULL AND away IS NOT NULL"""
+
+
+def signals(spark, sf_dir):
+    """Hazards of the sample as signals."""
+    h = A.hazard_frames(spark, sf_dir)
+    return h.select(F.concat_ws("/", "stream_id", "kind").alias("signal"), (F.col("area") >= H.MIN_AREA).alias("present"), _ms().alias("ts_ms"), F.timestamp_millis(_ms()).alias("ts"))
+
+
+@query(HELD_SQL)
+def stream_holds(spark, sf_dir):
+    """Onsets and ends of hazards told by a stream; ends come from timers, also where no row comes any more."""
+    stream, root = _as_stream(spark, signals(spark, sf_dir), {"signal": "end", "present": False})
+    out = live.run_to_end(persons.held_signals(stream, H.HOLD_S, 4 * H.HOLD_S, "1 hour"), f"{root}-out", f"{root}-state")
+    return _from_start(out)
+
+
+@query(HELD_SQL)
+def hold_spans(spark, sf_dir):
+    """The same as a batch, by windows."""
+    return _from_start(persons.held_spans(signals(spark, sf_dir), H.HOLD_S, 4 * H.HOLD_S))
+
+
+def _from_start(events):
+    return events.withColumn("since_ms", F.col("since_ms") - 86_400_000).withColumn("at_ms", F.col("at_ms") - 86_400_000)
