@@ -270,8 +270,12 @@ def _visit(index: Index, searches: DataFrame, k: int, kth: DataFrame | None, fir
             block = Block(left, sent.value)
             v = _matrix(right.column("v").combine_chunks(), sent.value.width)
             columns = [right.column(c).to_pylist() for c in ("search", "id", "label", "same", "low", "high", "least")]
-            for i, (search, own, label, same, low, high, least) in enumerate(zip(*columns, strict=True)):
-                for found, score in block.best(v[i], own, label, same, max((x for x in (low, least) if x is not None), default=None), high, k):
+            last, seen = None, {}
+            for i in np.lexsort((columns[3], columns[1])).tolist():
+                search, own, label, same, low, high, least = (c[i] for c in columns)
+                if (now := (own, label, same, v[i].tobytes())) != last:
+                    last, seen = now, {}
+                for found, score in block.best(v[i], own, label, same, max((x for x in (low, least) if x is not None), default=None), high, k, seen):
                     out[0].append(search), out[1].append(found), out[2].append(score)
         return pa.table([pa.array(np.array(c, np.int64)) for c in out], names=["search", "found", "score"])
 
@@ -290,8 +294,10 @@ class Block:
         self.ids, self.labels = np.array(table.column("id"))[order], np.array(table.column("label"))[order]
         self.opened = 0
 
-    def best(self, v, own: int, label: int, same: bool, low: int | None, high: int | None, k: int) -> list[tuple[int, int]]:
-        """The k best (id, score) with scores from ``low`` to ``high``, of the ``same`` or another label."""
+    def best(self, v, own: int, label: int, same: bool, low: int | None, high: int | None, k: int, seen: dict | None = None) -> list[tuple[int, int]]:
+        """The k best (id, score) with scores from ``low`` to ``high``, of the ``same`` or another label. ``seen`` keeps leaves'
+        scores for the next window of the same anchor and kind."""
+        seen = {} if seen is None else seen
         both = (v @ v) + self.square
         edge = lambda s: math.sqrt(max(0.0, both - 2 * s))
         least = max(0.0, edge(high) - self.slack) if high is not None else 0.0
@@ -301,17 +307,20 @@ class Block:
             if len(kept) == k and bound > edge(-int(kept[-1, 0])) + self.slack:
                 break
             self.opened += b - a
-            # No inner product is larger than the largest norm squared.
-            score = dots(self.v[a:b], v, self.square)
+            if a not in seen:
+                # No inner product is larger than the largest norm squared. Only rows of the right labels are kept.
+                rows = a + np.flatnonzero(((self.labels[a:b] == label) == same) & (self.ids[a:b] != own))
+                seen[a] = rows, dots(self.v[a:b], v, self.square)[rows - a]
+            rows, score = seen[a]
             floor = low if len(kept) < k else -int(kept[-1, 0])
-            fits = ((self.labels[a:b] == label) == same) & (self.ids[a:b] != own)
-            if floor is not None:
-                fits &= score >= floor
+            fits = score >= floor if floor is not None else np.ones(len(rows), bool)
             if high is not None:
                 fits &= score <= high
             at = np.flatnonzero(fits)
+            if len(at) > 4 * k:  # ties with the k-th stay
+                at = at[score[at] >= np.partition(score[at], -k)[-k]]
             if len(at):
-                new = np.stack([-score[at], self.ids[a:b][at], self.labels[a:b][at]], axis=1)
+                new = np.stack([-score[at], self.ids[rows[at]], self.labels[rows[at]]], axis=1)
                 both_kept = np.concatenate([kept, new])
                 kept = both_kept[np.lexsort((both_kept[:, 2], both_kept[:, 1], both_kept[:, 0]))[:k]]
         return [(int(i), -int(s)) for s, i, _ in kept]
