@@ -8,7 +8,8 @@ Points meet in cells. Under one order of all tokens, rare ones first, a class of
 n - ceil(t * n) + 1; two classes at the threshold t or above share one of these, so no link is lost. A cell's
 points lie in an R-tree: nodes of up to FAN children with the largest count of each group, the range of sizes
 and whether all have one component. Pairs of nodes go down together while the bound allows a link between
-different components; pairs of points that are left are verified on their full sets.
+different components; pairs of points that are left pass finer counts if they are long, and are then verified on their
+full sets.
 
 Components only are asked for, so this runs twice over the cells. The first round looks in the cells of a
 class's first tokens, within leaves only, for its most promising partner: it gathers groups of copies at
@@ -26,6 +27,8 @@ from .near_dedup import Shingler, _relabelled
 from .shared import LAST_ID, pin, unpin
 
 GROUPS = 64
+#: Sets of more tokens than LONG have finer counts too, which their pairs must pass.
+LONG, FINE = 400, 2_048
 FAN = 24
 #: Points of a cell's part (in the mean; they are dealt by hash).
 CELL = 4_096
@@ -79,13 +82,13 @@ def first_tokens(shingles, frequent, percent: int):
     return rare, often[: n - len(rare)]
 
 
-def count_vector(shingles):
+def count_vector(shingles, groups: int = GROUPS):
     """How many tokens each group has; 255 stands for all larger counts too."""
-    return np.minimum(255, np.bincount((shingles >> np.uint64(20)) % np.uint64(GROUPS), minlength=GROUPS)).astype(np.uint8)
+    return np.minimum(255, np.bincount((shingles >> np.uint64(20)) % np.uint64(groups), minlength=groups)).astype(np.uint8)
 
 
 def _signed(base: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, code, n_shingles, set_a, set_b (128 bits of the set), groups, rare, often (the first tokens)."""
+    """doc_id, code, n_shingles, set_a, set_b (128 bits of the set), groups and fine (counts), rare and often (the first tokens)."""
     sent = base.sparkSession.sparkContext.broadcast(frequent_tokens(base, width))
 
     def run(batches):
@@ -95,20 +98,21 @@ def _signed(base: DataFrame, width: int, percent: int) -> DataFrame:
 
         make, frequent = Shingler(width), sent.value
         for batch in batches:
-            n, a, b, groups, rare, often = [], [], [], [], [], []
+            n, a, b, groups, fine, rare, often = [], [], [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 s = make.shingles(t)
                 d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 n.append(len(s)), a.append(d[0]), b.append(d[1]), groups.append(count_vector(s).tobytes())
+                fine.append(count_vector(s, FINE).tobytes() if len(s) > LONG else None)
                 x, y = first_tokens(s, frequent, percent) if len(s) else (s, s)
                 rare.append(x.view(np.int64)), often.append(y.view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(groups, pa.binary()), pa.array(rare, longs), pa.array(often, longs)],
-                names=["doc_id", "code", "n_shingles", "set_a", "set_b", "groups", "rare", "often"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(groups, pa.binary()), pa.array(fine, pa.binary()), pa.array(rare, longs), pa.array(often, longs)],
+                names=["doc_id", "code", "n_shingles", "set_a", "set_b", "groups", "fine", "rare", "often"],
             )
 
-    return base.mapInArrow(run, "doc_id bigint, code bigint, n_shingles bigint, set_a bigint, set_b bigint, groups binary, rare array<bigint>, often array<bigint>")
+    return base.mapInArrow(run, "doc_id bigint, code bigint, n_shingles bigint, set_a bigint, set_b bigint, groups binary, fine binary, rare array<bigint>, often array<bigint>")
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
@@ -322,14 +326,34 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _sets(base: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """class, shingles: the full sets of the classes in ``pairs``. A bitmap of fixed size says which texts are read again."""
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the finer counts of long sets allow."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            both = [i for i, (x, y) in enumerate(zip(batch.column(4).is_valid().to_pylist(), batch.column(5).is_valid().to_pylist(), strict=True)) if x and y]
+            keep = np.ones(batch.num_rows, bool)
+            for i in range(0, len(both), 4096):
+                at = pa.array(both[i : i + 4096], pa.int64())
+                x, y = (np.frombuffer(b"".join(batch.column(c).take(at).to_pylist()), np.uint8).reshape(-1, FINE) for c in (4, 5))
+                n = np.array(batch.column(2).take(at)) + np.array(batch.column(3).take(at))
+                full = (x == 255).any(axis=1) | (y == 255).any(axis=1)
+                keep[both[i : i + 4096]] = full | ((100 + percent) * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= percent * n)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    of = lambda c: classes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("fine").alias(f"fine{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "finea", "fineb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _texts(base: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """class, text: a text of each class in ``pairs``. A bitmap of fixed size says which rows move."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     where = pin(classes.join(ids, "class").select("class", "doc_id", "code"), "where")
     h = F.pmod(F.xxhash64("doc_id", "code"), F.lit(BITMAP * 64)).alias("at")
     bits = where.select(h).groupBy(F.expr("CAST(at DIV 64 AS INT)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
     words = bits.toArrow()
-
     bitmap = np.zeros(BITMAP, np.int64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     sent = base.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
@@ -337,29 +361,43 @@ def _sets(base: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) ->
     def run(batches):
         import pyarrow as pa
 
-        make, bits = Shingler(width), sent.value
+        bits = sent.value
         for batch in batches:
             at = np.array(batch.column(3))
-            hit = np.flatnonzero((bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1))
-            some = batch.take(pa.array(hit))
-            sets = [make.shingles(t).view(np.int64) for t in some.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "code", "shingles"])
+            hit = (bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "code", "text"])
 
-    read = base.select("doc_id", "code", "text", h).mapInArrow(run, "doc_id bigint, code bigint, shingles array<bigint>")
-    out = pin(read.join(where, ["doc_id", "code"]).dropDuplicates(["class"]).select("class", "shingles"), "sets")
+    read = base.select("doc_id", "code", "text", h).mapInArrow(run, "doc_id bigint, code bigint, text string")
+    out = pin(read.join(where, ["doc_id", "code"]).dropDuplicates(["class"]).select("class", "text"), "texts")
     unpin(where)
     return out
 
 
 def _verified(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links (a, b) among ``pairs``, by their full sets."""
+    """The links (a, b) among ``pairs``, by the full sets of their texts. Texts move, as they pack better than hashes."""
+    pairs = pin(_alike(pairs, classes, percent), "alike")
     if pairs.isEmpty():
         return pairs
-    sets = _sets(base, classes, pairs, width)
-    of = lambda c: sets.select(F.col("class").alias(c), F.col("shingles").alias(f"x{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("common", F.size(F.array_intersect("xa", "xb")).cast("bigint"))
-    out = pin(both.filter(100 * F.col("common") >= percent * (F.size("xa") + F.size("xb") - F.col("common"))).select("a", "b"), "links")
-    unpin(sets)
+    texts = _texts(base, classes, pairs)
+
+    def run(batches):
+        import pyarrow as pa
+
+        make, last, own = Shingler(width), None, None
+        for batch in batches:
+            keep = []
+            for a, x, y in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+                if a != last:
+                    last, own = a, make.shingles(x)
+                other = make.shingles(y)
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(100 * common >= percent * (len(own) + len(other) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"text{c}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "texta", "textb")
+    out = pin(both.mapInArrow(run, "a bigint, b bigint"), "links")
+    unpin(texts, pairs)
     return out
 
 
@@ -404,8 +442,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     base = _keyed(docs, id_col, text_col)
     signed = pin(_signed(base, width, percent), "signed")
     some = signed.filter(F.col("n_shingles") > 0)
-    groups = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "code")).alias("first"), *[F.first(c).alias(c) for c in ("groups", "rare", "often")])
-    columns = ("class", "n_shingles", "set_a", "set_b", "first.doc_id", "first.code", "groups", "rare", "often")
+    groups = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "code")).alias("first"), *[F.first(c).alias(c) for c in ("groups", "fine", "rare", "often")])
+    columns = ("class", "n_shingles", "set_a", "set_b", "first.doc_id", "first.code", "groups", "fine", "rare", "often")
     classes = pin(groups.withColumn("class", F.monotonically_increasing_id()).select(*columns), "classes")
     labels = join_classes(classes, base, width, percent)
     named = classes.select("class", "n_shingles", "set_a", "set_b", F.col("doc_id").alias("first"))
