@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points of a trail, seconds after which a person counts, largest shift as a share of the width.
-TRAIL, COUNTS_AFTER_S, MOST_SHIFT = 24, 2.0, 0.25
+#: Points of a trail, seconds after which a person counts.
+TRAIL, COUNTS_AFTER_S = 24, 2.0
 
 
 def trails(points: DataFrame, keys: list[str], order: str, most: int = TRAIL) -> DataFrame:
@@ -32,13 +32,6 @@ def signal_totals(fired: DataFrame, keys: list[str]) -> DataFrame:
     return now.join(firsts, [*keys, "frame_no"], "left").withColumn("total", F.sum(F.coalesce("new", F.lit(0))).over(w)).drop("new")
 
 
-def drift(shifts: DataFrame, keys: list[str], order: str, width: float) -> DataFrame:
-    """The camera's offset at each frame: the sum of the shifts so far; shifts of MOST_SHIFT of the width or more are errors."""
-    fair = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2) < MOST_SHIFT * width
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return shifts.withColumn("off_x", F.sum(F.when(fair, F.col("dx")).otherwise(0.0)).over(w)).withColumn("off_y", F.sum(F.when(fair, F.col("dy")).otherwise(0.0)).over(w))
-
-
 def to_stable(points: DataFrame) -> DataFrame:
     """Screen positions without the camera's offset, and back: stable_x, stable_y, screen_x, screen_y."""
     out = points.withColumn("stable_x", F.col("x") - F.col("off_x")).withColumn("stable_y", F.col("y") - F.col("off_y"))

@@ -27,6 +27,10 @@ def ema(df: DataFrame, keys: list[str], order: str, value: str, alpha: float, se
     return replay(df.withColumn("v", F.col(value)), keys, order, lambda: {"m": None if seeded else 0.0}, step, schema, ["v"])
 
 
+#: Fixed value: a shift of so much of the width, sideways or up and down, is a mistake.
+MOST_SHIFT = 0.25
+
+
 def offsets(df: DataFrame, keys: list[str], order: str, limit: float) -> DataFrame:
     """Running sums of camera shifts; a shift of ``limit`` or more is a mistake and counts 0."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -47,7 +51,11 @@ def hysteresis(df: DataFrame, keys: list[str], order: str, threshold: float) ->
     return replay(df, keys, order, lambda: {"p": None}, step, schema, ["px", "py"])
 
 
-def smooth_boxes(df: DataFrame, keys: list[str], order: str, fps: float, tau_pos: float = 0.12, tau_size: float = 0.18, slew: float = 3.0) -> DataFrame:
+#: The box filter's times (seconds) for place and size, its most speed (box sizes a second), its least size.
+TAU_POS, TAU_SIZE, SLEW, LEAST_SIZE = 0.12, 0.18, 3.0, 8.0
+
+
+def smooth_boxes(df: DataFrame, keys: list[str], order: str, fps: float, tau_pos: float = TAU_POS, tau_size: float = TAU_SIZE, slew: float = SLEW) -> DataFrame:
     """Boxes (cx, cy, w, h) smoothed by the time that passed, with a bound on speed in box sizes a second."""
 
     def step(s, row):
@@ -55,7 +63,7 @@ def smooth_boxes(df: DataFrame, keys: list[str], order: str, fps: float, tau_pos
         if s["box"] is None:
             s["box"] = box
         elif (dt := t - s["t"]) > 0:
-            most = slew * max(s["box"][2], s["box"][3], 8.0) * dt
+            most = slew * max(s["box"][2], s["box"][3], LEAST_SIZE) * dt
             rate = [1 - math.exp(-dt / tau) for tau in (tau_pos, tau_pos, tau_size, tau_size)]
             s["box"] = [b + max(-most, min(most, a * (n - b))) for a, b, n in zip(rate, s["box"], box, strict=True)]
         s["t"] = t
@@ -89,7 +97,11 @@ def scene_transforms(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return replay(df, keys, order, lambda: {"m": None, "segment": 0}, step, schema, ["pairwise"])
 
 
-def tile_grid(pictures: DataFrame, n: int, overlap: float = 0.15) -> DataFrame:
+#: Fixed value: how far neighbouring tiles overlap.
+OVERLAP = 0.15
+
+
+def tile_grid(pictures: DataFrame, n: int, overlap: float = OVERLAP) -> DataFrame:
     """Each picture's (width, height) n x n equal tiles, spread evenly from edge to edge: tile_x, tile_y, x0, y0, x1, y1."""
     grid = pictures.withColumn("tile_y", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("tile_x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     for side, at, lo, hi in ("width", "tile_x", "x0", "x1"), ("height", "tile_y", "y0", "y1"):

@@ -25,13 +25,13 @@ def seconds_of(token: Column) -> Column:
 
 def _around_last(line: Column, mark: str) -> tuple[Column, Column]:
     at = F.length(line) - F.locate(mark, F.reverse(line)) + 1
-    return F.trim(F.substr(line, F.lit(1), at - 1)), F.trim(F.substr(line, at + 1, F.length(line)))
+    return F.trim(F.substr(line, F.lit(1), at - 1), F.lit(_BLANK)), F.trim(F.substr(line, at + 1, F.length(line)), F.lit(_BLANK))
 
 
 def parse_notes(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Add ``t`` and ``note`` to lines that have a time and a text on the two sides of their last semicolon,
     else of their last comma, in either order; blank lines and lines with # are left out, others keep nulls."""
-    line = F.trim(F.regexp_replace(F.col(line_col), "^\ufeff", ""), F.lit(_BLANK))
+    line = F.trim(F.col(line_col), F.lit(_BLANK))
     found = []
     for mark in ";", ",":
         left, right = _around_last(line, mark)
@@ -55,10 +55,12 @@ def import_notes(lines: DataFrame, file_cols: list[str], line_no: str = "line_no
 
     A file whose first line that is neither blank nor a comment names a time and a text column has
     rows of these columns; other files have lines as parse_notes reads them. Blank lines, comments
-    and headers are left out. Reasons: fields, time, text, line.
+    and headers are left out. A byte order mark before a file's first line is none of its text. Reasons: fields, time, text, line.
     """
-    line = F.trim(F.regexp_replace(F.col(line_col), "^\ufeff", ""), F.lit(_BLANK))
-    kept = lines.withColumn("__line", line).filter("__line <> '' AND NOT startswith(__line, '#')")
+    starts = lines.groupBy(*file_cols).agg(F.min(line_no).alias("__start"))
+    bare = F.when(F.col(line_no) == F.col("__start"), F.regexp_replace(F.col(line_col), "^\ufeff+", "")).otherwise(F.col(line_col))
+    lines = lines.join(starts, file_cols).withColumn("__raw", F.col(line_col)).withColumn(line_col, bare).drop("__start")
+    kept = lines.withColumn("__line", F.trim(F.col(line_col), F.lit(_BLANK))).filter("__line <> '' AND NOT startswith(__line, '#')")
     first = kept.groupBy(*file_cols).agg(F.min(F.struct(F.col(line_no).alias("no"), F.col("__line").alias("line"))).alias("__first"))
     place = lambda mark, names: F.expr(f"get(filter(sequence(0, size(split(__first.line, '{mark}')) - 1), i -> array_contains(array({', '.join(repr(n) for n in names)}), lower(trim(split(__first.line, '{mark}')[i])))), 0)")
     heads = [F.when(place(m, TIME_NAMES).isNotNull() & place(m, TEXT_NAMES).isNotNull(), F.struct(F.lit(m).alias("mark"), place(m, TIME_NAMES).alias("t"), place(m, TEXT_NAMES).alias("text"))) for m in (";", ",")]
@@ -71,4 +73,4 @@ def import_notes(lines: DataFrame, file_cols: list[str], line_no: str = "line_no
     reason = F.when(headed, F.when(short, "fields").when(time.isNull(), "time").when(text == "", "text")).otherwise(F.when(F.col("t").isNull(), "line"))
     out = rows.withColumn("reason", reason)
     ok = F.col("reason").isNull()
-    return out.withColumn("t", F.when(ok, F.when(headed, time).otherwise(F.col("t")))).withColumn("note", F.when(ok, F.when(headed, text).otherwise(F.col("note")))).drop("__line", "__no", "__head", "__f")
+    return out.withColumn("t", F.when(ok, F.when(headed, time).otherwise(F.col("t")))).withColumn("note", F.when(ok, F.when(headed, text).otherwise(F.col("note")))).withColumn(line_col, F.col("__raw")).drop("__line", "__no", "__head", "__f", "__raw")

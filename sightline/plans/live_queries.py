@@ -223,13 +223,13 @@ def signal_totals(spark, sf_dir):
 
 
 @query(f"""WITH {A.TRACKLETS_SQL}, s AS (SELECT run_id, tracklet_id, frame_no, (x0 + x1) / 2 AS x, y1 AS y, (det_id % 9 - 4)::DOUBLE AS dx, (det_id % 50 - 10)::DOUBLE AS dy FROM tracklets),
-o AS (SELECT *, sum(CASE WHEN sqrt(dx * dx + dy * dy) < 30 THEN dx ELSE 0 END) OVER w AS off_x, sum(CASE WHEN sqrt(dx * dx + dy * dy) < 30 THEN dy ELSE 0 END) OVER w AS off_y FROM s WINDOW w AS (PARTITION BY run_id, tracklet_id ORDER BY frame_no))
+o AS (SELECT *, sum(CASE WHEN abs(dx) < 30 AND abs(dy) < 30 THEN dx ELSE 0 END) OVER w AS off_x, sum(CASE WHEN abs(dx) < 30 AND abs(dy) < 30 THEN dy ELSE 0 END) OVER w AS off_y FROM s WINDOW w AS (PARTITION BY run_id, tracklet_id ORDER BY frame_no))
 SELECT run_id, tracklet_id, frame_no, x - off_x AS stable_x, y - off_y AS stable_y FROM o""")
 def stable_positions(spark, sf_dir):
     """Positions without the camera's drift."""
     t = A.tracklets(spark, sf_dir)
-    s = t.select("run_id", "tracklet_id", "frame_no", ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("y1").alias("y"), (F.col("det_id") % 9 - 4).cast("double").alias("dx"), (F.col("det_id") % 50 - 10).cast("double").alias("dy"))
-    return V.to_stable(V.drift(s, ["run_id", "tracklet_id"], "frame_no", 120.0)).select("run_id", "tracklet_id", "frame_no", "stable_x", "stable_y")
+    s = t.select("run_id", "tracklet_id", "frame_no", ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("y1").alias("y"), (F.col("det_id") % 9 - 4).cast("double").alias("shift_x"), (F.col("det_id") % 50 - 10).cast("double").alias("shift_y"))
+    return V.to_stable(K.offsets(s, ["run_id", "tracklet_id"], "frame_no", K.MOST_SHIFT * 120.0)).select("run_id", "tracklet_id", "frame_no", "stable_x", "stable_y")
 
 
 @query(f"""WITH {A.TRACKLETS_SQL} SELECT run_id, frame_no, '{{"v":1,"frame_no":' || frame_no || ',"persons":[' || string_agg('{{"id":' || tracklet_id || ',"cls":"' || cls || '"}}', ',' ORDER BY tracklet_id) || ']}}' AS record FROM tracklets GROUP BY run_id, frame_no""")

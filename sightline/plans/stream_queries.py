@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import behavior as B
 from ..operators import hazard as H
+from ..operators import motion as MO
 from ..sources import adapter as A
 from ..streaming import live, persons
+from ..streaming.paced import PacedSource
 from .registry import query
 from .trajectory_queries import HAZ, WITH, status_sql
 
@@ -66,9 +68,13 @@ def stream_sessions(spark, sf_dir):
 
 @query("SELECT user_id, max(event_id) AS event_id FROM (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id) GROUP BY user_id")
 def stream_conflation(spark, sf_dir):
-    """The newest event of each user, as a reader sees it that is slower than the stream."""
-    e = A.table(spark, sf_dir, "events").withColumn("order", F.struct("ts", "event_id"))
-    return live.conflated(e.select("user_id", "event_id", "order"), "user_id", "order").select("user_id", "event_id")
+    """The newest event of each user, kept by a sink while the events stream in by parts of a day."""
+    root = _folder(spark)
+    e = A.table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("order"), F.expr("hour(ts) div 6").alias("part"))
+    e.repartition(4, "part").write.parquet(f"{root}-in")
+    schema = spark.read.parquet(f"{root}-in").schema
+    sink = live.NewestSink(f"{root}-out", "user_id", "order", every=3)
+    return live.run_into(live.open_stream(spark, f"{root}-in", schema), sink, f"{root}-state").select("user_id", "event_id")
 
 
 @query(f"""{WITH.replace(f'(frame_no // {A.SEGMENT_FRAMES})::INT AS scene_segment', '0 AS scene_segment')}, {status_sql(B.Behavior(), None)}
@@ -177,3 +183,44 @@ def hold_spans(spark, sf_dir):
 
 def _from_start(events):
     return events.withColumn("since_ms", F.col("since_ms") - 86_400_000).withColumn("at_ms", F.col("at_ms") - 86_400_000)
+
+
+#: Milliseconds that the sample's analyses take, for each number of its detections by 7.
+LAG_MS = 400
+
+
+@query(f"""WITH {A.TRACKLETS_SQL}, s AS (
+  SELECT tracklet_id AS key, frame_no, det_id, (x0 + x1) / 2 AS x, y1 AS y, (det_id % 9 - 4)::DOUBLE AS dx, (det_id % 50 - 10)::DOUBLE AS dy FROM tracklets
+), f AS (
+  SELECT *, sum(CASE WHEN abs(dx) < 30 AND abs(dy) < 30 THEN dx ELSE 0 END) OVER w AS off_x, sum(CASE WHEN abs(dx) < 30 AND abs(dy) < 30 THEN dy ELSE 0 END) OVER w AS off_y
+  FROM s WINDOW w AS (PARTITION BY key ORDER BY frame_no)
+)
+SELECT r.key, r.det_id AS result_id, r.frame_no AS taken, n.frame_no, r.x + n.off_x - r.off_x AS x, r.y + n.off_y - r.off_y AS y
+FROM f r JOIN f n ON n.key = r.key AND n.frame_no = r.frame_no + (r.det_id % 7 * {LAG_MS}) // {int(1000 / FPS)}""")
+def stream_results(spark, sf_dir):
+    """Late results moved into the frame that is shown when they are ready: two streams, two watermarks."""
+    t = A.tracklets(spark, sf_dir).select(
+        F.col("tracklet_id").alias("key"), "frame_no", "det_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("y1").alias("y"),
+        (F.col("det_id") % 9 - 4).cast("double").alias("shift_x"), (F.col("det_id") % 50 - 10).cast("double").alias("shift_y"), F.timestamp_millis(_ms()).alias("ts"),
+    )
+    t = MO.offsets(t, ["key"], "frame_no", 30.0)
+    frames, root = _as_stream(spark, t.select("key", "frame_no", "ts", "off_x", "off_y"), {"key": -1, "frame_no": 0})
+    ready = F.timestamp_millis(_ms() + F.col("det_id") % 7 * LAG_MS)
+    results, _ = _as_stream(spark, t.select("key", F.col("det_id").alias("result_id"), F.col("frame_no").alias("taken"), ready.alias("ts"), "x", "y", "off_x", "off_y"), {"key": -2})
+    out = live.into_now(results.withColumnRenamed("ts", "ready"), frames, "1 hour", f"{int(1000 / FPS)} milliseconds")
+    return live.run_to_end(out, f"{root}-out", f"{root}-state")
+
+
+@query("""SELECT event_id, user_id, event_id + 1 AS frame_no, lap::INT AS lap, lap > 0 AND event_id = 2 AS looped
+FROM events, (SELECT unnest(range(2)) AS lap) WHERE (event_id + 1) % 3 = 0""")
+def stream_paced(spark, sf_dir):
+    """The events as frames of 24 a second of which 8 are asked for, played twice."""
+    root = _folder(spark)
+    spark.dataSource.register(PacedSource)
+    played = spark.readStream.format("paced").option("path", f"{sf_dir}/events.parquet").option("fps", 24).option("max_fps", 8).option("laps", 2).load()
+    q = played.select("event_id", "user_id", "frame_no", "lap", "looped").writeStream.format("parquet").option("path", f"{root}-out").option("checkpointLocation", f"{root}-state").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.parquet(f"{root}-out")

@@ -91,3 +91,53 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def into_now(results: DataFrame, frames: DataFrame, late: str, period: str) -> DataFrame:
+    """Results of a slow analysis, moved to where things are when they are ready.
+
+    ``results``: key, taken and off_x, off_y (the frame that was analysed and the camera's running offset then), ready
+    (time), x, y. ``frames``: key, frame_no, ts, off_x, off_y. A result meets the frame that is shown when it is
+    ready, for ``period``, and moves by the difference of the offsets. Both sides have a watermark: results and frames that
+    come later than ``late`` are dropped (and counted in the query's progress), and neither side is kept for longer.
+    """
+    r = results.withWatermark("ready", late).withColumnsRenamed({"off_x": "was_x", "off_y": "was_y"}).withColumnRenamed("key", "of")
+    f = frames.withWatermark("ts", late)
+    met = r.join(f, (F.col("of") == F.col("key")) & (F.col("ready") >= F.col("ts")) & (F.col("ready") < F.col("ts") + F.expr(f"interval {period}")))
+    return met.select("key", "result_id", "taken", "frame_no", (F.col("x") + F.col("off_x") - F.col("was_x")).alias("x"), (F.col("y") + F.col("off_y") - F.col("was_y")).alias("y"))
+
+
+class NewestSink:
+    """A sink for ``foreachBatch`` that keeps the newest row of each key; a batch that is replayed changes nothing.
+
+    A batch writes the newest of its own rows under its number, over what a failed attempt may have left. Every
+    ``every`` batches a new generation begins with the newest rows of the last one, and the one before that is deleted.
+    """
+
+    def __init__(self, path: str, key: str, order: str, every: int = 16):
+        self.path, self.key, self.order, self.every = path.rstrip("/"), key, order, every
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        gen = batch_id // self.every
+        if batch_id % self.every == 0 and gen:
+            conflated(self._read(batch.sparkSession, gen - 1), self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/{gen}/start")
+            self._delete(batch.sparkSession, f"{self.path}/{gen - 2}")
+        conflated(batch, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/{gen}/batch-{batch_id}")
+
+    def _read(self, spark: SparkSession, gen: int) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/{gen}/*")
+
+    def _delete(self, spark: SparkSession, path: str) -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def newest(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The newest row of each key after batch ``batch_id``."""
+        return conflated(self._read(spark, batch_id // self.every), self.key, self.order)
+
+
+def run_into(stream: DataFrame, sink: NewestSink, checkpoint: str) -> DataFrame:
+    """Run a stream over what is there into a sink, and read what it keeps."""
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sink.newest(stream.sparkSession, max(p["batchId"] for p in q.recentProgress))

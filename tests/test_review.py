@@ -88,10 +88,19 @@ def test_note_lines(spark):
     assert got["14:32; smoke"] == (872.0, "smoke")
     assert got["1:04:32, three"] == (3872.0, "three")
     assert got["872,5; four"] == got["872,5, five"][:1] + ("four",) == (872.5, "four")
+    more = ["12:30;\tsmoke \t", "x\t;12:30", "\u00a0y \t,\t1:02:03", "\ufeff12:30;z"]
+    tabs = {r.line: (r.t, r.note) for r in N.parse_notes(spark.createDataFrame([(x,) for x in more], "line string")).collect()}
+    assert [tabs[x] for x in more] == [(750.0, "smoke"), (750.0, "x"), (3723.0, "y"), (None, None)]
     assert got["nothing"] == (None, None) and got["10:75, bad"] == (None, None)
     assert len(got) == 7
 
 
+def test_only_the_first_line_of_a_file_may_have_a_mark(spark):
+    rows = [(1, 1, "\ufefftid;text"), (1, 2, "0:30;\tsmoke"), (2, 5, "\ufeff"), (2, 6, "0:40;a"), (2, 7, "\ufeff0:50;b")]
+    got = {(r.file, r.line_no): (r.line, r.t, r.note, r.reason) for r in N.import_notes(spark.createDataFrame(rows, "file int, line_no int, line string"), ["file"]).collect()}
+    assert got == {(1, 2): ("0:30;\tsmoke", 30.0, "smoke", None), (2, 6): ("0:40;a", 40.0, "a", None), (2, 7): ("\ufeff0:50;b", None, None, "line")}
+
+
 def test_nearest_frame_takes_the_earlier_of_two(spark):
     frames = spark.createDataFrame([(1, f, f * 1.0) for f in range(5)], "run_id bigint, frame_no int, t double")
     asked = spark.createDataFrame([(1, 1, 1.5), (1, 2, -3.0), (1, 3, 9.0)], "run_id bigint, ask_id bigint, t double")
