@@ -14,7 +14,7 @@ from ..sources import adapter as A
 from ..streaming import live, persons
 from ..streaming.paced import PacedSource
 from .registry import query
-from .trajectory_queries import HAZ, WITH, status_sql
+from .trajectory_queries import HOLD_EVENTS_SQL, WITH, status_sql
 
 FPS = A.FPS
 
@@ -143,22 +143,9 @@ def stream_tracks(spark, sf_dir):
     return live.run_to_end(persons.live_tracks(stream, 1.5, "1 hour"), f"{root}-out", f"{root}-state")
 
 
-HELD_SQL = f"""{HAZ}, ordered AS MATERIALIZED (
-  SELECT *, frame_no / {FPS} AS t, row_number() OVER (PARTITION BY stream_id, kind ORDER BY frame_no) AS i FROM hazards
-), held AS (
-  SELECT stream_id, kind, 0::BIGINT AS i, NULL::DOUBLE AS t, NULL::DOUBLE AS seen, NULL::DOUBLE AS away, NULL::DOUBLE AS since FROM ordered WHERE i = 1
-  UNION ALL
-  SELECT o.stream_id, o.kind, o.i, o.t, CASE WHEN o.area >= {H.MIN_AREA} THEN coalesce(h.seen, o.t) END, CASE WHEN o.area < {H.MIN_AREA} THEN coalesce(h.away, o.t) END,
-         CASE WHEN o.area >= {H.MIN_AREA} THEN CASE WHEN o.t - coalesce(h.seen, o.t) >= {H.HOLD_S} THEN coalesce(h.seen, o.t) ELSE h.since END WHEN h.since IS NOT NULL AND o.t - h.since < {4 * H.HOLD_S} THEN h.since END
-  FROM held h JOIN ordered o ON o.stream_id = h.stream_id AND o.kind = h.kind AND o.i = h.i + 1
-), turns AS (
-  SELECT *, lag(since) OVER w AS before, lead(i) OVER w IS NULL AS last FROM held WINDOW w AS (PARTITION BY stream_id, kind ORDER BY i)
-)
-SELECT stream_id || '/' || kind AS signal, 'onset' AS event, (since * 1000)::BIGINT AS since_ms, (t * 1000)::BIGINT AS at_ms FROM turns WHERE since IS NOT NULL AND before IS DISTINCT FROM since
-UNION ALL
-SELECT stream_id || '/' || kind, 'end', (before * 1000)::BIGINT, (t * 1000)::BIGINT FROM turns WHERE since IS NULL AND before IS NOT NULL
-UNION ALL
-SELECT stream_id || '/' || kind, 'end', (since * 1000)::BIGINT, (greatest(away, since + {4 * H.HOLD_S}) * 1000)::BIGINT FROM turns WHERE last AND since IS NOT NULL AND away IS NOT NULL"""
+HELD_SQL = f"""{HOLD_EVENTS_SQL}
+SELECT stream_id || '/' || kind AS signal, event, (since * 1000)::BIGINT AS since_ms, (t * 1000)::BIGINT AS at_ms
+FROM (SELECT *, 'onset' AS event FROM onsets UNION ALL BY NAME SELECT *, 'end' AS event FROM ends)"""
 
 
 def signals(spark, sf_dir):

@@ -195,43 +195,40 @@ estep AS (
 
 
 def sequential_sql(cfg: I.Irrational) -> str:
-    """Oscillation and freeze-bolt as recursions over each tracklet's rows."""
+    """Oscillation by legs, each of which ends at its first row that has come back far enough; freeze and bolt by
+    islands of still rows, the first fast row behind each, and the last bolt before each row."""
+    same = lambda a, b: f"{a}.run_id = {b}.run_id AND {a}.tracklet_id = {b}.tracklet_id AND {a}.segment_run = {b}.segment_run"
     return f"""
 ordered AS MATERIALIZED (
   SELECT run_id, tracklet_id, segment_run, frame_no, frame_no / {FPS} AS t, x, y, greatest(body, 1.0) AS body, speed,
          row_number() OVER (PARTITION BY run_id, tracklet_id, segment_run ORDER BY frame_no) AS i FROM kin
-), osc AS (
-  SELECT run_id, tracklet_id, segment_run, frame_no, i, x AS px, y AS py, x AS fx, y AS fy, 0.0::DOUBLE AS reach, []::DOUBLE[] AS turns FROM ordered WHERE i = 1
+), legs AS (
+  SELECT run_id, tracklet_id, segment_run, i AS origin, i AS start, 0.0::DOUBLE AS reach FROM ordered WHERE i = 1
   UNION ALL
-  SELECT run_id, tracklet_id, segment_run, frame_no, i, CASE WHEN turn THEN fx0 ELSE px0 END, CASE WHEN turn THEN fy0 ELSE py0 END,
-         CASE WHEN out OR turn THEN x ELSE fx0 END, CASE WHEN out OR turn THEN y ELSE fy0 END,
-         CASE WHEN out THEN away WHEN turn THEN sqrt((x - fx0) * (x - fx0) + (y - fy0) * (y - fy0)) / body ELSE reach0 END,
-         list_filter(CASE WHEN turn THEN list_append(turns0, t) ELSE turns0 END, lambda v: t - v <= {cfg.oscillation_window_s})
-  FROM (
-    SELECT o.*, s.px AS px0, s.py AS py0, s.fx AS fx0, s.fy AS fy0, s.reach AS reach0, s.turns AS turns0,
-           sqrt((o.x - s.px) * (o.x - s.px) + (o.y - s.py) * (o.y - s.py)) / o.body AS away,
-           sqrt((o.x - s.px) * (o.x - s.px) + (o.y - s.py) * (o.y - s.py)) / o.body > s.reach AS out,
-           sqrt((o.x - s.px) * (o.x - s.px) + (o.y - s.py) * (o.y - s.py)) / o.body <= s.reach AND sqrt((o.x - s.fx) * (o.x - s.fx) + (o.y - s.fy) * (o.y - s.fy)) / o.body >= {cfg.oscillation_excursion_bh} AS turn
-    FROM osc s JOIN ordered o ON o.run_id = s.run_id AND o.tracklet_id = s.tracklet_id AND o.segment_run = s.segment_run AND o.i = s.i + 1
-  )
+  SELECT run_id, tracklet_id, segment_run, far, i, back FROM (
+    SELECT m.*, sqrt((m.x - f.x) ** 2 + (m.y - f.y) ** 2) / m.body AS back, row_number() OVER (PARTITION BY m.run_id, m.tracklet_id, m.segment_run ORDER BY m.i) AS nth
+    FROM (SELECT *, coalesce(max(CASE WHEN record THEN i END) OVER (PARTITION BY run_id, tracklet_id, segment_run ORDER BY i), start) AS far
+          FROM (SELECT *, away > greatest(reach, coalesce(max(away) OVER (PARTITION BY run_id, tracklet_id, segment_run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS record
+                FROM (SELECT r.*, l.start, l.reach, sqrt((r.x - o.x) ** 2 + (r.y - o.y) ** 2) / r.body AS away
+                      FROM legs l JOIN ordered o ON {same("o", "l")} AND o.i = l.origin JOIN ordered r ON {same("r", "l")} AND r.i > l.start))) m
+    JOIN ordered f ON {same("f", "m")} AND f.i = m.far
+    WHERE NOT m.record AND sqrt((m.x - f.x) ** 2 + (m.y - f.y) ** 2) / m.body >= {cfg.oscillation_excursion_bh}
+  ) WHERE nth = 1
 ), oscillation AS (
-  SELECT run_id, tracklet_id, segment_run, frame_no, len(turns)::INT AS reversals FROM osc WHERE len(turns) >= {cfg.oscillation_reversals}
-), frz AS (
-  SELECT run_id, tracklet_id, segment_run, frame_no, 0::BIGINT AS i, NULL::DOUBLE AS since, NULL::DOUBLE AS last, NULL::DOUBLE AS fend, NULL::DOUBLE AS fdur, NULL::DOUBLE AS until, NULL::DOUBLE AS freeze_s, NULL::DOUBLE AS bolt_speed, 0.0::DOUBLE AS t FROM ordered WHERE i = 1
-  UNION ALL
-  SELECT run_id, tracklet_id, segment_run, frame_no, i, since1, last1, CASE WHEN fend1 IS NOT NULL AND (t - fend1 > {cfg.bolt_within_s} OR speed > {cfg.bolt_speed}) THEN NULL ELSE fend1 END, fdur1,
-         CASE WHEN bolt THEN t + {cfg.bolt_hold_s} ELSE until0 END, CASE WHEN bolt THEN fdur1 ELSE freeze0 END, CASE WHEN bolt THEN speed ELSE bolt0 END, t
-  FROM (
-    SELECT *, fend1 IS NOT NULL AND t - fend1 <= {cfg.bolt_within_s} AND speed > {cfg.bolt_speed} AS bolt FROM (
-      SELECT o.*, s.until AS until0, s.freeze_s AS freeze0, s.bolt_speed AS bolt0,
-             CASE WHEN o.speed < {cfg.freeze_speed} THEN coalesce(s.since, o.t) END AS since1, CASE WHEN o.speed < {cfg.freeze_speed} THEN o.t ELSE s.last END AS last1,
-             CASE WHEN o.speed >= {cfg.freeze_speed} AND s.since IS NOT NULL AND s.last - s.since >= {cfg.freeze_time_s} THEN s.last ELSE s.fend END AS fend1,
-             CASE WHEN o.speed >= {cfg.freeze_speed} AND s.since IS NOT NULL AND s.last - s.since >= {cfg.freeze_time_s} THEN s.last - s.since ELSE s.fdur END AS fdur1
-      FROM frz s JOIN ordered o ON o.run_id = s.run_id AND o.tracklet_id = s.tracklet_id AND o.segment_run = s.segment_run AND o.i = s.i + 1
-    )
-  )
+  SELECT o.run_id, o.tracklet_id, o.segment_run, o.frame_no, count(*)::INT AS reversals
+  FROM ordered o JOIN legs l ON {same("l", "o")} AND l.start > 1 AND l.start <= o.i JOIN ordered p ON {same("p", "l")} AND p.i = l.start AND o.t - p.t <= {cfg.oscillation_window_s}
+  GROUP BY o.run_id, o.tracklet_id, o.segment_run, o.frame_no HAVING count(*) >= {cfg.oscillation_reversals}
+), stops AS (
+  SELECT run_id, tracklet_id, segment_run, max(t) AS stop, max(t) - min(t) AS freeze_s
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY run_id, tracklet_id, segment_run ORDER BY i) AS island FROM ordered WHERE speed < {cfg.freeze_speed})
+  GROUP BY run_id, tracklet_id, segment_run, island HAVING max(t) - min(t) >= {cfg.freeze_time_s}
+), bolts AS (
+  SELECT run_id, tracklet_id, segment_run, stop, min(t) AS t, any_value(freeze_s) AS freeze_s, arg_min(speed, t) AS bolt_speed
+  FROM (SELECT o.*, s.stop, s.freeze_s FROM (SELECT * FROM ordered WHERE speed >= {cfg.freeze_speed} AND speed > {cfg.bolt_speed}) o ASOF JOIN stops s ON {same("s", "o")} AND s.stop < o.t)
+  WHERE t - stop <= {cfg.bolt_within_s} GROUP BY run_id, tracklet_id, segment_run, stop
 ), freeze_bolt AS (
-  SELECT run_id, tracklet_id, segment_run, frame_no, freeze_s, bolt_speed FROM frz WHERE i > 0 AND until IS NOT NULL AND t <= until
+  SELECT o.run_id, o.tracklet_id, o.segment_run, o.frame_no, b.freeze_s, b.bolt_speed
+  FROM ordered o ASOF JOIN bolts b ON {same("b", "o")} AND b.t <= o.t WHERE o.t <= b.t + {cfg.bolt_hold_s}
 )"""
 
 
@@ -342,16 +339,28 @@ def hazard_events(spark, sf_dir):
     return H.hazard_events(A.hazard_frames(spark, sf_dir), FPS)
 
 
-@query(f"""{HAZ}, ordered AS MATERIALIZED (
-  SELECT *, frame_no / {FPS} AS t, row_number() OVER (PARTITION BY stream_id, kind ORDER BY frame_no) AS i FROM hazards
-), held AS (
-  SELECT stream_id, kind, frame_no, 0::BIGINT AS i, NULL::DOUBLE AS seen, NULL::DOUBLE AS since FROM ordered WHERE i = 1
-  UNION ALL
-  SELECT o.stream_id, o.kind, o.frame_no, o.i, CASE WHEN o.area >= {H.MIN_AREA} THEN coalesce(h.seen, o.t) END,
-         CASE WHEN o.area >= {H.MIN_AREA} THEN CASE WHEN o.t - coalesce(h.seen, o.t) >= {H.HOLD_S} THEN coalesce(h.seen, o.t) ELSE h.since END WHEN h.since IS NOT NULL AND o.t - h.since < {4 * H.HOLD_S} THEN h.since END
-  FROM held h JOIN ordered o ON o.stream_id = h.stream_id AND o.kind = h.kind AND o.i = h.i + 1
-)
-SELECT stream_id, kind, frame_no, since FROM held WHERE i > 0""")
+HOLD_EVENTS_SQL = f"""{HAZ}, large AS (
+  SELECT stream_id, kind, frame_no, frame_no / {FPS} AS t, area >= {H.MIN_AREA} AS present FROM hazards
+), islands AS (
+  SELECT *, frame_no - row_number() OVER (PARTITION BY stream_id, kind, present ORDER BY frame_no) AS island FROM large
+), runs AS (
+  SELECT stream_id, kind, present, min(t) AS a, max(t) AS z FROM islands GROUP BY stream_id, kind, present, island
+), onsets AS (
+  SELECT r.stream_id, r.kind, r.a AS since, min(l.t) AS t FROM runs r JOIN large l ON l.stream_id = r.stream_id AND l.kind = r.kind AND l.t BETWEEN r.a + {H.HOLD_S} AND r.z
+  WHERE r.present GROUP BY r.stream_id, r.kind, r.a
+), ends AS (
+  SELECT o.stream_id, o.kind, o.since, min(greatest(r.a, o.since + {4 * H.HOLD_S})) AS t
+  FROM (SELECT *, lead(since, 1, 'infinity'::DOUBLE) OVER (PARTITION BY stream_id, kind ORDER BY since) AS replaced FROM onsets) o
+  JOIN (SELECT *, lead(a, 1, 'infinity'::DOUBLE) OVER (PARTITION BY stream_id, kind ORDER BY a) AS back FROM runs) r
+    ON r.stream_id = o.stream_id AND r.kind = o.kind AND NOT r.present AND r.a > o.since AND r.a < o.replaced AND greatest(r.a, o.since + {4 * H.HOLD_S}) < r.back
+  GROUP BY o.stream_id, o.kind, o.since
+)"""
+
+
+@query(f"""{HOLD_EVENTS_SQL}
+SELECT l.stream_id, l.kind, l.frame_no, CASE WHEN e.t IS NULL OR l.t < e.t THEN o.since END AS since
+FROM large l ASOF LEFT JOIN onsets o ON o.stream_id = l.stream_id AND o.kind = l.kind AND o.t <= l.t
+LEFT JOIN ends e ON e.stream_id = o.stream_id AND e.kind = o.kind AND e.since = o.since""")
 def hazard_hold(spark, sf_dir):
     return H.held_hazards(A.hazard_frames(spark, sf_dir), FPS)
 

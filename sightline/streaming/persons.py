@@ -6,10 +6,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.hazard import hold_events
 from .ordered import Ordered, run_ordered
 
 
@@ -228,19 +229,6 @@ def held_signals(rows: DataFrame, hold_s: float, keep_s: float, late: str) -> Da
 
 
 def held_spans(rows: DataFrame, hold_s: float, keep_s: float) -> DataFrame:
-    """What ``held_signals`` tells, as a batch: runs of presence and absence by windows, no state."""
-    hold, keep = round(hold_s * 1000), round(keep_s * 1000)
-    by = Window.partitionBy("signal").orderBy("ts_ms")
-    turned = F.coalesce(F.col("present") != F.lag("present").over(by), F.lit(True)).cast("int")
-    runs = rows.select("signal", "ts_ms", "present").withColumn("run", F.sum(turned).over(by))
-    first = F.min("ts_ms").over(Window.partitionBy("signal", "run"))
-    runs = runs.withColumn("first", first).groupBy("signal", "run", "present", "first").agg(F.min(F.when(F.col("present") & (F.col("ts_ms") - F.col("first") >= hold), F.col("ts_ms"))).alias("told_at"))
-    of = Window.partitionBy("signal").orderBy("run")
-    until = F.lead("first").over(of)
-    # The last onset up to each run of absence; it ends there unless the signal is back before.
-    since = F.last(F.when(F.col("told_at").isNotNull(), F.col("first")), ignorenulls=True).over(of)
-    ends = F.greatest("first", F.col("since") + keep)
-    runs = runs.withColumn("until", until).withColumn("since", since).withColumn("ends", F.when(~F.col("present") & F.col("since").isNotNull(), ends)).withColumn("over", F.col("ends") < F.coalesce("until", F.lit(2**62)))
-    end = runs.filter(F.col("over")).groupBy("signal", F.col("since").alias("since_ms")).agg(F.min("ends").alias("at_ms"))
-    onset = runs.filter(F.col("told_at").isNotNull()).select("signal", F.lit("onset").alias("event"), F.col("first").alias("since_ms"), F.col("told_at").alias("at_ms"))
-    return onset.unionByName(end.select("signal", F.lit("end").alias("event"), "since_ms", "at_ms"))
+    """What ``held_signals`` tells, as a batch by windows."""
+    events = hold_events(rows, ["signal"], "ts_ms", "present", round(hold_s * 1000), round(keep_s * 1000))
+    return events.select("signal", "event", F.col("since").alias("since_ms"), F.col("at").alias("at_ms"))
