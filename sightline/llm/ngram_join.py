@@ -11,9 +11,9 @@ and whether all have one component. Pairs of nodes go down together while the bo
 different components; pairs of points that are left pass finer counts if they are long, and are then verified on their
 full sets.
 
-Components only are asked for, so this runs twice over the cells. The first round looks in the cells of a
-class's first tokens, within leaves only, for its most promising partner: it gathers groups of copies at
-the price of a pair for each. The second round joins all cells in full, but for pairs of one component.
+Components only are asked for, so this runs in two parts. The first looks in the cells of a class's first tokens,
+within leaves only, for its most promising partner of another component, a few times over: it gathers groups of copies at
+the price of a pair for each class. The second joins all cells in full, but for pairs of one component.
 A cell with many points is dealt in parts, each two of which meet in a task of their own.
 """
 
@@ -27,18 +27,18 @@ from .near_dedup import Shingler, _relabelled
 from .shared import LAST_ID, pin, unpin
 
 GROUPS = 64
-#: Sets of more tokens than LONG have finer counts too, which their pairs must pass.
-LONG, FINE = 400, 2_048
+#: Groups of the second part's points; and of finer counts, which sets of more tokens than LONG have too and their pairs must pass.
+MANY, LONG, FINE = 256, 400, 2_048
 FAN = 24
 #: Points of a cell's part (in the mean; they are dealt by hash).
 CELL = 4_096
 #: Of how many documents about the frequent tokens are counted, in how many of them such a token is, and how many are
 #: known at most. They only order the tokens; no token is left out.
 SAMPLE_DOCS, FREQUENT_IN, MOST_FREQUENT = 20_000, 10, 100_000
-#: Tokens of a class that the first round looks at.
-FIRST_TOKENS = 6
+#: Tokens of a class that the first part looks at, and how often at most.
+FIRST_TOKENS, ROUNDS = 6, 3
 #: Pairs of nodes or points that are looked at together.
-SLICE = 200_000
+SLICE = 60_000
 #: Words of 64 bits that say which texts are read again.
 BITMAP = 1 << 20
 
@@ -88,7 +88,7 @@ def count_vector(shingles, groups: int = GROUPS):
 
 
 def _signed(base: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, code, n_shingles, set_a, set_b (128 bits of the set), groups and fine (counts), rare and often (the first tokens)."""
+    """doc_id, code, n_shingles, set_a, set_b (128 bits of the set), groups, many and fine (counts), rare and often (the first tokens)."""
     sent = base.sparkSession.sparkContext.broadcast(frequent_tokens(base, width))
 
     def run(batches):
@@ -98,21 +98,22 @@ def _signed(base: DataFrame, width: int, percent: int) -> DataFrame:
 
         make, frequent = Shingler(width), sent.value
         for batch in batches:
-            n, a, b, groups, fine, rare, often = [], [], [], [], [], [], []
+            n, a, b, groups, many, fine, rare, often = [], [], [], [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 s = make.shingles(t)
                 d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 n.append(len(s)), a.append(d[0]), b.append(d[1]), groups.append(count_vector(s).tobytes())
+                many.append(count_vector(s, MANY).tobytes())
                 fine.append(count_vector(s, FINE).tobytes() if len(s) > LONG else None)
                 x, y = first_tokens(s, frequent, percent) if len(s) else (s, s)
                 rare.append(x.view(np.int64)), often.append(y.view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(groups, pa.binary()), pa.array(fine, pa.binary()), pa.array(rare, longs), pa.array(often, longs)],
-                names=["doc_id", "code", "n_shingles", "set_a", "set_b", "groups", "fine", "rare", "often"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(groups, pa.binary()), pa.array(many, pa.binary()), pa.array(fine, pa.binary()), pa.array(rare, longs), pa.array(often, longs)],
+                names=["doc_id", "code", "n_shingles", "set_a", "set_b", "groups", "many", "fine", "rare", "often"],
             )
 
-    return base.mapInArrow(run, "doc_id bigint, code bigint, n_shingles bigint, set_a bigint, set_b bigint, groups binary, fine binary, rare array<bigint>, often array<bigint>")
+    return base.mapInArrow(run, "doc_id bigint, code bigint, n_shingles bigint, set_a bigint, set_b bigint, groups binary, many binary, fine binary, rare array<bigint>, often array<bigint>")
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
@@ -171,9 +172,8 @@ class Forest:
     def __init__(self, cell, size, counts, label, percent: int):
         """``cell``: non-decreasing; a cell's neighbouring points should be alike."""
         self.percent = percent
-        counts = counts.astype(np.int32)
-        counts[(counts == 255).any(axis=1)] = 1 << 24  # no bound
-        self.levels = [dict(cell=cell, high=counts, least=size, most=size, low=label, top=label, first=None)]
+        full = (counts == 255).any(axis=1)  # no bound
+        self.levels = [dict(cell=cell, high=counts, full=full, least=size, most=size, low=label, top=label, first=None)]
         while True:
             x = self.levels[-1]
             new = np.append(True, x["cell"][1:] != x["cell"][:-1])
@@ -184,7 +184,7 @@ class Forest:
             first = np.flatnonzero(at % FAN == 0)
             self.levels.append(
                 dict(
-                    cell=x["cell"][first], first=np.append(first, len(new)), high=np.maximum.reduceat(x["high"], first), least=np.minimum.reduceat(x["least"], first),
+                    cell=x["cell"][first], first=np.append(first, len(new)), high=np.maximum.reduceat(x["high"], first), full=np.logical_or.reduceat(x["full"], first), least=np.minimum.reduceat(x["least"], first),
                     most=np.maximum.reduceat(x["most"], first), low=np.minimum.reduceat(x["low"], first), top=np.maximum.reduceat(x["top"], first),
                 )
             )
@@ -202,9 +202,10 @@ class Forest:
 
     def common(self, level: int, a, b):
         """The most that points of two nodes can have in common."""
-        high = self.levels[level]["high"]
-        parts = [np.minimum(high[a[i : i + SLICE]], high[b[i : i + SLICE]]).sum(axis=1) for i in range(0, len(a), SLICE)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        x = self.levels[level]
+        parts = [np.minimum(x["high"][a[i : i + SLICE]], x["high"][b[i : i + SLICE]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), SLICE)]
+        found = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return np.where(x["full"][a] | x["full"][b], np.minimum(x["most"][a], x["most"][b]), found)
 
     def _below(self, level: int, a, b):
         """All pairs of children of the pairs of nodes; of a node and itself each pair once."""
@@ -244,13 +245,14 @@ class Forest:
         return level, node
 
 
-def _arranged(table, cell):
-    """The columns of a table by cell, label, size and a projection of the counts: alike points are neighbours."""
-    counts = np.frombuffer(b"".join(table.column("groups").to_pylist()), np.uint8).reshape(-1, GROUPS)
+def _arranged(table, cell, by_label: bool):
+    """The columns of a table by cell, size and a projection of the counts: alike points are neighbours. ``by_label``: after
+    the label, so that most nodes have one."""
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(table.num_rows, -1)
     size, label, name = (table.column(c).to_numpy() for c in ("n_shingles", "label", "class"))
-    line = counts @ np.random.default_rng(5).normal(size=GROUPS).astype(np.float32)
-    by = np.lexsort((line, size, label, cell))
-    return cell[by], size[by], counts[by], label[by], name[by], by
+    line = counts @ np.random.default_rng(5).normal(size=counts.shape[1]).astype(np.float32)
+    by = np.lexsort((line, size, label if by_label else size, cell))
+    return cell[by], size[by], counts[by], label[by], name[by]
 
 
 def _numbered(*keys):
@@ -262,15 +264,15 @@ def _numbered(*keys):
 
 
 def _promising(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a > b: for each class a partner that most likely is a link, of those in a leaf or first in its cell."""
+    """(a, b), a > b: for each class a partner of another label that most likely is a link, of those in a leaf or first in its cell."""
 
     def run(batches):
         import pyarrow as pa
 
         for table in _runs(batches, 50_000, whole=False):
             cell = _numbered(table.column("token").to_numpy())
-            cell, size, counts, _, name, _ = _arranged(table, cell)
-            forest = Forest(cell, size, counts, name, percent)
+            cell, size, counts, label, name = _arranged(table, cell, False)
+            forest = Forest(cell, size, counts, label, percent)
             leaves = np.arange(len(forest.levels[1]["cell"]))
             found = [(a, b, forest.common(0, a, b) / (size[a] + size[b])) for a, b in forest.join({1: (leaves, leaves)})]
             start = np.searchsorted(cell, cell)
@@ -291,7 +293,7 @@ def _promising(rows: DataFrame, percent: int) -> DataFrame:
 
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b), a > b: all pairs of different labels that share a cell and that the bound allows. ``rows``: token, i, j, side,
-    class, n_shingles, groups, label; if i and j differ, points of side 0 meet those of side 1 only."""
+    class, n_shingles, counts, label; if i and j differ, points of side 0 meet those of side 1 only."""
 
     def run(batches):
         import pyarrow as pa
@@ -302,7 +304,7 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
             key = _numbered(table.column("token").to_numpy(), i, j)
             of_cell = np.append(True, cell[1:] != cell[:-1])
             alone, work = (i == j)[of_cell], key[of_cell]
-            cell, size, counts, label, name, _ = _arranged(table, cell)
+            cell, size, counts, label, name = _arranged(table, cell, True)
             forest = Forest(cell, size, counts, label, percent)
             level, node = forest.roots()
             starts = {}
@@ -401,8 +403,11 @@ def _verified(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int,
     return out
 
 
-def _linked(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    return labels if links.isEmpty() else _relabelled(labels, links)
+def _labelled(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """token, class, and the label of the class; a class without links is its own."""
+    if labels is None:
+        return cells.select("token", "class", F.col("class").alias("label"))
+    return cells.select("token", "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
 def join_classes(classes: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame | None:
@@ -410,23 +415,30 @@ def join_classes(classes: DataFrame, base: DataFrame, width: int, percent: int)
     rare = classes.select("class", F.posexplode("rare").alias("at", "token"))
     often = classes.select("class", F.size("rare").alias("n"), F.posexplode("often").alias("at", "token")).withColumn("at", F.col("at") + F.col("n"))
     cells = pin(_shared(rare.select("token", "class", "at")).unionByName(often.select("token", "class", "at")), "cells")
-    points = classes.select("class", "n_shingles", "groups")
-    first = cells.filter(F.col("at") < FIRST_TOKENS).select("token", "class").join(points, "class").withColumn("label", F.lit(0).cast("bigint"))
-    pairs = pin(_promising(first, percent), "pairs")
-    links = _verified(pairs, base, classes, width, percent)
-    labels = _linked(None, links)
-    unpin(pairs, links)
+    points = lambda c: classes.select("class", "n_shingles", F.col(c).alias("counts"))
+    labels = None
+    for _ in range(ROUNDS):
+        first = _labelled(cells.filter(F.col("at") < FIRST_TOKENS), labels)
+        if labels is not None:
+            mixed = first.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+            first = first.join(mixed, "token", "left_semi")
+        pairs = pin(_promising(first.join(points("groups"), "class"), percent), "pairs")
+        links = _verified(pairs, base, classes, width, percent)
+        more = not links.isEmpty()
+        labels = _relabelled(labels, links) if more else labels
+        unpin(pairs, links)
+        if not more:
+            break
     # Cells with more than one component, their points dealt in parts.
-    own = cells.select("token", "class").withColumn("label", F.col("class")) if labels is None else cells.select("token", "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    own = pin(own, "labelled")
+    own = pin(_labelled(cells, labels), "labelled")
     mixed = own.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     mixed = mixed.select("token", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
     rows = own.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j"))))
     rows = rows.withColumn("with", meets).select("token", "class", "label", "with.i", "with.j", (F.col("part") != F.col("with.i")).cast("int").alias("side"))
-    pairs = pin(_joined(rows.join(points, "class"), percent), "pairs")
+    pairs = pin(_joined(rows.join(points("many"), "class"), percent), "pairs")
     links = _verified(pairs, base, classes, width, percent)
-    labels = _linked(labels, links)
+    labels = labels if links.isEmpty() else _relabelled(labels, links)
     unpin(own, cells, pairs, links)
     return labels
 
@@ -442,8 +454,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     base = _keyed(docs, id_col, text_col)
     signed = pin(_signed(base, width, percent), "signed")
     some = signed.filter(F.col("n_shingles") > 0)
-    groups = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "code")).alias("first"), *[F.first(c).alias(c) for c in ("groups", "fine", "rare", "often")])
-    columns = ("class", "n_shingles", "set_a", "set_b", "first.doc_id", "first.code", "groups", "fine", "rare", "often")
+    groups = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "code")).alias("first"), *[F.first(c).alias(c) for c in ("groups", "many", "fine", "rare", "often")])
+    columns = ("class", "n_shingles", "set_a", "set_b", "first.doc_id", "first.code", "groups", "many", "fine", "rare", "often")
     classes = pin(groups.withColumn("class", F.monotonically_increasing_id()).select(*columns), "classes")
     labels = join_classes(classes, base, width, percent)
     named = classes.select("class", "n_shingles", "set_a", "set_b", F.col("doc_id").alias("first"))
