@@ -1,13 +1,12 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, in an inverted index.
 
 Fitting takes a bounded sample of labelled rows. Its words, and word beginnings of 3 to 8
-letters (which stand for all endings of a stem), that enough examples have are the terms; each
-weighs its idf, times its association with the label, and none is left out for being weakly associated.
-Each example is a unit vector over them. The index keeps the terms that many examples have as a matrix,
-which texts meet many at a time, and the examples of each other term as a list; all similarities
-are computed, and the largest of each block of examples bound which can be among the k nearest, so these
-are exact. Their labels vote with weights that fall with the distance; the
-vote is calibrated on the examples themselves, each scored without itself.
+letters (which stand for all endings of a stem), that enough examples have are the terms. In departure from
+plain TF-IDF each weighs its idf times its association with the label, for which rare insults count more than the words of a
+topic; none is left out for being weakly associated. Each example is a unit vector over them. Blocks of alike
+examples have the largest weight of each term; sums of these bound the similarities of a whole block, and blocks whose
+bound doesn't reach the k-th similarity are skipped, so the k nearest are exact. Their labels vote with weights that fall with
+the distance; the vote is calibrated on the examples themselves, each scored without itself.
 
 The index is a few thousand vectors at any corpus size; texts are scored where they are.
 """
@@ -35,7 +34,7 @@ COMMON = 16
 #: How far a similarity summed in single precision can be from the exact one, for each of a text's terms.
 SLACK = 1.2e-7
 #: Texts that meet the matrix at once.
-BATCH = 64
+BATCH = 256
 K = 15
 BLOCK = 64
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -59,37 +58,56 @@ def all_terms(text: str | None) -> set[str]:
 class BlockMaxIndex:
     """Exact k nearest unit vectors by cosine.
 
-    All similarities are summed in single precision, from a matrix of the common terms and the lists
-    of the others. The maxima of the blocks bound which examples can be among the nearest; these are
-    computed again in double precision.
+    Vectors that share their heaviest terms lie in one block. For each term the index has the largest weight of
+    each block, so what a text's terms can add up to in a block bounds all similarities there. The blocks with the
+    highest bounds are scored first; of the others only those whose bound reaches the k-th similarity
+    found by then, and all others are skipped. Texts are bounded and scored many at a time: terms that many examples have
+    lie in a matrix for each block, the others in lists of blocks and of their examples. Sums are in single
+    precision; what may be among the k nearest is computed again in double precision.
     """
 
     def __init__(self, vectors: Iterable[tuple], block: int = BLOCK):
         # Joined some hundred at a time: thousands of small arrays at once would leave the memory in pieces.
-        sizes, terms, exact = [], [np.zeros(0, np.int32)], [np.zeros(0)]
+        sizes, terms, exact, heads = [], [np.zeros(0, np.int32)], [np.zeros(0)], []
         vectors = iter(vectors)
         while part := list(islice(vectors, 256)):
             sizes += [len(v[0]) for v in part]
             terms.append(np.concatenate([v[0] for v in part]).astype(np.int32))
             exact.append(np.concatenate([v[1] for v in part]))
+            heads += [tuple(np.asarray(v[0])[np.argsort(-np.asarray(v[1]), kind="stable")[:4]].tolist()) for v in part]
         self.block, self.n = block, len(sizes)
         self.begin = np.append(0, np.cumsum(np.array(sizes, np.int64)))
         self.terms = t = np.concatenate(terms)
         self.exact = np.concatenate(exact)
         del terms, exact
-        i = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        #: Examples in their order in the blocks, and the place of each.
+        self.order = np.array(sorted(range(self.n), key=heads.__getitem__), np.int64)
+        self.place = place = np.empty(self.n, np.int64)
+        place[self.order] = np.arange(self.n)
+        self.blocks = -(-self.n // block)
+        at = place[np.repeat(np.arange(self.n), sizes)]
         having = np.bincount(t)
         common = np.flatnonzero((having > 0) & (having * COMMON >= self.n))
         self.row = np.full(len(having), -1, np.int32)
         self.row[common] = np.arange(len(common))
         dense = self.row[t] >= 0
-        self.matrix = np.zeros((len(common), self.n), np.float32)
-        self.matrix[self.row[t[dense]], i[dense]] = self.exact[dense]
+        # A matrix (terms, examples) for each block, and the largest weight of each term and block.
+        self.matrix = np.zeros((self.blocks, len(common), block), np.float32)
+        self.matrix[at[dense] // block, self.row[t[dense]], at[dense] % block] = self.exact[dense]
+        self.top = np.ascontiguousarray(self.matrix.max(axis=2, initial=0).T)
         rest = np.flatnonzero(~dense)
-        rest = rest[np.argsort(t[rest], kind="stable")]
-        self.first = np.append(0, np.cumsum(np.bincount(t[rest], minlength=len(having))))
-        self.ids, self.weights = i[rest], self.exact[rest].astype(np.float32)
+        rest = rest[np.lexsort((at[rest], t[rest]))]
+        self.ids, self.weights = at[rest].astype(np.int32), self.exact[rest].astype(np.float32)
+        # Lists of blocks: of each term, the blocks it is in, its largest weight there, and where its examples begin.
+        key = t[rest].astype(np.int64) * max(1, self.blocks) + self.ids // block
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.starts = np.append(starts, len(key))
+        self.in_block = (self.ids[starts] // block).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0, np.float32)
+        self.first = np.append(0, np.cumsum(np.bincount(t[rest][starts], minlength=len(having))))
         self.asked = np.zeros(len(having))
+        #: Pairs of text and block that were scored, and that were skipped.
+        self.scored = self.skipped = 0
 
     def vector(self, i: int) -> tuple:
         return self.terms[self.begin[i] : self.begin[i + 1]], self.exact[self.begin[i] : self.begin[i + 1]]
@@ -104,34 +122,62 @@ class BlockMaxIndex:
         if not self.n:
             return [[] for _ in vectors]
         out: list[list[tuple[int, float]]] = []
-        for at in range(0, len(vectors), BATCH):
-            part, asked = [], vectors[at : at + BATCH]
-            common = np.zeros((len(asked), len(self.matrix)), np.float32)
+        seeds = min(self.blocks, 1 + -(-k // self.block))
+        for start in range(0, len(vectors), BATCH):
+            part, asked = [], vectors[start : start + BATCH]
+            common = np.zeros((len(asked), self.matrix.shape[1]), np.float32)
             for q, (terms, weights) in enumerate(asked):
                 known = np.asarray(terms) < len(self.row)
                 terms, weights = np.asarray(terms, np.int64)[known], np.asarray(weights, float)[known]
                 row = self.row[terms]
                 common[q, row[row >= 0]] = weights[row >= 0]
-                part.append((terms, weights, row < 0))
-            sims = common @ self.matrix
-            for q, (terms, weights, rare) in enumerate(part):
-                listed = terms[rare]
+                # Of the other terms the entries in lists of blocks, with the text's weights.
+                listed = terms[row < 0]
                 size = self.first[listed + 1] - self.first[listed]
-                where = np.repeat(self.first[listed] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                s = sims[q] + np.bincount(self.ids[where], np.repeat(weights[rare].astype(np.float32), size) * self.weights[where], self.n)
-                if without and without[at + q] >= 0:
-                    s[without[at + q]] = 0
-                out.append(self._best(s, terms, weights, k))
+                entries = np.repeat(self.first[listed] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                part.append((terms, weights, entries, np.repeat(weights[row < 0].astype(np.float32), size)))
+            bounds = common @ self.top
+            for q, (_, _, entries, w) in enumerate(part):
+                bounds[q] += np.bincount(self.in_block[entries], w * self.most[entries], self.blocks).astype(np.float32)
+            sims = np.zeros((len(asked), self.blocks * self.block), np.float32)
+            likely = np.zeros(bounds.shape, bool)
+            np.put_along_axis(likely, np.argpartition(-bounds, seeds - 1, axis=1)[:, :seeds], True, axis=1)
+            self._score(sims, likely, common, part)
+            slack = np.array([2 * SLACK * (len(p[0]) + 8) for p in part], np.float32)
+            hidden = [-1] * len(asked) if not without else without[start : start + BATCH]
+            for q, h in enumerate(hidden):
+                if h >= 0:
+                    sims[q, self.place[h]] = 0
+            kth = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] >= k else np.zeros(len(asked), np.float32)
+            more = ~likely & (bounds > 0) & (bounds >= (kth - 2 * slack)[:, None])
+            self._score(sims, more, common, part)
+            self.scored, self.skipped = self.scored + int((likely | more).sum()), self.skipped + int((~(likely | more)).sum())
+            for q, h in enumerate(hidden):
+                s = np.zeros(self.n, np.float32)
+                s[self.order] = sims[q, : self.n]
+                if h >= 0:
+                    s[h] = 0
+                out.append(self._best(s, part[q][0], part[q][1], k))
         return out
 
+    def _score(self, sims, pairs, common, part) -> None:
+        """Fill in the similarities of ``pairs`` of texts and blocks."""
+        cells = sims.reshape(len(sims), self.blocks, self.block)
+        for b in np.flatnonzero(pairs.any(axis=0)).tolist():
+            rows = np.flatnonzero(pairs[:, b])
+            cells[rows, b] = common[rows] @ self.matrix[b]
+        for q, (_, _, entries, w) in enumerate(part):
+            use = pairs[q][self.in_block[entries]]
+            entries, w = entries[use], w[use]
+            size = self.starts[entries + 1] - self.starts[entries]
+            where = np.repeat(self.starts[entries] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            sims[q] += np.bincount(self.ids[where], np.repeat(w, size) * self.weights[where], sims.shape[1]).astype(np.float32)
+
     def _best(self, s, terms, weights, k: int) -> list[tuple[int, float]]:
         """The k best by exact similarity, of those whose rough similarity ``s`` doesn't rule them out."""
-        # The k-th largest of the blocks' maxima is not above the k-th similarity.
-        top, slack = np.maximum.reduceat(s, np.arange(0, self.n, self.block)), 2 * SLACK * (len(terms) + 8)
-        least = np.partition(top, -k)[-k] if len(top) >= k else 0.0
+        slack = 2 * SLACK * (len(terms) + 8)
+        least = np.partition(s, -k)[-k] if len(s) >= k else 0.0
         may = np.flatnonzero((s >= least - slack) & (s > 0))
-        if len(may) > k:
-            may = may[s[may] >= np.partition(s[may], -k)[-k] - slack]
         self.asked[terms] = weights
         exact = np.array([self.asked[self.terms[a:b]] @ self.exact[a:b] for a, b in zip(self.begin[may], self.begin[may + 1], strict=True)])
         self.asked[terms] = 0

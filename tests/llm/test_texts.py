@@ -233,3 +233,35 @@ def test_phones_are_linked_with_and_without_their_country(spark):
 def test_repeated_rows_get_repeated_pseudonyms(spark):
     one, two, three = pseudonyms(spark, ["ssn 123-45-6789", "ssn 123-45-6789", "ssn 123-45-6788"])
     assert one == two != three
+
+
+def test_fitted_model_equals_brute_force_and_skips_blocks(spark):
+    """Scores and evidence of a fitted model, with repeated rows, ties and odd texts, against all similarities; blocks are skipped."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(docs, labels, "toxic")
+    vectors = [m.unit(*toxicity.unpacked(x[2])) for x in m.examples]
+    m._index = toxicity.BlockMaxIndex(vectors, block=8)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(150).collect()] + [None, "", "zzqx", "vile fool " * 20_000]
+    texts += texts[:20]
+    dense = np.zeros((len(vectors), len(m.weight)))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for (p, near), text in zip(m.score(texts), texts, strict=True):
+        t, w = m.unit(*m.terms.counts(text))
+        sims = np.round(dense[:, t] @ w, 9) if len(t) else np.zeros(len(vectors))
+        best = [i for i in np.lexsort((np.arange(len(sims)), -sims))[: toxicity.K] if sims[i] > 0]
+        assert [i for i, _ in near] == [m.ids[i] for i in best] and np.allclose([s for _, s in near], sims[best], atol=1e-8)
+        votes = [(1 / (1.05 - sims[i]), m.labels[i]) for i in best]
+        a, b = sum(v * y for v, y in votes) + m.prior + 0.02, sum(v * (1 - y) for v, y in votes) + 1 - m.prior + 0.02
+        assert abs(p - 1 / (1 + np.exp(-(m.slope * np.log(a / b) + m.shift)))) < 1e-6
+    assert m.index.skipped > 0.2 * m.index.scored
+
+
+def test_scores_of_clashing_columns_and_no_rows(spark):
+    rows = [(i, ("you vile fool {}" if i % 2 else "tomatoes ripen {}").format(i), 1, "x", 2.0) for i in range(20)]
+    d = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id bigint, text string, predicted int, label string, score double")
+    m = toxicity.fit(d, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int"))
+    got = toxicity.score(d, m)
+    assert got.columns == ["doc_id", "score", "predicted", "near_ids", "near_similarities"] and got.count() == 22
+    assert len({r.score for r in got.collect() if r.doc_id == 3}) == 1
+    assert toxicity.score(d.limit(0), m).count() == 0 and toxicity.drop_toxic(d, m).columns == d.columns
