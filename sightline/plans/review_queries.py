@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import canonical as C
 from ..operators import annotations as L
 from ..operators import behavior as B
+from ..operators import export as R
 from ..operators import identity as P
 from ..operators import matching as M
 from ..operators import notes as N
@@ -409,11 +411,43 @@ def frames_meta(spark, sf_dir):
     return f.join(s, ["run_id", "frame_no"], "left").withColumn("pts_ms", F.col("frame_no") * 1000 / FPS)
 
 
-@query(f"{DANGER_SQL} SELECT run_id, event_id, category, printf('%.1f', t_start) AS t_start, printf('%.1f', t_end) AS t_end, '' AS person_id FROM behavior")
+@query(f"""{DANGER_SQL} SELECT run_id, event_id, category, CASE WHEN tracklet_id % 4 <> 0 THEN (tracklet_id // 3)::VARCHAR ELSE '' END AS person_id, t_start::VARCHAR AS t_start, t_end::VARCHAR AS t_end, round(confidence, 6) AS confidence,
+  '{{"tracklet_id": ' || tracklet_id || ', "frame_start": ' || frame_start || ', "frame_end": ' || frame_end || ', "duration_s": ' || round(duration_s, 3) || ', "avg_speed": ' || regexp_replace(printf('%.4f', avg_speed), '(\\.\\d+?)0+$', '\\1')
+  || ', "prone_majority": ' || prone_majority || ', "samples": ' || samples || '}}' AS evidence, '{{"state": "unreviewed", "note": null, "reviewer": null, "reviewed_at": null}}' AS review FROM behavior""")
 def export_events(spark, sf_dir):
-    """Events as they go to a CSV file: frozen engine events, a null person as an empty text."""
-    e = behavior(spark, sf_dir, BEH, DANGER)
-    return e.select("run_id", "event_id", "category", F.format_string("%.1f", "t_start").alias("t_start"), F.format_string("%.1f", "t_end").alias("t_end"), F.coalesce(F.lit(None).cast("string"), F.lit("")).alias("person_id"))
+    """Events as they go to a CSV file: the person of the event's tracklet, empty where it has none, the evidence that the
+    event stands on, and an engine event's review, as JSON."""
+    t = A.tracklets(spark, sf_dir)
+    persons = t.select("run_id", "tracklet_id").distinct().select("run_id", "tracklet_id", F.when(F.col("tracklet_id") % 4 != 0, F.expr("tracklet_id div 3")).alias("person_id"))
+    return R.csv_rows(R.with_persons(behavior(spark, sf_dir, BEH, DANGER), persons))
+
+
+def _settings(spark, sf_dir, changed: bool):
+    """Settings of a run for each part, as JSON; ``changed``: as a later run has them."""
+    p = A.table(spark, sf_dir, "part")
+    n, size = F.col("p_partkey"), F.col("p_size")
+    kinds = F.array(F.col("p_type"), F.lit("any"))
+    if changed:
+        size = F.when(n % 3 == 0, size + 1).otherwise(size)
+        kinds = F.when(n % 5 == 0, F.array_append(kinds, F.lit("more"))).otherwise(kinds)
+    brand = F.when((n % 7 != 0) | F.lit(not changed), F.col("p_brand"))
+    text = F.struct(size.alias("size"), brand.alias("brand"), F.struct(F.col("p_retailprice").alias("price"), kinds.alias("kinds")).alias("limits"))
+    return p.select("p_partkey", F.regexp_replace(F.to_json(text), ",", " , ").alias("settings"))
+
+
+@query("""SELECT p_partkey, left(sha256('{"brand":"' || p_brand || '","limits":{"kinds":["' || p_type || '","any"],"price":' || p_retailprice || '},"size":' || p_size || '}'), 16) AS settings_hash FROM part""")
+def settings_hashes(spark, sf_dir):
+    """Hashes of settings, however their text is written."""
+    return _settings(spark, sf_dir, False).select("p_partkey", C.settings_hash(F.col("settings")).alias("settings_hash"))
+
+
+@query("""SELECT p_partkey, 'size' AS path, p_size::VARCHAR AS value_a, (p_size + 1)::VARCHAR AS value_b FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 'limits.kinds.2', NULL, '"more"' FROM part WHERE p_partkey % 5 = 0
+UNION ALL SELECT p_partkey, 'brand', '"' || p_brand || '"', NULL FROM part WHERE p_partkey % 7 = 0""")
+def settings_differences(spark, sf_dir):
+    """Where the settings of two runs differ, at any depth."""
+    a, b = (C.flattened(_settings(spark, sf_dir, changed), ["p_partkey"], "settings") for changed in (False, True))
+    return C.differences(a, b, ["p_partkey"])
 
 
 @query(f"WITH {A.TRACKLETS_SQL} SELECT run_id, tracklet_id, frame_no, left(sha256('42:p1_detect:' || frame_no), 16) AS seed_hex FROM tracklets")
