@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import behavior as B
 from ..operators import hazard as H
 from ..operators import motion as MO
 from ..sources import adapter as A
+from ..sources.scratch import new_folder
 from ..streaming import live, persons
 from ..streaming.paced import PacedSource
 from .registry import query
@@ -20,8 +18,7 @@ FPS = A.FPS
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sightline-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return new_folder(spark, "stream")
 
 
 def _events(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import behavior as B
+from ..operators import grid as GR
 from ..operators import hazard as H
 from ..operators import heatmap as M
 from ..operators import irrational as I
@@ -376,6 +377,40 @@ def heatmap_raw(spark, sf_dir):
     return M.raw_heatmap(A.tracklets(spark, sf_dir), FPS, 120.0, 100.0, 10)
 
 
+#: Seconds from which a cell counts as occupied.
+OCCUPIED_S = 4.0
+
+
+@query(f"""WITH RECURSIVE {A.TRACKLETS_SQL}, {RAW_SQL}, c AS MATERIALIZED (SELECT run_id, gx, gy, gy * 100 + gx AS name FROM raw WHERE seconds >= {OCCUPIED_S}),
+reach AS (SELECT run_id, name AS a, gx, gy FROM c UNION SELECT r.run_id, r.a, c.gx, c.gy FROM reach r JOIN c ON c.run_id = r.run_id AND abs(c.gx - r.gx) <= 1 AND abs(c.gy - r.gy) <= 1),
+least AS (SELECT run_id, gx, gy, min(a) AS blob FROM reach GROUP BY run_id, gx, gy),
+sizes AS (SELECT run_id, blob, count(*) AS cells, avg(gx) / 10 AS x, avg(gy) / 8 AS y, count(*) / 80.0::DOUBLE AS area FROM least GROUP BY run_id, blob)
+SELECT run_id, cells, round(x, 6) AS x, round(y, 6) AS y, area FROM sizes QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY cells DESC, blob) = 1""")
+def occupied_blobs(spark, sf_dir):
+    """The largest connected area of cells where people stay."""
+    blobs = GR.largest_blobs(heatmap_raw(spark, sf_dir).filter(F.col("seconds") >= OCCUPIED_S), ["run_id"], 10, 8)
+    return blobs.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
+
+
+@query(f"""WITH {A.TRACKLETS_SQL}, {RAW_SQL}, g AS (
+  SELECT r.run_id, x.gx, y.gy, coalesce(w.seconds, 0) < {OCCUPIED_S} AS open FROM (SELECT DISTINCT run_id FROM raw) r, (SELECT unnest(range(20))::INT AS gx) x, (SELECT unnest(range(16))::INT AS gy) y
+  LEFT JOIN raw w ON w.run_id = r.run_id AND w.gx = x.gx // 2 AND w.gy = y.gy // 2
+), looks AS (
+  SELECT g.run_id, g.gx, g.gy, d.k, d.name, count(*) AS n, avg(o.open::INT) AS free
+  FROM g, (VALUES (1, 'vänster', -1, 0), (2, 'höger', 1, 0), (3, 'uppåt', 0, -1), (4, 'nedåt', 0, 1)) AS d(k, name, dx, dy), (SELECT unnest(range(0, 20, 2)) AS s) s
+  JOIN g o ON o.run_id = g.run_id AND o.gx = g.gx + d.dx * s.s AND o.gy = g.gy + d.dy * s.s GROUP BY ALL
+)
+SELECT run_id, gx, gy, string_agg(name, ',' ORDER BY k) AS ways FROM looks WHERE n > 5 AND free > 0.65 GROUP BY run_id, gx, gy""")
+def ways_out(spark, sf_dir):
+    """From which cells of the half-size grid the edge is reached over cells where few people stay."""
+    raw = heatmap_raw(spark, sf_dir)
+    cells = raw.select("run_id").distinct().withColumn("gx", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    at = cells.withColumn("hx", F.expr("int(gx div 2)")).withColumn("hy", F.expr("int(gy div 2)"))
+    seen = at.join(raw.select("run_id", F.col("gx").alias("hx"), F.col("gy").alias("hy"), "seconds"), ["run_id", "hx", "hy"], "left")
+    grid = seen.select("run_id", "gx", "gy", (F.coalesce("seconds", F.lit(0.0)) < OCCUPIED_S).alias("open"))
+    return GR.ways_out(grid, ["run_id"]).filter(F.size("ways") > 0).select("run_id", "gx", "gy", F.array_join("ways", ",").alias("ways"))
+
+
 @query(f"WITH {A.TRACKLETS_SQL}, {RAW_SQL} SELECT run_id, round(max(seconds), 3) AS max_s, round(sum(seconds), 3) AS total_s FROM raw GROUP BY run_id")
 def heatmap_totals(spark, sf_dir):
     return M.heatmap_totals(heatmap_raw(spark, sf_dir))
