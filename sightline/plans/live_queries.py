@@ -11,6 +11,7 @@ from ..operators import identity as P
 from ..operators import live as V
 from ..operators import motion as K
 from ..operators import notes as N
+from ..operators import scene as SC
 from ..sources import adapter as A
 from ..sources import store as S
 from .registry import query
@@ -247,3 +248,47 @@ def scene_transforms(spark, sf_dir):
     pair = F.when(F.col("det_id") % 13 != 0, F.array(one, zero, (F.col("det_id") % 5).cast("double"), zero, one, zero, zero, zero, one))
     out = K.scene_transforms(t.select("run_id", "tracklet_id", "frame_no", pair.alias("pairwise")), ["run_id", "tracklet_id"], "frame_no")
     return out.select("run_id", "tracklet_id", "frame_no", "segment", F.col("to_scene")[2].alias("shift_x"))
+
+
+# --- the picture's motion ------------------------------------------------------------------
+
+_MISS = "sqrt(({s}r * px - {s}i * py + {t}x - cx) ** 2 + ({s}i * px + {s}r * py + {t}y - cy) ** 2)"
+
+
+@query(f"""WITH {A.TRACKLETS_SQL}, m AS (
+  SELECT run_id, frame_no, tracklet_id, det_id, (x0 + x1) / 2 AS px, y1 AS py FROM tracklets
+), pts AS MATERIALIZED (
+  SELECT run_id, frame_no, px, py, CASE WHEN det_id % 5 = 0 THEN px * 0.3 + 90 ELSE 1.02 * px - 0.05 * py + 4 END AS cx, CASE WHEN det_id % 5 = 0 THEN 60 - py * 0.3 ELSE 0.05 * px + 1.02 * py - 3 END AS cy,
+         row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY run_id, frame_no) AS n FROM m WINDOW w AS (PARTITION BY run_id, frame_no ORDER BY tracklet_id)
+), picks AS (
+  SELECT run_id, frame_no, h, a, (a + 1 + (h * 30011 + frame_no * 7919) % (n - 1)) % n AS b
+  FROM (SELECT run_id, frame_no, n, h, (h * 40503 + frame_no * 2531 + {SC.SEED}) % n AS a FROM (SELECT DISTINCT run_id, frame_no, n FROM pts WHERE n >= {SC.LEAST_POINTS}), (SELECT unnest(range({SC.TRIES})) AS h))
+), hyp AS MATERIALIZED (
+  SELECT *, ax - sr * pxa + si * pya AS tx, ay - si * pxa - sr * pya AS ty FROM (
+    SELECT k.run_id, k.frame_no, k.h, a.px AS pxa, a.py AS pya, a.cx AS ax, a.cy AS ay, ((b.px - a.px) * (b.cx - a.cx) + (b.py - a.py) * (b.cy - a.cy)) / d AS sr, ((b.px - a.px) * (b.cy - a.cy) - (b.py - a.py) * (b.cx - a.cx)) / d AS si
+    FROM picks k JOIN pts a ON a.run_id = k.run_id AND a.frame_no = k.frame_no AND a.i = k.a JOIN pts b ON b.run_id = k.run_id AND b.frame_no = k.frame_no AND b.i = k.b, LATERAL (SELECT (b.px - a.px) ** 2 + (b.py - a.py) ** 2 AS d) WHERE d > 0)
+), hits AS MATERIALIZED (
+  SELECT p.*, y.h FROM hyp y JOIN pts p ON p.run_id = y.run_id AND p.frame_no = y.frame_no WHERE {_MISS.format(s="s", t="t")} <= {SC.NEAR}
+), won AS (
+  SELECT run_id, frame_no, h FROM hits GROUP BY run_id, frame_no, h QUALIFY row_number() OVER (PARTITION BY run_id, frame_no ORDER BY count(*) DESC, h) = 1
+), own AS (
+  SELECT t.*, avg(px) OVER g AS mpx, avg(py) OVER g AS mpy, avg(cx) OVER g AS mcx, avg(cy) OVER g AS mcy FROM hits t SEMI JOIN won USING (run_id, frame_no, h) WINDOW g AS (PARTITION BY run_id, frame_no)
+), fit AS (
+  SELECT *, mcx - fr * mpx + fi * mpy AS gx, mcy - fi * mpx - fr * mpy AS gy FROM (
+    SELECT run_id, frame_no, any_value(mpx) AS mpx, any_value(mpy) AS mpy, any_value(mcx) AS mcx, any_value(mcy) AS mcy,
+           sum((px - mpx) * (cx - mcx) + (py - mpy) * (cy - mcy)) / sum((px - mpx) ** 2 + (py - mpy) ** 2) AS fr, sum((px - mpx) * (cy - mcy) - (py - mpy) * (cx - mcx)) / sum((px - mpx) ** 2 + (py - mpy) ** 2) AS fi FROM own GROUP BY run_id, frame_no)
+), judged AS (
+  SELECT run_id, frame_no, any_value(fr) AS fr, any_value(fi) AS fi, any_value(gx) AS gx, any_value(gy) AS gy, count(*) AS agreeing, median({_MISS.format(s="f", t="g")}) AS error FROM own JOIN fit USING (run_id, frame_no) GROUP BY run_id, frame_no
+), ok AS (
+  SELECT run_id, frame_no, n AS points, coalesce(agreeing, 0) AS agreeing, error, fr, fi, gx, gy, coalesce(agreeing >= {SC.LEAST_POINTS} AND agreeing / n >= {SC.LEAST_SHARE} AND fr * fr + fi * fi BETWEEN {SC.LEAST_AREA} AND {SC.MOST_AREA} AND abs(gx) <= 90 AND abs(gy) <= 75, false) AS fair
+  FROM (SELECT DISTINCT run_id, frame_no, n FROM pts) LEFT JOIN judged USING (run_id, frame_no)
+)
+SELECT run_id, frame_no, points, agreeing, CASE WHEN fair THEN round(agreeing / points * greatest(0, 1 - error / {SC.NO_CONFIDENCE}), 6) ELSE 0.0 END AS confidence,
+       CASE WHEN fair THEN round((fr * gx + fi * gy) / (fr * fr + fi * fi), 5) END AS back_x, CASE WHEN fair THEN round((fr * gy - fi * gx) / (fr * fr + fi * fi), 5) END AS back_y FROM ok""")
+def scene_fits(spark, sf_dir):
+    """The motion between frames from matched places of which a fifth are wrong, and the shift of its inverse."""
+    t = A.tracklets(spark, sf_dir).select("run_id", "frame_no", F.col("tracklet_id").alias("match_id"), "det_id", ((F.col("x0") + F.col("x1")) / 2).alias("px"), F.col("y1").alias("py"))
+    px, py, wrong = F.col("px"), F.col("py"), F.col("det_id") % 5 == 0
+    m = t.withColumn("cx", F.when(wrong, px * 0.3 + 90).otherwise(1.02 * px - 0.05 * py + 4)).withColumn("cy", F.when(wrong, 60 - py * 0.3).otherwise(0.05 * px + 1.02 * py - 3))
+    fits = SC.pairwise_transforms(m, ["run_id"], 120.0, 100.0).withColumn("back", SC.inverse(F.col("pairwise")))
+    return fits.select("run_id", "frame_no", F.col("points").cast("bigint").alias("points"), "agreeing", F.round("confidence", 6).alias("confidence"), F.round(-F.col("back")[2], 5).alias("back_x"), F.round(-F.col("back")[5], 5).alias("back_y"))
