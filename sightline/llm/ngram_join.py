@@ -13,7 +13,9 @@ full sets.
 
 Components only are asked for, so this runs in two parts. The first looks in the cells of a class's first tokens,
 within leaves only, for its most promising partner of another component, a few times over: it gathers groups of copies at
-the price of a pair for each class. The second joins all cells in full, but for pairs of one component.
+the price of a pair for each class. The second joins all cells in full, but for pairs of one component, and for those
+which can't reach the threshold with what their sets have from the cell's token on: if that token is the first they
+share they are no link, and otherwise they meet in an earlier cell.
 A cell with many points is dealt in parts, each two of which meet in a task of their own.
 """
 
@@ -27,8 +29,8 @@ from .near_dedup import Shingler, _relabelled
 from .shared import LAST_ID, pin, unpin
 
 GROUPS = 64
-#: Groups of the second part's points; and of finer counts, which sets of more tokens than LONG have too and their pairs must pass.
-MANY, LONG, FINE = 256, 400, 2_048
+#: Groups of the second part's points; of sets of more tokens than LONG there are finer points, by which they meet one another.
+MANY, LONG, FINE = 256, 1_500, 2_048
 FAN = 24
 #: Points of a cell's part (in the mean; they are dealt by hash).
 CELL = 4_096
@@ -169,11 +171,12 @@ class Forest:
     """R-trees over the points of many cells. Level 0 has the points; a node of a higher level has up to FAN
     neighbours of the level below, and never those of two cells."""
 
-    def __init__(self, cell, size, counts, label, percent: int):
-        """``cell``: non-decreasing; a cell's neighbouring points should be alike."""
+    def __init__(self, cell, size, counts, label, percent: int, room=None):
+        """``cell``: non-decreasing; a cell's neighbouring points should be alike. ``room``: how many tokens a set has from the
+        cell's token on."""
         self.percent = percent
         full = (counts == 255).any(axis=1)  # no bound
-        self.levels = [dict(cell=cell, high=counts, full=full, least=size, most=size, low=label, top=label, first=None)]
+        self.levels = [dict(cell=cell, high=counts, full=full, least=size, most=size, low=label, top=label, room=size if room is None else room, first=None)]
         while True:
             x = self.levels[-1]
             new = np.append(True, x["cell"][1:] != x["cell"][:-1])
@@ -185,7 +188,7 @@ class Forest:
             self.levels.append(
                 dict(
                     cell=x["cell"][first], first=np.append(first, len(new)), high=np.maximum.reduceat(x["high"], first), full=np.logical_or.reduceat(x["full"], first), least=np.minimum.reduceat(x["least"], first),
-                    most=np.maximum.reduceat(x["most"], first), low=np.minimum.reduceat(x["low"], first), top=np.maximum.reduceat(x["top"], first),
+                    most=np.maximum.reduceat(x["most"], first), low=np.minimum.reduceat(x["low"], first), top=np.maximum.reduceat(x["top"], first), room=np.maximum.reduceat(x["room"], first),
                 )
             )
         self.looked = 0
@@ -195,6 +198,7 @@ class Forest:
         x, p = self.levels[level], self.percent
         ok = (100 * x["most"][a] >= p * x["least"][b]) & (100 * x["most"][b] >= p * x["least"][a])
         ok &= (x["low"][a] != x["top"][a]) | (x["low"][b] != x["top"][b]) | (x["low"][a] != x["low"][b])
+        ok &= (100 + p) * np.minimum(x["room"][a], x["room"][b]) >= p * (x["least"][a] + x["least"][b])
         at = np.flatnonzero(ok)
         self.looked += len(at)
         ok[at] = (100 + p) * self.common(level, a[at], b[at]) >= p * (x["least"][a[at]] + x["least"][b[at]])
@@ -252,7 +256,8 @@ def _arranged(table, cell, by_label: bool):
     size, label, name = (table.column(c).to_numpy() for c in ("n_shingles", "label", "class"))
     line = counts @ np.random.default_rng(5).normal(size=counts.shape[1]).astype(np.float32)
     by = np.lexsort((line, size, label if by_label else size, cell))
-    return cell[by], size[by], counts[by], label[by], name[by]
+    room = size - table.column("at").to_numpy() if "at" in table.column_names else size
+    return cell[by], size[by], counts[by], label[by], name[by], room[by]
 
 
 def _numbered(*keys):
@@ -271,7 +276,7 @@ def _promising(rows: DataFrame, percent: int) -> DataFrame:
 
         for table in _runs(batches, 50_000, whole=False):
             cell = _numbered(table.column("token").to_numpy())
-            cell, size, counts, label, name = _arranged(table, cell, False)
+            cell, size, counts, label, name, _ = _arranged(table, cell, False)
             forest = Forest(cell, size, counts, label, percent)
             leaves = np.arange(len(forest.levels[1]["cell"]))
             found = [(a, b, forest.common(0, a, b) / (size[a] + size[b])) for a, b in forest.join({1: (leaves, leaves)})]
@@ -291,21 +296,21 @@ def _promising(rows: DataFrame, percent: int) -> DataFrame:
     return best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _joined(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a > b: all pairs of different labels that share a cell and that the bound allows. ``rows``: token, i, j, side,
-    class, n_shingles, counts, label; if i and j differ, points of side 0 meet those of side 1 only."""
+def _joined(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b), a > b: all pairs of different labels that share a cell and that the bounds allow. ``rows``: token, at, i, j, side,
+    class, n_shingles, counts, label; ``most``: of them about so many are in memory; if i and j differ, points of side 0 meet those of side 1 only."""
 
     def run(batches):
         import pyarrow as pa
 
-        for table in _runs(batches, 50_000, whole=True):
+        for table in _runs(batches, most, whole=True):
             i, j, side = (table.column(c).to_numpy() for c in ("i", "j", "side"))
             cell = _numbered(table.column("token").to_numpy(), i, j, side)
             key = _numbered(table.column("token").to_numpy(), i, j)
             of_cell = np.append(True, cell[1:] != cell[:-1])
             alone, work = (i == j)[of_cell], key[of_cell]
-            cell, size, counts, label, name = _arranged(table, cell, True)
-            forest = Forest(cell, size, counts, label, percent)
+            cell, size, counts, label, name, room = _arranged(table, cell, True)
+            forest = Forest(cell, size, counts, label, percent, room)
             level, node = forest.roots()
             starts = {}
             two = np.flatnonzero((work[1:] == work[:-1]))
@@ -404,10 +409,10 @@ def _verified(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int,
 
 
 def _labelled(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """token, class, and the label of the class; a class without links is its own."""
+    """token, class, at, and the label of the class; a class without links is its own."""
     if labels is None:
-        return cells.select("token", "class", F.col("class").alias("label"))
-    return cells.select("token", "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        return cells.select("token", "class", "at", F.col("class").alias("label"))
+    return cells.select("token", "class", "at").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
 def join_classes(classes: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame | None:
@@ -422,7 +427,7 @@ def join_classes(classes: DataFrame, base: DataFrame, width: int, percent: int)
         if labels is not None:
             mixed = first.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
             first = first.join(mixed, "token", "left_semi")
-        pairs = pin(_promising(first.join(points("groups"), "class"), percent), "pairs")
+        pairs = pin(_promising(first.drop("at").join(points("groups"), "class"), percent), "pairs")
         links = _verified(pairs, base, classes, width, percent)
         more = not links.isEmpty()
         labels = _relabelled(labels, links) if more else labels
@@ -435,8 +440,11 @@ def join_classes(classes: DataFrame, base: DataFrame, width: int, percent: int)
     mixed = mixed.select("token", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
     rows = own.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j"))))
-    rows = rows.withColumn("with", meets).select("token", "class", "label", "with.i", "with.j", (F.col("part") != F.col("with.i")).cast("int").alias("side"))
-    pairs = pin(_joined(rows.join(points("many"), "class"), percent), "pairs")
+    rows = rows.withColumn("with", meets).select("token", "class", "at", "label", "with.i", "with.j", (F.col("part") != F.col("with.i")).cast("int").alias("side"))
+    # A set that is a little longer than LONG meets the shorter ones as one of them.
+    short = rows.join(points("many").filter(F.col("n_shingles") * percent <= LONG * 100), "class")
+    long = rows.join(points("fine").filter(F.col("n_shingles") > LONG), "class")
+    pairs = pin(_joined(short, percent, 50_000).unionByName(_joined(long, percent, 10_000)).distinct(), "pairs")
     links = _verified(pairs, base, classes, width, percent)
     labels = labels if links.isEmpty() else _relabelled(labels, links)
     unpin(own, cells, pairs, links)
