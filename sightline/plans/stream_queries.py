@@ -38,7 +38,7 @@ def stream_windows(spark, sf_dir):
 
 
 def _with_end(spark, sf_dir):
-    """The events, in a first batch; then one row far behind all others, so that every window closes, and
+    """The events, in a first batch; then, in a second, a row far behind all others, so that every window closes, and
     rows that are late by then: those of all days but the last, under other names."""
     root = _folder(spark)
     e = A.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "user_id", "event_type", "value")
@@ -46,7 +46,9 @@ def _with_end(spark, sf_dir):
     first = len(spark.read.schema(e.schema).parquet(f"{root}/1").inputFiles())
     newest = e.agg(F.max("ts").alias("newest"))
     row = lambda n, name: (F.lit(n).cast("bigint").alias("event_id"), "ts", F.lit(n).cast("bigint").alias("user_id"), F.lit(name).alias("event_type"), F.lit(0.0).alias("value"))
-    end = newest.withColumn("ts", F.col("newest") + F.expr("interval 10 days")).select(*row(-1, "end"))
+    # A batch takes ``first`` files. The end row comes once in each of as many, so that it fills its batch: rows that are late
+    # count as such only in the batch after the one whose watermark they are behind.
+    end = spark.range(0, first, 1, first).join(F.broadcast(newest)).withColumn("ts", F.col("newest") + F.expr("interval 10 days")).select(*row(-1, "end"))
     # One row is broadcast.
     late = e.join(F.broadcast(newest), F.col("ts") < F.col("newest") - F.expr("interval 1 day")).select(*row(-2, "late"))
     end.write.parquet(f"{root}/2")
