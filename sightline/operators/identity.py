@@ -13,15 +13,27 @@ from ..functions import geometry as G
 SIM, GAP_MAX_S, DIST, CONFIRM_S, BAND = 0.86, 60.0, 0.45, 2.0, 0.04
 
 
-def centroids(tracklets: DataFrame, detections: DataFrame) -> DataFrame:
-    """The normalised mean of each tracklet's unit vectors, one for each embedding method, and their number."""
-    j = tracklets.select("run_id", "tracklet_id", "det_id").join(detections, "det_id")
+def centroids(tracklets: DataFrame, detections: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """The normalised mean of each tracklet's unit vectors, one for each embedding method, and their number.
+
+    ``detections``: det_id, embedding_method, embedding; or, with ``vectors`` (vec_id, embedding), their vec_id instead of the
+    vector itself, so that rows without vectors move and each vector meets its tracklet's rows where they are summed. Each
+    component is a sum of its own: no row is made of it.
+    """
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))
-    j = j.withColumn("size", norm("embedding")).filter("size > 0")
-    parts = j.select("run_id", "tracklet_id", "embedding_method", "det_id", "size", F.posexplode("embedding").alias("i", "v"))
-    sums = parts.groupBy("run_id", "tracklet_id", "embedding_method", "i").agg(F.sum(F.col("v") / F.col("size")).alias("s"), F.count(F.lit(1)).alias("n"))
-    vec = sums.groupBy("run_id", "tracklet_id", "embedding_method").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("sum"), F.first("n").alias("n"))
-    return vec.select("run_id", "tracklet_id", "embedding_method", F.transform("sum", lambda v: v / F.greatest(norm("sum"), F.lit(1e-300))).alias("centroid"), "n")
+    source, keys = detections if vectors is None else vectors, ["run_id", "tracklet_id", "embedding_method"]
+    sized = source.withColumn("size", norm("embedding")).filter("size > 0")
+    units = sized.withColumn("unit", F.transform("embedding", lambda v: v / F.col("size"))).drop("embedding", "size")
+    seen = tracklets.select("run_id", "tracklet_id", "det_id")
+    if vectors is None:
+        j = seen.join(units, "det_id")
+    else:
+        j = seen.join(detections.select("det_id", "embedding_method", "vec_id"), "det_id").select(*keys, "vec_id").repartition(*keys).join(units, "vec_id")
+    width = source.agg(F.max(F.size("embedding"))).first()[0] or 0
+    sums = [F.sum(F.get("unit", F.lit(i))).alias(f"s{i}") for i in range(max(width, 1))]
+    vec = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+    vec = vec.select(*keys, F.filter(F.array(*(f"s{i}" for i in range(len(sums)))), lambda v: v.isNotNull()).alias("sum"), "n")
+    return vec.select(*keys, F.transform("sum", lambda v: v / F.greatest(norm("sum"), F.lit(1e-300))).alias("centroid"), "n")
 
 
 def profiles(tracklets: DataFrame, fps: float) -> DataFrame:
