@@ -86,21 +86,35 @@ class PacedReader(DataSourceStreamReader):
     def read(self, partition: Frames) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.parquet as pq
 
-        # Frames count from 1; those that are not asked for are never read as rows.
-        numbers = np.arange(partition.first + 1, partition.last + 1)
-        numbers = numbers[numbers % self.skip == 0]
-        before = 0
+        # Frames count from 1; those that are not asked for are dropped as they are read. A task reads only the row groups of its
+        # frames, some rows at a time, however large these and the files are.
+        first, last, before = partition.first + 1, partition.last, 0
+        columns = [name for name in self.names if name not in ("frame_no", "lap", "looped")]
         for fragment in _dataset(self.path).get_fragments():
             n = fragment.count_rows()
-            own = numbers[(numbers > before) & (numbers <= before + n)]
-            for i in range(0, len(own), 10_000):
-                part = own[i : i + 10_000]
-                table = fragment.take(part - before - 1)
-                more = {"frame_no": part, "lap": np.full(len(part), partition.lap, np.int32), "looped": (part <= self.skip) & (partition.lap > 0)}
-                for name, values in more.items():
-                    table = table.append_column(name, pa.array(values))
-                yield from table.select(self.names).to_batches()
+            if before < last and before + n >= first:
+                groups, at, start = [], before, None
+                for group in fragment.row_groups:
+                    if at < last and at + group.num_rows >= first:
+                        start = at if start is None else start
+                        groups.append(group.id)
+                    at += group.num_rows
+                with fragment.open() as file:
+                    for batch in pq.ParquetFile(file, buffer_size=1 << 20, pre_buffer=False).iter_batches(10_000, groups, columns, use_threads=False):
+                        numbers = np.arange(start + 1, start + batch.num_rows + 1)
+                        start += batch.num_rows
+                        own = np.flatnonzero((numbers % self.skip == 0) & (numbers >= first) & (numbers <= last))
+                        if len(own):
+                            part = numbers[own]
+                            table = pa.Table.from_batches([batch]).take(own)
+                            more = {"frame_no": part, "lap": np.full(len(part), partition.lap, np.int32), "looped": (part <= self.skip) & (partition.lap > 0)}
+                            for name, values in more.items():
+                                table = table.append_column(name, pa.array(values))
+                            yield from table.select(self.names).to_batches()
+                        if start >= last:
+                            break
             before += n
 
     def commit(self, end: dict) -> None: ...
