@@ -113,22 +113,18 @@ def tile_grid(pictures: DataFrame, n: int, overlap: float = OVERLAP) -> DataFram
 
 def suppress(boxes: DataFrame, keys: list[str], iou: float = 0.5) -> DataFrame:
     """Non-maximum suppression in each group (a frame): boxes by falling score, then by id; one that overlaps a kept box by more than ``iou`` goes."""
-
-    def run(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True])
-        b = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        area = np.maximum(b[:, 2] - b[:, 0], 0) * np.maximum(b[:, 3] - b[:, 1], 0)
-        alive, keep = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if not alive[i]:
-                continue
-            keep.append(i)
-            w = np.minimum(b[i, 2], b[:, 2]) - np.maximum(b[i, 0], b[:, 0])
-            h = np.minimum(b[i, 3], b[:, 3]) - np.maximum(b[i, 1], b[:, 1])
-            both = np.maximum(w, 0) * np.maximum(h, 0)
-            alive &= both / np.maximum(area[i] + area - both, 1e-9) <= iou
-        return pdf.iloc[keep]
-
-    return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
+    # A group's boxes are one list, which goes through a fold: no Python call for each of very many small groups.
+    unknown = F.col("score").isNull() | F.isnan("score")
+    row = F.struct(unknown.alias("unknown"), (-F.col("score")).alias("falling"), "box_id", F.struct(*boxes.columns).alias("row"))
+    ordered = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("all"))
+    area = lambda b: F.greatest(b["x1"] - b["x0"], F.lit(0.0)) * F.greatest(b["y1"] - b["y0"], F.lit(0.0))
+    total = lambda b: b["x0"] + b["y0"] + b["x1"] + b["y1"]
+
+    def covers(a, b):
+        w, h = (F.least(a[f"{c}1"], b[f"{c}1"]) - F.greatest(a[f"{c}0"], b[f"{c}0"]) for c in "xy")
+        both = F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
+        # A box without a place goes with any that is kept, and any goes with it.
+        return F.isnan(total(a) + total(b)) | (total(a) + total(b)).isNull() | (both / F.greatest(area(a) + area(b) - both, F.lit(1e-9)) > iou)
+
+    fold = F.aggregate("all", F.slice("all", 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: covers(k["row"], b["row"])), kept).otherwise(F.concat(kept, F.array(b))))
+    return ordered.select(F.explode(fold).alias("b")).select("b.row.*")
