@@ -5,7 +5,8 @@ only classes are joined. A tree starts with all classes at its root. A node is s
 chosen coordinates of the minwise signature: classes with equal minwise tokens share a child, so
 that a pair at the threshold survives a level with one child or more. Nodes with one class are
 dropped. Nodes of up to LEAF classes are compared exhaustively; larger ones compare LEADERS
-leaders with all their classes and are split further, up to MAX_DEPTH levels. Independent trees are
+leaders with all their classes and are split further, up to MAX_DEPTH levels. Those that are still large
+then and not yet one component are compared exhaustively too, block by block. Independent trees are
 repeated in two waves to reach the recall.
 
 Only connected components are asked for, so a node whose classes already share a component is
@@ -34,6 +35,7 @@ WAVES = (range(0, 2), range(2, 8))
 LEAF = 24
 LEADERS = 16
 MAX_DEPTH = 4
+BLOCK = 256
 PERCENT = 80
 SEED = 20_240_601
 
@@ -149,7 +151,7 @@ def _children(rows: DataFrame, depth: int) -> DataFrame:
     return picked.select(child.alias("node"), "class").distinct() if depth else picked.select(child.alias("node"), "class")
 
 
-def _alike(a: str, b: str) -> Column:
+def _alike(a: Column, b: Column) -> Column:
     """How many minwise tokens two signatures share."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
@@ -193,33 +195,78 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return pin(old.unionByName(new).distinct(), "labels")
 
 
-def _leaf_pairs(mixed: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different labels of the nodes with up to LEAF classes."""
+def _partners(all_of: str, x: Column, apart, percent: int) -> Column:
+    """Of the list ``all_of`` of classes those that ``apart`` lets meet ``x`` and whose sizes and sketches don't rule them out
+    (with how ``alike`` they are). They are weeded out inside the list, so no row is made of the others."""
+    near = lambda y: apart(y) & (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"]))
+    told = F.transform(F.filter(all_of, near), lambda y: F.struct(*(y[c].alias(c) for c in ("class", "size", "doc_id", "code")), _alike(x["sketch"], y["sketch"]).alias("alike")))
+    return F.filter(told, lambda p: p["alike"] >= _least(percent))
+
+
+MEMBER = ("class", "label", "size", "sketch", "doc_id", "code")
+
+
+def _paired(lists: DataFrame, x: Column, apart, percent: int) -> DataFrame:
+    """``x`` and its partners in the column ``all``: pairs (u, v, alike)."""
+    side = lambda r: F.struct(*(r[c].alias(c) for c in ("class", "size", "doc_id", "code")))
+    return lists.select(side(x).alias("u"), F.explode(_partners("all", x, apart, percent)).alias("y")).select("u", side(F.col("y")).alias("v"), "y.alike")
+
+
+def _leaf_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """The likely pairs of different labels of the nodes with up to LEAF classes."""
     # At most LEAF classes in a list.
-    listed = mixed.filter(F.col("n") <= LEAF).groupBy("node").agg(F.collect_list(F.struct("class", "label")).alias("all"))
+    listed = mixed.filter(F.col("n") <= LEAF).groupBy("node").agg(F.collect_list(F.struct(*MEMBER)).alias("all"))
     x = F.col("x")
-    others = F.filter("all", lambda y: (y["class"] < x["class"]) & (y["label"] != x["label"]))
-    return listed.select("all", F.explode("all").alias("x")).select(F.col("x.class").alias("a"), F.explode(others).alias("y")).select("a", F.col("y.class").alias("b"))
+    return _paired(listed.select("all", F.explode("all").alias("x")), x, lambda y: (y["class"] < x["class"]) & (y["label"] != x["label"]), percent)
 
 
-def _leader_pairs(mixed: DataFrame, depth: int) -> DataFrame:
-    """Pairs of different labels between the classes of the larger nodes and the node's leaders.
+def _leader_pairs(mixed: DataFrame, depth: int, percent: int) -> DataFrame:
+    """Likely pairs of different labels between the classes of the larger nodes and the node's leaders.
 
     Each of LEADERS hashes names the class with the smallest value of its label: minima that tasks
     aggregate before they shuffle, however large the node.
     """
-    large = mixed.filter(F.col("n") > LEAF).select("node", "class", "label")
-    least = [F.min(F.struct(F.xxhash64(F.lit(depth * LEADERS + i), "label").alias("h"), "class", "label")).alias(f"l{i}") for i in range(LEADERS)]
+    large = mixed.filter(F.col("n") > LEAF).select("node", *MEMBER)
+    least = [F.min(F.struct(F.xxhash64(F.lit(depth * LEADERS + i), "label").alias("h"), *MEMBER)).alias(f"l{i}") for i in range(LEADERS)]
     named = large.groupBy("node").agg(*least)
-    leaders = pin(named.select("node", F.array_distinct(F.array(*[F.struct(F.col(f"l{i}.class").alias("class"), F.col(f"l{i}.label").alias("label")) for i in range(LEADERS)])).alias("leaders")), "leaders")
-    met = large.join(leaders, "node")
-    return met.select(F.col("class").alias("a"), F.explode(F.filter("leaders", lambda y: y["label"] != F.col("label"))).alias("y")).select("a", F.col("y.class").alias("b"))
+    leaders = pin(named.select("node", F.array_distinct(F.array(*[F.struct(*(F.col(f"l{i}.{c}").alias(c) for c in MEMBER)) for i in range(LEADERS)])).alias("all")), "leaders")
+    x = F.struct(*MEMBER)
+    return _paired(large.join(leaders, "node"), x, lambda y: y["label"] != x["label"], percent)
+
+
+def _block_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """All likely pairs of different labels of nodes of any size: a node's classes are dealt to blocks of about BLOCK, and
+    each two of its blocks meet in a task of their own."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = mixed.withColumn("own", F.pmod(F.xxhash64(F.lit(SEED), "class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    cells = dealt.groupBy("node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct(*MEMBER, "own")).alias("all"))
+    x = F.col("x")
+    return _paired(
+        cells.select("lo", "hi", "all", F.explode("all").alias("x")), x,
+        lambda y: (y["class"] < x["class"]) & (y["label"] != x["label"]) & ((F.col("lo") == F.col("hi")) | (y["own"] != x["own"])), percent,
+    )
+
+
+def _first_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Each class of a node with one other, the one with the smallest hash, where likely: minima that tasks aggregate before they shuffle."""
+    first = mixed.groupBy("node").agg(F.min(F.struct(F.xxhash64(F.lit(SEED), "label").alias("h"), *MEMBER)).alias("f"))
+    x = F.struct(*MEMBER)
+    return _paired(mixed.join(first, "node").withColumn("all", F.array("f")), x, lambda y: y["class"] != x["class"], percent)
+
+
+def _members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the size, sketch and text of their class."""
+    return rows.join(classes.select("class", F.col("n_shingles").alias("size"), "sketch", "doc_id", "code"), "class")
 
 
-def _first_pairs(mixed: DataFrame) -> DataFrame:
-    """Each class of a node with one other, the one with the smallest hash: minima that tasks aggregate before they shuffle."""
-    first = mixed.groupBy("node").agg(F.min(F.struct(F.xxhash64(F.lit(SEED), "label").alias("h"), "class")).alias("f"))
-    return mixed.join(first, "node").select(F.col("class").alias("a"), F.col("f.class").alias("b")).filter("a <> b")
+def _mixed(rows: DataFrame, labels: DataFrame | None, classes: DataFrame) -> DataFrame:
+    """The rows (node, class) of the nodes that have more than one label, with MEMBER and the node's number of classes n."""
+    label = rows.withColumn("label", F.col("class")) if labels is None else rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    labelled = pin(label.select("node", "class", "label"), "labelled")
+    sizes = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi"))
+    mixed = pin(_members(labelled.join(sizes.select("node", "n"), "node"), classes), "mixed")
+    unpin(labelled)
+    return mixed
 
 
 def _least(percent: int) -> int:
@@ -228,14 +275,11 @@ def _least(percent: int) -> int:
     return int(SIGNATURE * (s - 4 * (s * (1 - s) / SIGNATURE) ** 0.5))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a > b whose sizes and sketches don't rule them out, with how alike these are and where the
-    classes' texts are."""
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    of = lambda c: classes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"sketch{c}"), F.col("doc_id").alias(f"id{c}"), F.col("code").alias(f"code{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    both = both.withColumn("alike", _alike("sketcha", "sketchb")).filter(F.col("alike") >= _least(percent))
-    return both.select("a", "b", "alike", "na", "nb", "ida", "codea", "idb", "codeb")
+def _likely(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs of classes a > b, with how alike these are, their sizes and where their texts are."""
+    ends = pairs.select("alike", F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y"))
+    of = lambda r, c: (F.col(f"{r}.class").alias(c), F.col(f"{r}.size").alias(f"n{c}"), F.col(f"{r}.doc_id").alias(f"id{c}"), F.col(f"{r}.code").alias(f"code{c}"))
+    return ends.select(*of("x", "a"), *of("y", "b"), "alike").dropDuplicates(["a", "b"])
 
 
 def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,32 +338,43 @@ def link_classes(classes: DataFrame, sets_of, percent: int = PERCENT) -> DataFra
     # it still has more than one component.
     roots = _roots(classes, WAVES[0])
     several = roots.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    likely = pin(_likely(_first_pairs(roots.join(several, "node", "left_semi").withColumn("label", F.col("class"))), classes, percent), "likely")
+    firsts = _members(roots.join(several, "node", "left_semi").withColumn("label", F.col("class")), classes)
+    likely = pin(_likely(_first_pairs(firsts, percent)), "likely")
     best = pin(likely.join(_best(likely), ["a", "b"]), "best")
     labels = _linked(best, labels, sets, percent)
     unpin(likely, best)
+    large = []
     for trees in WAVES:
         rows, others, done = _roots(classes, trees), [], []
         for depth in range(1, MAX_DEPTH + 1):
-            label = rows.withColumn("label", F.col("class")) if labels is None else rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-            labelled = pin(label.select("node", "class", "label"), "labelled")
-            sizes = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi"))
-            mixed = pin(labelled.join(sizes.select("node", "n"), "node"), "mixed")
-            unpin(labelled)
+            mixed = _mixed(rows, labels, classes)
             if mixed.isEmpty():
                 break
-            likely = pin(_likely(_leaf_pairs(mixed).unionByName(_leader_pairs(mixed, depth)), classes, percent), "likely")
+            likely = pin(_likely(_leaf_pairs(mixed, percent).unionByName(_leader_pairs(mixed, depth, percent))), "likely")
             # Each class's most similar one first: most others then lie within a component.
             best = pin(likely.join(_best(likely), ["a", "b"]), "best")
             labels = _linked(best, labels, sets, percent)
             others.append(likely.join(best.select("a", "b"), ["a", "b"], "left_anti"))
-            done += [likely, best]
-            # Large nodes go on, split by their next coordinates.
-            rows = _children(mixed.filter(F.col("n") > LEAF).select("node", "class").join(classes.select("class", "sig"), "class"), depth)
+            done += [mixed, likely, best]
+            rows = mixed.filter(F.col("n") > LEAF).select("node", "class")
+            if depth < MAX_DEPTH:
+                # Large nodes go on, split by their next coordinates.
+                rows = _children(rows.join(classes.select("class", "sig"), "class"), depth)
+                continue
+            large.append(pin(rows, "large"))
         if others:
             rest = pin(_apart(reduce(DataFrame.unionByName, others).dropDuplicates(["a", "b"]), labels), "rest")
             labels = _linked(rest, labels, sets, percent)
             unpin(rest, *done)
+    if large:
+        # Nodes that are large after all levels and still have several components are compared in full.
+        left = _mixed(reduce(DataFrame.unionByName, large), labels, classes)
+        likely = pin(_likely(_block_pairs(left, percent)), "likely")
+        best = pin(likely.join(_best(likely), ["a", "b"]), "best")
+        labels = _linked(best, labels, sets, percent)
+        rest = pin(_apart(likely.join(best.select("a", "b"), ["a", "b"], "left_anti"), labels), "rest")
+        labels = _linked(rest, labels, sets, percent)
+        unpin(left, likely, best, rest, *large)
     unpin(ids, sets)
     return labels if labels is not None else spark.createDataFrame([], "class bigint, label bigint")
 

@@ -7,6 +7,7 @@ import pytest
 
 from sightline.llm.exact_dedup import exact_dedup
 from sightline.llm.line_dedup import LineRuns, drop_lines
+from sightline.llm import near_dedup
 from sightline.llm.near_dedup import keep_one, near_duplicates
 
 DOCS = "doc_id bigint, text string, n_lines string, name string, label int"
@@ -132,3 +133,14 @@ def test_keep_one_of_each_group(spark):
     assert out.columns == ["doc_id", "text", "n_lines", "name", "label"]
     want = {i for i, _, _, kept in components(corpus(9, groups=4), 5) if kept} | {900, 901, 902, None}
     assert sorted(map(str, (r.doc_id for r in out.collect()))) == sorted(map(str, want))
+
+
+def test_nodes_that_stay_large_are_compared_in_full(spark, monkeypatch):
+    # One level, one leader and blocks of a few classes: nearly all links lie between classes that aren't leaders.
+    for name, value in dict(MAX_DEPTH=1, LEADERS=1, LEAF=2, BLOCK=5).items():
+        monkeypatch.setattr(near_dedup, name, value, raising=False)
+    # Chains of texts that only their neighbours are near: shares of a shingle are runs of several texts.
+    rows = [(c * 60 + i, " ".join(f"c{c}w{j}" for j in range(10 * i, 10 * i + 100))) for c in range(2) for i in range(60)]
+    want = components(rows, 4)
+    assert {r[2] for r in want} == {0, 60}
+    assert sorted(map(tuple, near_duplicates(docs(spark, rows), width=4).collect())) == want
