@@ -150,13 +150,13 @@ FROM (SELECT *, 'onset' AS event FROM onsets UNION ALL BY NAME SELECT *, 'end' A
 def signals(spark, sf_dir):
     """Hazards of the sample as signals."""
     h = A.hazard_frames(spark, sf_dir)
-    return h.select(F.concat_ws("/", "stream_id", "kind").alias("signal"), (F.col("area") >= H.MIN_AREA).alias("present"), _ms().alias("ts_ms"), F.timestamp_millis(_ms()).alias("ts"))
+    return h.select("stream_id", "kind", F.concat_ws("/", "stream_id", "kind").alias("signal"), (F.col("area") >= H.MIN_AREA).alias("present"), _ms().alias("ts_ms"), F.timestamp_millis(_ms()).alias("ts"))
 
 
 @query(HELD_SQL)
 def stream_holds(spark, sf_dir):
     """Onsets and ends of hazards told by a stream; ends come from timers, also where no row comes any more."""
-    stream, root = _as_stream(spark, signals(spark, sf_dir), {"signal": "end", "present": False})
+    stream, root = _as_stream(spark, signals(spark, sf_dir).drop("stream_id", "kind"), {"signal": "end", "present": False})
     out = live.run_to_end(persons.held_signals(stream, H.HOLD_S, 4 * H.HOLD_S, "1 hour"), f"{root}-out", f"{root}-state")
     return _from_start(out)
 
@@ -164,7 +164,7 @@ def stream_holds(spark, sf_dir):
 @query(HELD_SQL)
 def hold_spans(spark, sf_dir):
     """The same as a batch, by windows."""
-    return _from_start(persons.held_spans(signals(spark, sf_dir), H.HOLD_S, 4 * H.HOLD_S))
+    return _from_start(persons.held_spans(signals(spark, sf_dir), H.HOLD_S, 4 * H.HOLD_S, ("stream_id", "kind")))
 
 
 def _from_start(events):

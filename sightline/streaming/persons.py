@@ -228,7 +228,7 @@ def held_signals(rows: DataFrame, hold_s: float, keep_s: float, late: str) -> Da
     return run_ordered(rows, Holds(hold_s, keep_s), late)
 
 
-def held_spans(rows: DataFrame, hold_s: float, keep_s: float) -> DataFrame:
-    """What ``held_signals`` tells, as a batch by windows."""
-    events = hold_events(rows, ["signal"], "ts_ms", "present", round(hold_s * 1000), round(keep_s * 1000))
-    return events.select("signal", "event", F.col("since").alias("since_ms"), F.col("at").alias("at_ms"))
+def held_spans(rows: DataFrame, hold_s: float, keep_s: float, keys: tuple[str, ...] = ("signal",)) -> DataFrame:
+    """What ``held_signals`` tells, as a batch by windows. Where several ``keys`` name a signal, its text is made of the events only."""
+    events = hold_events(rows, list(keys), "ts_ms", "present", round(hold_s * 1000), round(keep_s * 1000))
+    return events.select(F.concat_ws("/", *keys).alias("signal") if len(keys) > 1 else keys[0], "event", F.col("since").alias("since_ms"), F.col("at").alias("at_ms"))
