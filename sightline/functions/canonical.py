@@ -48,23 +48,39 @@ def settings_hash(text: Column) -> Column:
     return F.substring(F.sha2(canonical_json(text), 256), 1, 16)
 
 
+#: Levels of nesting that settings may have.
+DEEPEST = 64
+
+
+def _depth(text: Column) -> Column:
+    """How deep brackets are nested in a JSON text."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^{}\[\]]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, c: Column) -> Column:
+        now = s["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, step, lambda s: s["most"])
+
+
 def flattened(settings: DataFrame, keys: list[str], json_col: str) -> DataFrame:
     """The keys, path and value of each place in a JSON text: names joined by points, elements of lists by their number;
-    values as JSON; the whole text has an empty path. Empty objects and lists are values. Each level of nesting is one pass over what is still nested."""
-    rows = settings.select(*keys, F.lit("").alias("path"), F.try_parse_json(json_col).alias("value")).filter("value IS NOT NULL")
-    done = None
-    for _ in range(64):
-        kind = F.schema_of_variant("value")
-        nested = F.rlike(kind, F.lit("^(OBJECT<.+>|ARRAY<.+>)$")) & (F.to_json("value") != "[]")
-        flat = rows.filter(~nested).select(*keys, "path", F.to_json("value").alias("value"))
-        done = flat if done is None else done.unionByName(flat)
-        deeper = rows.filter(nested)
-        if deeper.isEmpty():
-            return done
-        inner = deeper.lateralJoin(deeper.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("at", "name", "inner"))
-        part = F.coalesce("name", F.col("at").cast("string"))
-        rows = inner.select(*keys, F.when(F.col("path") == "", part).otherwise(F.concat_ws(".", "path", part)).alias("path"), F.col("inner").alias("value"))
-    raise ValueError("settings are nested more than 64 deep")
+    values as JSON; the whole text has an empty path. Empty objects and lists are values. Texts are parsed once; each level of
+    nesting that the deepest of them has unfolds the rows that are still nested, in the same pass."""
+    rows = settings.select(*keys, F.lit("").alias("path"), F.col(json_col).alias("text"), F.try_parse_json(json_col).alias("value")).filter("value IS NOT NULL")
+    depth = rows.agg(F.max(_depth(F.col("text")))).first()[0] or 0
+    if depth > DEEPEST:
+        raise ValueError(f"settings are nested more than {DEEPEST} deep")
+    place = lambda part, value: F.struct(F.when(F.col("path") == "", part).otherwise(F.concat_ws(".", "path", part)).alias("path"), value.alias("value"))
+    rows = rows.drop("text")
+    for _ in range(depth):
+        members = F.transform(F.map_entries(F.try_variant_get("value", "$", "map<string,variant>")), lambda e: place(e["key"], e["value"]))
+        items = F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda v, i: place(i.cast("string"), v))
+        first = F.substring(F.to_json("value"), 1, 2)
+        inner = F.when(first.isin("{}", "[]"), None).when(first.startswith("{"), members).when(first.startswith("["), items)
+        rows = rows.select(*keys, F.inline(F.coalesce(inner, F.array(F.struct("path", "value")))))
+    return rows.select(*keys, "path", F.to_json("value").alias("value"))
 
 
 def differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
