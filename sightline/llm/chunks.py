@@ -66,7 +66,7 @@ def spread(flat, sizes, index):
     return flat[where], n
 
 
-def spans(lengths, total: int = 12_000_000) -> Iterable[range]:
+def spans(lengths, total: int = 6_000_000) -> Iterable[range]:
     """Ranges of positions whose ``lengths`` sum to about ``total``."""
     import numpy as np
 

@@ -140,6 +140,8 @@ class LibraryEncoder:
             own, m = self._each(firsts)
             index[first] = len(n) + np.arange(len(first))
             out, each = chunks.spread(np.concatenate([ids, own]), np.concatenate([n, m]), index)
+            # Nothing of this group but its ids is held while the next one is made.
+            del part, coded, index, ids, n, own, m, firsts
             yield out, np.add.reduceat(each, first)
 
 
