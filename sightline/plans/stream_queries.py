@@ -82,11 +82,11 @@ def stream_still_alerts(spark, sf_dir):
     """Stillness alerts of a stream of tracklet rows."""
     root = _folder(spark)
     t = B.with_positions(A.tracklets(spark, sf_dir))
-    rows = t.select("tracklet_id", "frame_no", "x", "y", "body", F.timestamp_millis((F.col("frame_no") * 1000 / FPS).cast("bigint") + 86_400_000).alias("ts"))  # a watermark starts at 1970: no row may be there
+    rows = t.select("run_id", "tracklet_id", "frame_no", "x", "y", "body", F.timestamp_millis((F.col("frame_no") * 1000 / FPS).cast("bigint") + 86_400_000).alias("ts"))  # a watermark starts at 1970: no row may be there
     rows.write.parquet(f"{root}/in")
     # All files are one batch: a tracklet that is longer than others makes none of their rows late.
     stream = live.open_stream(spark, f"{root}/in", rows.schema, len(spark.read.schema(rows.schema).parquet(f"{root}/in").inputFiles()))
-    return live.run_to_end(live.still_alerts(stream, FPS), f"{root}/out", f"{root}/state")
+    return live.run_to_end(live.still_alerts(stream, FPS, by="run_id"), f"{root}/out", f"{root}/state")
 
 
 def _as_stream(spark, rows, marker: dict, delay: str = "10 days"):
@@ -156,8 +156,10 @@ def signals(spark, sf_dir):
 @query(HELD_SQL)
 def stream_holds(spark, sf_dir):
     """Onsets and ends of hazards told by a stream; ends come from timers, also where no row comes any more."""
-    stream, root = _as_stream(spark, signals(spark, sf_dir).drop("stream_id", "kind"), {"signal": "end", "present": False})
-    out = live.run_to_end(persons.held_signals(stream, H.HOLD_S, 4 * H.HOLD_S, "1 hour"), f"{root}-out", f"{root}-state")
+    # A video's signals share a state.
+    rows = signals(spark, sf_dir).select(A.run_of("stream_id").alias("run_id"), "signal", "present", "ts_ms", "ts")
+    stream, root = _as_stream(spark, rows, {"run_id": -1, "signal": "end", "present": False})
+    out = live.run_to_end(persons.held_signals(stream, H.HOLD_S, 4 * H.HOLD_S, "1 hour", "run_id"), f"{root}-out", f"{root}-state")
     return _from_start(out)
 
 

@@ -38,32 +38,35 @@ def conflated(batch: DataFrame, key: str, order: str) -> DataFrame:
     return batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
 
 
-def still_alerts(rows: DataFrame, fps: float, cfg: Behavior = Behavior()) -> DataFrame:
+def still_alerts(rows: DataFrame, fps: float, cfg: Behavior = Behavior(), by: str = "tracklet_id") -> DataFrame:
     """Alerts when a tracklet has stood still for ``still_time_s``, from rows (tracklet_id, frame_no, x, y, body, ts).
 
     The state holds the recent positions and since when the tracklet stands; an alert is given once for
-    each stand. State without rows ends with the watermark.
+    each stand. State without rows ends with the watermark. ``by``: a column that each tracklet has one value of, such as its
+    video; tracklets that share it share a state, so that many short ones don't cost a call each.
     """
     alert = "tracklet_id bigint, frame_no int, still_s double"
-    # Positions of the window: frames, xs, ys, bodies; then since when it stands, and whether that was told.
-    kept = "frames array<int>, xs array<double>, ys array<double>, bodies array<double>, since int, told boolean"
+    # For each tracklet the positions of the window: frames, xs, ys, bodies; then since when it stands, and whether that was told.
+    kept = "tracks array<bigint>, frames array<array<int>>, xs array<array<double>>, ys array<array<double>>, bodies array<array<double>>, since array<int>, told array<boolean>"
 
     def run(key: tuple, batches: Iterator, state: GroupState):
         import math
+        from itertools import groupby
 
         import pandas as pd
 
         if state.hasTimedOut:
             state.remove()
             return
-        frames, xs, ys, bodies, since, told = state.get if state.exists else ([], [], [], [], -1, False)
-        frames, xs, ys, bodies = list(frames), list(xs), list(ys), list(bodies)
+        tracks = {t: ([list(p) for p in window], since, told) for t, *window, since, told in zip(*state.get, strict=True)} if state.exists else {}
         out = []
         # A batch's rows of one tracklet may come in several parts.
-        parts = list(batches)
-        if parts:
-            for r in pd.concat(parts).sort_values("frame_no").itertuples():
-                frames.append(int(r.frame_no)), xs.append(r.x), ys.append(r.y), bodies.append(max(r.body, 1.0))
+        new = [r for part in batches for r in zip(*(part[c].tolist() for c in ("tracklet_id", "frame_no", "x", "y", "body")), strict=True)]
+        new.sort(key=lambda r: r[:2])
+        for track, mine in groupby(new, lambda r: r[0]):
+            (frames, xs, ys, bodies), since, told = tracks.get(track, ([[], [], [], []], -1, False))
+            for _, frame, x, y, body in mine:
+                frames.append(int(frame)), xs.append(x), ys.append(y), bodies.append(max(body, 1.0))
                 while (frames[-1] - frames[0]) / fps > cfg.window_s:
                     del frames[0], xs[0], ys[0], bodies[0]
                 if (frames[-1] - frames[0]) / fps < cfg.min_history_s:
@@ -78,12 +81,13 @@ def still_alerts(rows: DataFrame, fps: float, cfg: Behavior = Behavior()) -> Dat
                 since = frames[-1] if since < 0 else since
                 if not told and (frames[-1] - since) / fps >= cfg.still_time_s:
                     told = True
-                    out.append((key[0], frames[-1], (frames[-1] - since) / fps))
-        state.update((frames, xs, ys, bodies, since, told))
+                    out.append((track, frames[-1], (frames[-1] - since) / fps))
+            tracks[track] = ([frames, xs, ys, bodies], since, told)
+        state.update(tuple(list(c) for c in zip(*((t, *window, since, told) for t, (window, since, told) in tracks.items()), strict=True)))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 3_600_000)
         yield pd.DataFrame(out, columns=["tracklet_id", "frame_no", "still_s"])
 
-    return rows.withWatermark("ts", "1 hour").groupBy("tracklet_id").applyInPandasWithState(run, alert, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.withWatermark("ts", "1 hour").groupBy(by).applyInPandasWithState(run, alert, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

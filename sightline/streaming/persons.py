@@ -187,45 +187,75 @@ class Holds(Ordered):
     when; it ends where the signal is away at ``keep_s`` after that time or later, by a timer if no row comes.
     """
 
-    columns = ("ts_ms", "present")
-    key = "signal"
+    columns = ("signal", "ts_ms", "present")
     output = StructType().add("signal", "string").add("event", "string").add("since_ms", "long").add("at_ms", "long")
 
-    def __init__(self, hold_s: float, keep_s: float):
-        self.hold_ms, self.keep_ms = round(hold_s * 1000), round(keep_s * 1000)
+    def __init__(self, hold_s: float, keep_s: float, key: str = "signal"):
+        """``key``: the column whose values share a state; each signal lies within one of them."""
+        self.hold_ms, self.keep_ms, self.key = round(hold_s * 1000), round(keep_s * 1000), key
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.state = handle.getValueState("state", "seen long, told long, away long")
+        self.state = handle.getValueState("state", "signals array<string>, seen array<long>, told array<long>, away array<long>")
 
     def load(self) -> None:
-        self.seen, self.told, self.away = self.state.get() if self.state.exists() else (None, None, None)
+        #: signal: [seen, told, away]
+        self.signals = {s: list(rest) for s, *rest in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
+
+    def save(self) -> None:
+        columns = [list(c) for c in zip(*((s, *v) for s, v in self.signals.items()), strict=True)]
+        self.state.update(tuple(columns or [[], [], [], []]))
+
+    def named(self, key: tuple, out: tuple) -> tuple:
+        return out
+
+    def replay(self, ready: list[dict], now: int) -> list[tuple]:
+        # Signals know nothing of each other, so one is told to its end after the other.
+        rows: dict = {s: [] for s in self.signals}
+        for r in ready:
+            rows.setdefault(r["signal"], []).append(r)
+        out = []
+        for s, mine in rows.items():
+            self.seen, self.told, self.away = self.signals.get(s, (None, None, None))
+            events = super().replay(mine, now)
+            out += [(s, *e) for e in events]
+            self.signals[s] = [self.seen, self.told, self.away]
+        return out
 
     def take(self, row: dict) -> list[tuple]:
         at = row["ts_ms"]
         if not row["present"]:
             self.seen, self.away = None, at if self.away is None else self.away
-            return self.due(at) if self.told is not None and self.deadline() <= at else []
+            return self.due(at) if self.told is not None and self._ends() <= at else []
         self.away, self.seen = None, at if self.seen is None else self.seen
         if at - self.seen < self.hold_ms or self.told == self.seen:
             return []
         self.told = self.seen
         return [("onset", self.told, at)]
 
-    def deadline(self) -> int | None:
+    def _ends(self) -> int | None:
         return None if self.told is None or self.away is None else max(self.away, self.told + self.keep_ms)
 
+    def _meet(self, until: int) -> list[tuple]:
+        at = self._ends()
+        return self.due(at) if at is not None and at <= until else []
+
+    def deadline(self) -> int | None:
+        """The first end of any of the key's signals."""
+        return min((max(away, told + self.keep_ms) for _, told, away in self.signals.values() if told is not None and away is not None), default=None)
+
     def due(self, at: int) -> list[tuple]:
-        told, at, self.told = self.told, self.deadline(), None
+        told, at, self.told = self.told, self._ends(), None
         return [("end", told, at)]
 
-    def save(self) -> None:
-        self.state.update((self.seen, self.told, self.away))
 
+def held_signals(rows: DataFrame, hold_s: float, keep_s: float, late: str, by: str = "signal") -> DataFrame:
+    """signal, event, since_ms, at_ms of a stream of signal, ts, ts_ms, present.
 
-def held_signals(rows: DataFrame, hold_s: float, keep_s: float, late: str) -> DataFrame:
-    """signal, event, since_ms, at_ms of a stream of signal, ts, ts_ms, present."""
-    return run_ordered(rows, Holds(hold_s, keep_s), late)
+    ``by``: a column that each signal has one value of; signals that share it share a state, so that many short signals don't
+    cost a state and a timer each. Their rows wait together in one task.
+    """
+    return run_ordered(rows, Holds(hold_s, keep_s, by), late)
 
 
 def held_spans(rows: DataFrame, hold_s: float, keep_s: float, keys: tuple[str, ...] = ("signal",)) -> DataFrame:
