@@ -8,6 +8,7 @@ statistics and Bloom filters for lookups.
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,8 @@ _MARKED, _MARKS = r"^[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]$", ".,;:!?"
 _WHITE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 #: Pieces that the library encodes in one text.
 AT_ONCE = 2_000
+#: Bytes of pieces and of their ids that an encoder keeps from one group to the next.
+KNOWN_BYTES = 12_000_000
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>"
 STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 2_000
@@ -29,11 +32,13 @@ INDEX_STRIDE = 2_000
 class LibraryEncoder:
     """Encodes texts with a tokenizers file, each distinct piece of a group of texts once.
 
-    Nothing is remembered from one group to the next, so memory is that of a group.
+    Pieces of groups before are known with their ids, up to KNOWN_BYTES; beyond these the pieces of the newest
+    group alone are, if they are no more. So memory is that of a group.
     """
 
     def __init__(self, path: str):
         import numpy as np
+        import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
@@ -45,6 +50,7 @@ class LibraryEncoder:
         self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
         marks = self._each(list(_MARKS))
         self.mark = dict(zip(_MARKS, marks[0].tolist(), strict=True))
+        self.nothing = self.known = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _each(self, texts: list[str]):
         """(ids of the texts one after the other, how many each has)."""
@@ -86,6 +92,26 @@ class LibraryEncoder:
         place[odd] = len(plain) + np.arange(int(odd.sum()))
         return chunks.spread(flat, sizes, place)
 
+    def _remembered(self, pieces):
+        """``_spaced`` of distinct pieces, of which the library gets those alone that are not known."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known, flat, sizes = self.known
+        index = pc.fill_null(pc.index_in(pieces, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = index < 0
+        fresh = pieces.filter(pa.array(new))
+        ids, n = self._spaced(fresh)
+        index[new] = len(sizes) + np.arange(len(n))
+        flat, sizes = np.concatenate([flat, ids]), np.concatenate([sizes, n])
+        out, each = chunks.spread(flat, sizes, index)
+        # All pieces, or this group's, or none: the first that are not too large.
+        size = lambda k: k[0].nbytes + k[1].nbytes + k[2].nbytes
+        kept = ((pa.concat_arrays([known, fresh]), flat, sizes), (pieces, out, each), self.nothing)
+        self.known = next(k for k in kept if size(k) <= KNOWN_BYTES or k is self.nothing)
+        return out, each
+
     def _distinct(self, pieces):
         """The ids of distinct pieces, each behind a space; a mark behind a word is a token of its own."""
         import numpy as np
@@ -95,16 +121,16 @@ class LibraryEncoder:
         marked = pc.match_substring_regex(pieces, _MARKED)
         cores = pc.if_else(marked, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
         marked = marked.to_numpy(zero_copy_only=False)
-        ids, n = self._spaced(cores.dictionary)
+        ids, n = self._remembered(cores.dictionary)
         core = cores.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        last = pc.utf8_slice_codeunits(pieces.filter(pa.array(marked)), -1).to_pylist()
+        last = pc.index_in(pc.utf8_slice_codeunits(pieces.filter(pa.array(marked)), -1), value_set=pa.array(list(_MARKS))).to_numpy(zero_copy_only=False)
         # The marks stand behind the cores' ids as values of one id each.
         flat = np.concatenate([ids, np.array([self.mark[m] for m in _MARKS], np.int32)])
         sizes = np.concatenate([n, np.ones(len(_MARKS), np.int64)])
         index = np.empty(len(core) + int(marked.sum()), np.int64)
         at = np.arange(len(core)) + np.cumsum(marked) - marked
         index[at] = core
-        index[at[marked] + 1] = len(n) + np.array([_MARKS.index(m) for m in last], np.int64)
+        index[at[marked] + 1] = len(n) + last.astype(np.int64)
         out, each = chunks.spread(flat, sizes, index)
         return out, np.add.reduceat(each, at) if len(at) else each
 
@@ -145,6 +171,12 @@ class LibraryEncoder:
             yield out, np.add.reduceat(each, first)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> LibraryEncoder:
+    """The encoder of a Python process: its next task knows the pieces of the one before."""
+    return LibraryEncoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` and write them to ORC files at ``path``, in ascending order of the id.
 
@@ -161,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        code, start, part = LibraryEncoder(tokenizer_path), 0, TaskContext.get().partitionId()
+        code, start, part = encoder(tokenizer_path), 0, TaskContext.get().partitionId()
         for batch in batches:
             at = 0
             for ids, n in code.encode(batch.column(1)):

@@ -135,3 +135,29 @@ def test_very_long_words_take_few_rounds():
     for text, (ids, back) in zip(texts, words.encode(texts), strict=True):
         assert ids.tolist() == library.encode_ordinary(text) and back.tobytes() == text.encode()
     words.close()
+
+
+def test_pieces_of_earlier_groups_are_not_encoded_again(monkeypatch):
+    import pyarrow as pa
+
+    code, asked = token_files.LibraryEncoder(P.path("byte_bpe_50k.json")), []
+    spaced = code._spaced
+    monkeypatch.setattr(code, "_spaced", lambda pieces: asked.append(pieces.to_pylist()) or spaced(pieces))
+    texts = ["the same words, again and again", "Here the words differ.\nbut not all", "words again; new ones", "", "ends, with a mark!"]
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+    def whole():
+        for t in texts:
+            ids, n = zip(*code.encode(pa.array([t, t + " more"])), strict=True)
+            want = [library.encode(x, add_special_tokens=False).ids for x in (t, t + " more")]
+            assert np.concatenate(ids).tolist() == want[0] + want[1] and np.concatenate(n).tolist() == [len(w) for w in want]
+
+    whole()
+    given = [p for pieces in asked for p in pieces]
+    assert len(given) == len(set(given)) and "words" in given
+    # Without room nothing is known, and the ids are the same.
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", 0)
+    whole()
+    asked.clear()
+    whole()
+    assert sum("words" in pieces for pieces in asked) > 1
