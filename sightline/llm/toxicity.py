@@ -19,9 +19,10 @@ from collections.abc import Iterable
 from itertools import islice
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chunks
 from .quality import sample_labelled
 
 #: Labelled rows that fitting reads at most.
@@ -35,6 +36,8 @@ COMMON = 16
 SLACK = 1.2e-7
 #: Texts that meet the matrix at once.
 BATCH = 256
+#: Characters of texts whose words are looked up together.
+CHARS = 1_000_000
 K = 15
 BLOCK = 64
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -58,12 +61,12 @@ def all_terms(text: str | None) -> set[str]:
 class BlockMaxIndex:
     """Exact k nearest unit vectors by cosine.
 
-    Vectors that share their heaviest terms lie in one block. For each term the index has the largest weight of
-    each block, so what a text's terms can add up to in a block bounds all similarities there. The blocks with the
-    highest bounds are scored first; of the others only those whose bound reaches the k-th similarity
-    found by then, and all others are skipped. Texts are bounded and scored many at a time: terms that many examples have
-    lie in a matrix for each block, the others in lists of blocks and of their examples. Sums are in single
-    precision; what may be among the k nearest is computed again in double precision.
+    Vectors that share their heaviest terms lie in one block. Terms that many examples have lie in a matrix for each
+    block, with the largest weight of each term in each block; the others in lists of their examples. What a text's listed
+    terms add up to is summed in each example; the largest of these sums of a block, and what the text's other terms can add
+    up to there, bound all similarities of the block. The blocks with the highest bounds are scored first; of the others only
+    those whose bound reaches the k-th similarity found by then, and all others are skipped. Texts are bounded and scored many
+    at a time. Sums are in single precision; what may be among the k nearest is computed again in double precision.
     """
 
     def __init__(self, vectors: Iterable[tuple], block: int = BLOCK):
@@ -98,13 +101,8 @@ class BlockMaxIndex:
         rest = np.flatnonzero(~dense)
         rest = rest[np.lexsort((at[rest], t[rest]))]
         self.ids, self.weights = at[rest].astype(np.int32), self.exact[rest].astype(np.float32)
-        # Lists of blocks: of each term, the blocks it is in, its largest weight there, and where its examples begin.
-        key = t[rest].astype(np.int64) * max(1, self.blocks) + self.ids // block
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        self.starts = np.append(starts, len(key))
-        self.in_block = (self.ids[starts] // block).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0, np.float32)
-        self.first = np.append(0, np.cumsum(np.bincount(t[rest][starts], minlength=len(having))))
+        #: Where the list of each term begins.
+        self.first = np.append(0, np.cumsum(np.bincount(t[rest], minlength=len(having))))
         self.asked = np.zeros(len(having))
         #: Pairs of text and block that were scored, and that were skipped.
         self.scored = self.skipped = 0
@@ -126,60 +124,59 @@ class BlockMaxIndex:
         for start in range(0, len(vectors), BATCH):
             part, asked = [], vectors[start : start + BATCH]
             common = np.zeros((len(asked), self.matrix.shape[1]), np.float32)
+            rough = np.zeros((len(asked), self.blocks, self.block), np.float32)
             for q, (terms, weights) in enumerate(asked):
                 known = np.asarray(terms) < len(self.row)
                 terms, weights = np.asarray(terms, np.int64)[known], np.asarray(weights, float)[known]
                 row = self.row[terms]
                 common[q, row[row >= 0]] = weights[row >= 0]
-                # Of the other terms the entries in lists of blocks, with the text's weights.
+                # What the other terms add up to in each example.
                 listed = terms[row < 0]
                 size = self.first[listed + 1] - self.first[listed]
                 entries = np.repeat(self.first[listed] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                part.append((terms, weights, entries, np.repeat(weights[row < 0].astype(np.float32), size)))
-            bounds = common @ self.top
-            for q, (_, _, entries, w) in enumerate(part):
-                bounds[q] += np.bincount(self.in_block[entries], w * self.most[entries], self.blocks).astype(np.float32)
-            sims = np.zeros((len(asked), self.blocks * self.block), np.float32)
+                w = np.repeat(weights[row < 0].astype(np.float32), size) * self.weights[entries]
+                rough[q] = np.bincount(self.ids[entries], w, self.blocks * self.block).reshape(self.blocks, self.block)
+                part.append((terms, weights))
+            bounds = common @ self.top + rough.max(axis=2)
+            sims = np.zeros(rough.shape, np.float32)
             likely = np.zeros(bounds.shape, bool)
             np.put_along_axis(likely, np.argpartition(-bounds, seeds - 1, axis=1)[:, :seeds], True, axis=1)
-            self._score(sims, likely, common, part)
+            self._score(sims, rough, likely, common)
             slack = np.array([2 * SLACK * (len(p[0]) + 8) for p in part], np.float32)
+            flat = sims.reshape(len(asked), -1)
             hidden = [-1] * len(asked) if not without else without[start : start + BATCH]
             for q, h in enumerate(hidden):
                 if h >= 0:
-                    sims[q, self.place[h]] = 0
-            kth = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] >= k else np.zeros(len(asked), np.float32)
+                    flat[q, self.place[h]] = 0
+            # Only the blocks of the seeds have similarities as yet.
+            kth = np.zeros(len(asked), np.float32)
+            if flat.shape[1] >= k:
+                own = np.take_along_axis(sims, np.nonzero(likely)[1].reshape(len(asked), seeds, 1), axis=1).reshape(len(asked), -1)
+                kth = np.partition(own, -k, axis=1)[:, -k] if own.shape[1] >= k else kth
             more = ~likely & (bounds > 0) & (bounds >= (kth - 2 * slack)[:, None])
-            self._score(sims, more, common, part)
+            self._score(sims, rough, more, common)
             self.scored, self.skipped = self.scored + int((likely | more).sum()), self.skipped + int((~(likely | more)).sum())
             for q, h in enumerate(hidden):
-                s = np.zeros(self.n, np.float32)
-                s[self.order] = sims[q, : self.n]
                 if h >= 0:
-                    s[h] = 0
-                out.append(self._best(s, part[q][0], part[q][1], k))
+                    flat[q, self.place[h]] = 0
+                # The k-th of all is not under the seeds' k-th.
+                may = np.flatnonzero((flat[q] >= kth[q] - slack[q]) & (flat[q] > 0))
+                out.append(self._best(may, flat[q][may], *part[q], k))
         return out
 
-    def _score(self, sims, pairs, common, part) -> None:
+    def _score(self, sims, rough, pairs, common) -> None:
         """Fill in the similarities of ``pairs`` of texts and blocks."""
-        cells = sims.reshape(len(sims), self.blocks, self.block)
         for b in np.flatnonzero(pairs.any(axis=0)).tolist():
             rows = np.flatnonzero(pairs[:, b])
-            cells[rows, b] = common[rows] @ self.matrix[b]
-        for q, (_, _, entries, w) in enumerate(part):
-            use = pairs[q][self.in_block[entries]]
-            entries, w = entries[use], w[use]
-            size = self.starts[entries + 1] - self.starts[entries]
-            where = np.repeat(self.starts[entries] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            sims[q] += np.bincount(self.ids[where], np.repeat(w, size) * self.weights[where], sims.shape[1]).astype(np.float32)
-
-    def _best(self, s, terms, weights, k: int) -> list[tuple[int, float]]:
-        """The k best by exact similarity, of those whose rough similarity ``s`` doesn't rule them out."""
+            sims[rows, b] = rough[rows, b] + common[rows] @ self.matrix[b]
+
+    def _best(self, may, s, terms, weights, k: int) -> list[tuple[int, float]]:
+        """The k best by exact similarity, of the places ``may`` whose rough similarity ``s`` doesn't rule them out."""
         slack = 2 * SLACK * (len(terms) + 8)
         least = np.partition(s, -k)[-k] if len(s) >= k else 0.0
-        may = np.flatnonzero((s >= least - slack) & (s > 0))
+        may = np.sort(self.order[may[s >= least - slack]])
         self.asked[terms] = weights
-        exact = np.array([self.asked[self.terms[a:b]] @ self.exact[a:b] for a, b in zip(self.begin[may], self.begin[may + 1], strict=True)])
+        exact = np.array([self.asked[self.terms[a:b]] @ self.exact[a:b] for a, b in zip(self.begin[may].tolist(), self.begin[may + 1].tolist(), strict=True)])
         self.asked[terms] = 0
         exact = np.round(exact, 9)
         best = np.lexsort((may, -exact))[:k]
@@ -190,17 +187,20 @@ class Terms:
     """The numbers of the terms, and the terms of texts.
 
     Examples that have a word, or a longer stem of it, have its shorter stems too, so what a word
-    stands for is a chain: its longest term and all terms that this begins with. The longest
-    term of a word is remembered, up to a bound.
+    stands for is a chain: its longest term and all terms that this begins with.
     """
 
     def __init__(self, terms: list[str]):
+        import pyarrow as pa
+
         self.sent = zlib.compress("\n".join(terms).encode())
-        self.words = {t: i for i, t in enumerate(terms) if t[-1:] != "*"}
-        self.stems = {t[:-1]: i for i, t in enumerate(terms) if t[-1:] == "*"}
-        self.seen, self.times = {}, np.zeros(len(terms), np.int32)
+        stems = {t[:-1]: i for i, t in enumerate(terms) if t[-1:] == "*"}
+        listed = lambda d: (pa.array(list(d), pa.string()), np.append(np.array(list(d.values()), np.int64), -1))
+        #: Words, and stems by their length, with their numbers; behind these that of what is none of them.
+        self.words = listed({t: i for i, t in enumerate(terms) if t[-1:] != "*"})
+        self.stems = [(m, *listed({t: i for t, i in stems.items() if len(t) == m})) for m in STEMS]
         size = [len(t) - (t[-1:] == "*") for t in terms]
-        parent = [self.stems.get(t[: min(n - 1, STEMS[-1])], -1) for t, n in zip(terms, size, strict=True)]
+        parent = [stems.get(t[: min(n - 1, STEMS[-1])], -1) for t, n in zip(terms, size, strict=True)]
         up = np.array([*parent, -1], np.int32)
         chain = [np.arange(len(terms), dtype=np.int32)]
         for _ in STEMS:
@@ -216,37 +216,55 @@ class Terms:
         text = zlib.decompress(sent).decode()
         self.__init__(text.split("\n") if text else [])
 
-    def _longest(self, word: str) -> int:
-        """The longest term that ``word`` is or begins with; -1: none."""
-        best, stems, n = -1, self.stems, len(word)
-        for m in STEMS:
-            if n <= m:
-                break
-            if (i := stems.get(word[:m])) is None:
-                return best
-            best = i
-        return self.words.get(word, best)
+    def _longest(self, words) -> np.ndarray:
+        """Of each of an Arrow array of words the longest term that it is or begins with; -1: none."""
+        import pyarrow.compute as pc
+
+        size, best = pc.utf8_length(words).to_numpy(zero_copy_only=False), np.full(len(words), -1, np.int64)
+        found = lambda at, values, numbers: numbers[pc.fill_null(pc.index_in(at, value_set=values), -1).to_numpy(zero_copy_only=False)]
+        left = np.arange(len(words))
+        for m, values, numbers in self.stems:
+            longer = size[left] > m
+            own = left[longer]
+            stem = found(pc.utf8_slice_codeunits(words.take(own), 0, m), values, numbers)
+            best[own[stem >= 0]] = stem[stem >= 0]
+            # A word whose stem is no term is none itself, nor are its longer stems.
+            left = np.concatenate([left[~longer], own[stem >= 0]])
+        whole = found(words.take(left), *self.words)
+        best[left[whole >= 0]] = whole[whole >= 0]
+        return best
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, how often each is in the text), by number."""
-        seen, words = self.seen, words_of(text)
-        if len(seen) > 100_000:
-            seen.clear()
-        found = list(map(seen.get, words))
-        if None in found:
-            for i, n in enumerate(found):
-                if n is None:
-                    found[i] = seen[words[i]] = self._longest(words[i])
-        rows, often = np.unique(np.array(found, np.int64), return_counts=True)
-        all_terms = self.chain[rows]
+        return self.counts_of([text])[0]
+
+    def counts_of(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``counts`` of many texts, CHARS together: each of their words is looked up once."""
+        out = []
+        for group in chunks.in_groups([t or "" for t in texts], CHARS):
+            out += self._counts_of([texts[i] for i in group])
+        return out
+
+    def _counts_of(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        import pyarrow as pa
+
+        words = [words_of(t) for t in texts]
+        text = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        coded = pa.array([w for own in words for w in own], pa.string()).dictionary_encode()
+        longest = self._longest(coded.dictionary)
+        n = len(self.chain)
+        rows, often = np.unique(text * n + (longest % n)[coded.indices.to_numpy()], return_counts=True)
+        all_terms = self.chain[rows % n]
         has = all_terms >= 0
-        flat = all_terms[has]
-        np.add.at(self.times, flat, np.repeat(often.astype(np.int32), has.sum(axis=1)))
-        flat.sort()
-        terms = flat[np.append(True, flat[1:] != flat[:-1])] if len(flat) else flat
-        counts = self.times[terms]
-        self.times[terms] = 0
-        return terms, counts
+        # The terms of a text lie together, in order; a term that several words stand for comes several times.
+        size = has.sum(axis=1)
+        key = np.repeat(rows - rows % n, size) + all_terms[has]
+        order = np.argsort(key, kind="stable")
+        key, often = key[order], np.repeat(often, size)[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        often = (np.add.reduceat(often, starts) if len(key) else often).astype(np.int32)
+        terms, ends = (key[starts] % n).astype(np.int32), np.searchsorted(key[starts], np.arange(len(texts) + 1) * n)
+        return [(terms[a:b], often[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def packed(terms: np.ndarray, counts: np.ndarray) -> bytes:
@@ -261,27 +279,37 @@ def unpacked(b: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Neighbours:
     """The fitted model: terms, their weights, examples, and the calibration of the vote."""
 
-    def __init__(self, terms: list[str], weights: list[float], examples: list[tuple[int, int, bytes]]):
+    def __init__(self, terms: Terms, weights: list[float], examples: list[tuple[int, int, bytes]]):
         """``examples``: (id, label, packed terms and counts)."""
-        self.terms, self.weight = Terms(terms), np.array(weights, float)
+        self.terms, self.weight = terms, np.array(weights, float)
         self.examples = sorted(examples)
         self.ids, self.labels = [x[0] for x in self.examples], np.array([x[1] for x in self.examples], float)
         self.prior = float(self.labels.mean()) if self.ids else 0.5
         self.slope, self.shift = 1.0, 0.0
-        self._index = None
-        self._calibrate()
-        self._index = None
+        self._index = self._sent = None
 
     @property
     def index(self) -> BlockMaxIndex:
-        """Built where it is first used: it is several times as large as the examples, and the driver needs it for
-        the calibration alone."""
+        """Built where it is first used, in tasks: it is several times as large as the examples, and the driver has no need of it."""
         if self._index is None:
             self._index = BlockMaxIndex(self.unit(*unpacked(x[2])) for x in self.examples)
         return self._index
 
     def __getstate__(self):
-        return self.__dict__ | {"_index": None}
+        return self.__dict__ | {"_index": None, "_sent": None}
+
+    def in_tasks(self, spark: SparkSession):
+        """A function that gives a task this model. It is sent once, so a process builds one index, for the calibration as for all scores."""
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(self)
+        sent, slope, shift = self._sent, self.slope, self.shift
+
+        def model() -> Neighbours:
+            m = sent.value
+            m.slope, m.shift = slope, shift
+            return m
+
+        return model
 
     def unit(self, terms: np.ndarray, counts: np.ndarray):
         w = self.weight[terms] * (1 + np.log(counts))
@@ -295,13 +323,23 @@ class Neighbours:
         b = sum(x * (1 - y) for x, y in w) + 1 - self.prior
         return float(np.log((a + 0.02) / (b + 0.02)))
 
-    def _calibrate(self, most: int = 4_000) -> None:
-        """Fit the logistic of the vote to examples, each scored without itself. At most ``most`` of
+    def votes(self, examples: list[int]) -> list[float]:
+        """The votes on ``examples``, each without itself."""
+        return [self._vote(near) for near in self.index.nearest_of([self.index.vector(i) for i in examples], without=examples)]
+
+    def calibrate(self, spark: SparkSession, most: int = 4_000) -> None:
+        """Fit the logistic of the vote to examples, each scored without itself in a task. At most ``most`` of
         them, evenly spaced, are scored: part of fitting on a bounded sample."""
-        step = max(1, len(self.examples) // most)
-        use = range(0, len(self.examples), step)
-        x = np.array([self._vote(near) for near in self.index.nearest_of([self.index.vector(i) for i in use], without=list(use))])
-        y = np.array([self.labels[i] for i in use])
+        step, model = max(1, len(self.examples) // most), self.in_tasks(spark)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model().votes(batch.column(0).to_pylist()), pa.float64())], names=["id", "vote"])
+
+        voted = sorted(tuple(r) for r in spark.range(0, len(self.examples), step).mapInArrow(run, "id bigint, vote double").collect()) if self.examples else []
+        x, y = np.array([v for _, v in voted]), np.array([self.labels[i] for i, _ in voted])
         if len(y) < 10 or y.min() == y.max():
             return
         a, b = 1.0, 0.0
@@ -321,7 +359,7 @@ class Neighbours:
         """Of each text the calibrated score, and the evidence: (id, similarity) of the nearest examples."""
         out = []
         for at in range(0, len(texts), BATCH):
-            for near in self.index.nearest_of([self.unit(*self.terms.counts(t)) for t in texts[at : at + BATCH]]):
+            for near in self.index.nearest_of([self.unit(*c) for c in self.terms.counts_of(texts[at : at + BATCH])]):
                 p = 1 / (1 + np.exp(-np.clip(self.slope * self._vote(near) + self.shift, -35, 35)))
                 out.append((float(p), [(self.ids[i], s) for i, s in near]))
         return out
@@ -356,19 +394,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_exampl
     # The correlation of having the term with the label; it does not grow with the number of labels.
     phi = np.abs(a * (n0 - b) - b * (n1 - a)) / np.sqrt(max(1, n1) * max(1, n0) * (a + b) * np.maximum(n - a - b, 1))
     terms, weights = table.column("term").to_pylist(), (np.log((1 + n) / (1 + a + b)) + 1) * (LEAST_ASSOCIATION + phi)
-    sent = docs.sparkSession.sparkContext.broadcast(Terms(terms))
+    known = Terms(terms)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def vectors(batches):
         import pyarrow as pa
 
         for batch in batches:
-            counts = [sent.value.counts(t) for t in batch.column(1).to_pylist()]
+            counts = sent.value.counts_of(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([packed(*c) for c in counts], pa.binary())], names=["id", "label", "counts"]
             )
 
     rows = sample.mapInArrow(vectors, "id bigint, label int, counts binary").collect()
-    return Neighbours(terms, weights, [(r["id"], r["label"], bytes(r["counts"])) for r in rows])
+    model = Neighbours(known, weights, [(r["id"], r["label"], bytes(r["counts"])) for r in rows])
+    model.calibrate(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Neighbours, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,12 +420,12 @@ def score(docs: DataFrame, model: Neighbours, threshold: float = 0.3, id_col: st
     the calibration gives the prior. Only the text is read; rows are independent.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = model.in_tasks(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        m = sent.value
+        m = sent()
         for batch in batches:
             found = m.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -408,12 +449,12 @@ def drop_toxic(docs: DataFrame, model: Neighbours, threshold: float = 0.3, text_
     With ``keep_without_evidence`` a row stays, whatever it scores, if no example is near to it: so
     all rows stay if there are no labels.
     """
-    at, sent = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
+    at, sent = docs.columns.index(text_col), model.in_tasks(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array([p < threshold or (keep_without_evidence and not near) for p, near in sent.value.score(batch.column(at).to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([p < threshold or (keep_without_evidence and not near) for p, near in sent().score(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

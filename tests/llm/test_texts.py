@@ -265,3 +265,39 @@ def test_scores_of_clashing_columns_and_no_rows(spark):
     assert got.columns == ["doc_id", "score", "predicted", "near_ids", "near_similarities"] and got.count() == 22
     assert len({r.score for r in got.collect() if r.doc_id == 3}) == 1
     assert toxicity.score(d.limit(0), m).count() == 0 and toxicity.drop_toxic(d, m).columns == d.columns
+
+
+def test_fit_builds_no_index_in_the_driver(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    built = []
+    index = toxicity.BlockMaxIndex
+    monkeypatch.setattr(toxicity, "BlockMaxIndex", lambda vectors: built.append(1) or index(vectors))
+    m = toxicity.fit(docs, labels, "toxic")
+    assert not built and m._index is None and (m.slope, m.shift) != (1.0, 0.0)
+    # Scores of tasks are those of the calibrated model.
+    rows = docs.filter("doc_id < 40").select("doc_id", "text")
+    got = {r.doc_id: (r.score, r.near_ids) for r in toxicity.score(rows, m).collect()}
+    kept = {r.doc_id for r in toxicity.drop_toxic(rows, m).collect()}
+    assert not built
+    for r in rows.collect():
+        (p, near), = m.score([r.text])
+        assert abs(got[r.doc_id][0] - p) < 1e-9 and got[r.doc_id][1] == [i for i, _ in near] and (p < 0.3) == (r.doc_id in kept)
+
+
+def test_counts_of_many_texts_are_those_of_each(monkeypatch):
+    texts = ["walking Walks walk, walked; talk", None, "", "überraschend überrasch walk 123", "w wa wal walkingly talks talk talk", "zzz"]
+    table = {}
+    for t in texts[:4]:
+        for x in toxicity.all_terms(t):
+            table[x] = 1
+    known = toxicity.Terms(sorted(table))
+    terms = sorted(table)
+    for most in (1, 20, 1_000_000):
+        monkeypatch.setattr(toxicity, "CHARS", most)
+        for text, (ids, often) in zip(texts, known.counts_of(texts), strict=True):
+            want = {}
+            for w in toxicity.words_of(text):
+                for x in toxicity.all_terms(w):
+                    if x in table:
+                        want[x] = want.get(x, 0) + 1
+            assert dict(zip([terms[i] for i in ids], often.tolist(), strict=True)) == want
